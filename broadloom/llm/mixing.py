@@ -102,8 +102,9 @@ def mix_blocks(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: flo
     quotas = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "sid int, quota long")
     slots = _meet(drawn, quotas)
     slots = _indexed(slots.select("shard", F.col("sid").cast("int").alias("sid"), F.col("i").cast("long").alias("i"), F.col("slot").cast("int").alias("slot")), blocks, seed)
+    # a plan made of a range looks tiny to the planner, which would broadcast every slot
     taken = slots.groupBy("sid", "block").agg(F.count("*").alias("takes"))
-    pieces = reach.join(taken, ["sid", "block"], "left").select("doc_id", "tie", "sid", "block", "at", "words", F.coalesce("takes", F.lit(0)).alias("takes"))
+    pieces = reach.join(taken.hint("merge"), ["sid", "block"], "left").select("doc_id", "tie", "sid", "block", "at", "words", F.coalesce("takes", F.lit(0)).alias("takes"))
     return pieces, slots.select("shard", "slot", "sid", "block"), sources
 
 
