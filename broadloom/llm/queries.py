@@ -24,3 +24,24 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadloom.llm.mixing import mix_report
 
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.quality_net import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
