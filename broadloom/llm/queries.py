@@ -45,3 +45,45 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadloom.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.fuzzy_lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.pii import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
