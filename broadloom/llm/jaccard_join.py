@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.graph import components
-from broadloom.llm.linkage import linked_classes, member_blocks
+from broadloom.llm.linkage import linked_classes, member_blocks, packed_vector
 from broadloom.llm.shared import materialize, texts
 from broadloom.llm.tokens import U, WordHasher, mix, shingle_sets, text_slices, word_spans
 
@@ -53,7 +53,7 @@ def set_name(items: np.ndarray) -> int:
 def set_table(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, node, strip, part): a row per document, and rows (strip, part) that count
     the shingles of one task by bin."""
-    schema = "doc_id long, n long, node long, strip int, part binary"
+    schema = "doc_id long, n long, node long, vector binary, strip int, part binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -62,9 +62,9 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
             if sets:
                 bins += np.bincount((np.concatenate(sets) >> U(46)).astype(np.int64), minlength=BINS)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([packed_vector(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(bins, STRIPS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(STRIPS, pa.int64())] * 3 + [pa.array(range(STRIPS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(STRIPS, pa.int64())] * 3 + [pa.nulls(STRIPS, pa.binary()), pa.array(range(STRIPS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return materialize(texts(docs).mapInArrow(run, schema))
 
@@ -124,8 +124,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             keep = [i for i, (s, x) in enumerate(zip(sets, node.to_pylist(), strict=True)) if len(s) and set_name(s) == x]
             yield pa.RecordBatch.from_arrays([node.take(pa.array(keep, pa.int64())), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], names=["node", "items"])
 
-    sets = materialize(texts(docs).join(one, "doc_id").select("node", "text").mapInArrow(payload, "node long, items binary").dropDuplicates(["node"]))
-    classes = linked_classes(blocks, sets, num, den)
+    # a doc_id that repeats with its text gives the set once; both keys lie where the join left them
+    chosen = texts(docs).join(one.hint("merge"), "doc_id").dropDuplicates(["doc_id", "node", "text"])
+    sets = materialize(chosen.select("node", "text").mapInArrow(payload, "node long, items binary"))
+    points = table.filter("strip IS NULL AND node IS NOT NULL").select("node", "vector").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    classes = linked_classes(blocks, sets, num, den, points=materialize(points))
 
     # from nodes to documents: a class takes its smallest doc_id; ids with several texts tie classes together
     joined = known.join(classes.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))

@@ -187,22 +187,59 @@ def _verified(batches, num: int, den: int, decode):
         yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["u", "v"])
 
 
-def linked_classes(blocks: DataFrame, sets: DataFrame, num: int, den: int, tree: bool = True, piece: int = 256, decode=as_hashes) -> DataFrame:
+def _bounded(batches, num: int, den: int):
+    """Pairs that the sum of coordinate minima of their count vectors lets through."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in (2, 3))
+        keep = enough(np.minimum(a, b).sum(1), a.sum(1), b.sum(1), num, den)
+        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], names=["pivot", "node"])
+
+
+def packed_vector(items: np.ndarray) -> bytes | None:
+    """A count vector for ``points``; null if a count does not fit, so that no bound is used."""
+    v = count_vector(items)
+    return v.astype("<u2").tobytes() if v.max(initial=0) < 1 << 16 else None
+
+
+def linked_classes(blocks: DataFrame, sets: DataFrame, num: int, den: int, tree: bool = True, piece: int = 256, decode=as_hashes, points: DataFrame | None = None) -> DataFrame:
     """(node, component) for every node with a link.
 
     blocks: (block, node, pivot). sets: (node, items) for every node of a block, items the
     bytes that ``decode`` turns into the sorted distinct 64-bit hashes of the node's set.
+    points: (node, vector), count vectors that spare hopeless pairs the shipping of sets.
+
+    A node is first tested against its smallest pivot, then against its others as far as
+    their components differ, then against the rest of its blocks, likewise.
     """
-    stars = blocks.filter("node <> pivot").select("pivot", "node").distinct()
-    pairs = stars.join(sets.hint("merge"), "node").withColumnRenamed("items", "b").join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("a")).hint("merge"), "pivot")
-    links = materialize(pairs.select("pivot", "node", "a", "b").mapInArrow(lambda it: _verified(it, num, den, decode), "u long, v long"))
-    first = materialize(components(links))
 
-    members = blocks.select("block", "node").join(first.hint("merge"), "node", "left").select("block", "node", F.coalesce("component", "node").alias("c"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        mine = pairs.join(sets.hint("merge"), "node").withColumnRenamed("items", "b")
+        both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("a")).hint("merge"), "pivot")
+        return materialize(both.select("pivot", "node", "a", "b").mapInArrow(lambda it: _verified(it, num, den, decode), "u long, v long"))
+
+    def classed(df: DataFrame, classes: DataFrame, node: str, out: str) -> DataFrame:
+        named = classes.select(F.col("node").alias(node), F.col("component").alias("_c"))
+        return df.join(named.hint("merge"), node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
+
+    stars = blocks.filter("node <> pivot").select("pivot", "node").distinct()
+    if points is not None:
+        near = stars.join(points.hint("merge"), "node").withColumnRenamed("vector", "b").join(points.select(F.col("node").alias("pivot"), F.col("vector").alias("a")).hint("merge"), "pivot")
+        known = near.filter("a IS NOT NULL AND b IS NOT NULL").select("pivot", "node", "a", "b").mapInArrow(lambda it: _bounded(it, num, den), "pivot long, node long")
+        stars = known.union(near.filter("a IS NULL OR b IS NULL").select("pivot", "node"))
+    stars = materialize(stars)
+    links = verified(stars.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"))
+    classes = materialize(components(links))
+
+    others = materialize(classed(classed(stars, classes, "node", "c"), classes, "pivot", "d").filter("c <> d").select("pivot", "node"))
+    if not others.isEmpty():
+        links = links.union(verified(others))
+        classes = materialize(components(links))
+
+    members = classed(blocks.select("block", "node"), classes, "node", "c")
     open_ = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("block", "n")
     rest = materialize(members.join(open_.hint("merge"), "block"))
     if rest.isEmpty():
-        return first
+        return classes
     k = F.ceil(F.col("n") / piece).cast("long")
     dealt = rest.withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("block", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "c")
