@@ -5,8 +5,8 @@ gives each distinct line ``bands * rows`` values from one pass over its shingles
 agree on a whole band are candidates, candidates are compared by exact Jaccard, and a
 distributed union-find makes classes, of which the earliest line stays.
 
-With 12 bands of 4 values two lines of similarity 0.75 meet with probability 0.989, of 0.85
-with 0.9998. Equal lines always meet: they are one node. See linkage.py for how a class of
+With 9 bands of 4 values two lines of similarity 0.75 meet with probability 0.967, of 0.85
+with 0.9986. Equal lines always meet: they are one node. See linkage.py for how a class of
 thousands of lines is found without testing all its pairs.
 
 Defined cases: lines are split at \\n alone; a line without words is never removed; a line
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from broadloom.llm.linkage import linked_classes, member_blocks
 from broadloom.llm.shared import materialize, texts
-from broadloom.llm.tokens import U, WordHasher, mix, text_slices, word_spans
+from broadloom.llm.tokens import U, WordHasher, mix, text_slices
 
 
 def line_spans(data: np.ndarray, bounds: np.ndarray):
@@ -42,8 +42,8 @@ def line_spans(data: np.ndarray, bounds: np.ndarray):
     ends[:-1] = np.where(text[1:] == text[:-1], starts[1:] - 1, bounds[text[:-1] + 1])
     if len(ends):
         ends[-1] = bounds[-1]
-    words = word_spans(data, bounds)[0]
-    return starts, ends, text, np.searchsorted(words, ends) > np.searchsorted(words, starts)
+    marks = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)), dtype=np.int32)])
+    return starts, ends, text, marks[ends] > marks[starts]
 
 
 def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
@@ -60,8 +60,12 @@ def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
 
 def line_shingles(line: bytes, k: int, hasher: WordHasher) -> np.ndarray:
     """The sorted distinct shingle codes of one line."""
-    points = np.frombuffer(bytes(line).decode().encode("utf-32-le"), "<u4")
-    return np.unique(shingle_codes(hasher, points, min(k, len(points)))) if len(points) else np.zeros(0, np.uint64)
+    line = bytes(line)
+    points = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode().encode("utf-32-le"), "<u4")
+    if not len(points):
+        return np.zeros(0, np.uint64)
+    codes = np.sort(shingle_codes(hasher, points, min(k, len(points))))
+    return codes[np.append(True, codes[1:] != codes[:-1])]
 
 
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, size: int, hasher: WordHasher) -> np.ndarray:
@@ -74,15 +78,14 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, s
     codes = shingle_codes(hasher, points, k)
     n = np.maximum(0, e - s - k + 1)
     line = np.repeat(np.arange(len(s)), n)
-    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s[line]
-    code = codes[pos] if len(codes) else np.zeros(0, np.uint64)
-    for i in np.flatnonzero(n == 0).tolist():  # short lines: one shingle
-        line = np.append(line, i)
-        code = np.append(code, shingle_codes(hasher, points[s[i] : e[i]], int(e[i] - s[i])))
+    code = codes[np.arange(len(line)) + np.repeat(s - np.cumsum(n) + n, n)] if len(line) else np.zeros(0, np.uint64)
+    short = np.flatnonzero(n == 0)  # one shingle each
+    line = np.append(line, short)
+    code = np.append(code, np.array([shingle_codes(hasher, points[a:b], b - a)[0] for a, b in zip(s[short].tolist(), e[short].tolist(), strict=True)], np.uint64))
     none = U(0xFFFFFFFFFFFFFFFF)
     table = np.full(len(s) * size, none)
     spot = ((code >> U(32)) * U(size) >> U(32)).astype(np.int64)
-    np.minimum.at(table, line * size + spot, mix(code + U(7)))
+    np.minimum.at(table, line * size + spot, code << U(32) | code >> U(32))  # the bin uses the upper half, the order the lower
     table = table.reshape(-1, size)
     full = np.where(table != none, np.arange(size), 2 * size)
     twice = np.concatenate([full, np.where(full < size, full + size, 4 * size)], axis=1)
@@ -91,7 +94,7 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, s
     return values + (following - np.arange(size)).astype(np.uint64) * U(0xD1342543DE82EF95)
 
 
-def _distinct_lines(batches, budget: int = 1 << 20):
+def _distinct_lines(batches, budget: int = 1 << 19):
     """(bytes, starts, ends, names) of the distinct lines with words of each slice."""
     hasher = WordHasher()
     for rows, data, bounds in text_slices(batches, budget=budget):
@@ -103,7 +106,7 @@ def _distinct_lines(batches, budget: int = 1 << 20):
         yield data, starts[once], ends[once], names[once].view(np.int64), hasher
 
 
-def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, bands: int = 12, rows: int = 4) -> DataFrame:
+def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, bands: int = 9, rows: int = 4) -> DataFrame:
     """(node, component) of the lines that have a near copy; a node is a line's hash."""
     known = texts(docs).filter("doc_id IS NOT NULL").select("text")
 

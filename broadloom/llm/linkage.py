@@ -97,9 +97,11 @@ def enough(shared, a, b, num: int, den: int):
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+    return int((b[at] == a).sum())
 
 
 class CountTree:
@@ -176,13 +178,16 @@ def _links_across(batches, num: int, den: int, tree: bool, decode):
 
 
 def _verified(batches, num: int, den: int, decode):
-    """Pairs of sets with enough in common: the count bound first, then the sets."""
+    """Pairs of sets with enough in common."""
+    raw = a = None  # the pivot stays the same for a while
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = decode(a.as_buffer()), decode(b.as_buffer())
-            bound = np.minimum(count_vector(a), count_vector(b)).sum()
-            keep.append(bool(enough(bound, len(a), len(b), num, den)) and bool(enough(overlap(a, b), len(a), len(b), num, den)))
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x = x.as_buffer()
+            if raw is None or not raw.equals(x):
+                raw, a = x, decode(x)
+            b = decode(y.as_buffer())
+            keep.append(bool(enough(overlap(a, b), len(a), len(b), num, den)))
         chosen = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["u", "v"])
 

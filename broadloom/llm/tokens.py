@@ -23,9 +23,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_slices(batches, column: str = "text", budget: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batches, column: str = "text", budget: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``budget`` bytes of text (one row at least), as
     (rows, bytes, offsets). Bounds the numpy memory whatever size a batch has."""
+    batch = values = data = None
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         if values.null_count:
@@ -42,6 +43,8 @@ def text_slices(batches, column: str = "text", budget: int = 1 << 22) -> Iterato
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + budget, "right")) - 1)
             yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             i = j
+    del batch, values, data
+    pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
