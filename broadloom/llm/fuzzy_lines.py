@@ -127,8 +127,9 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "items"])
 
-    wanted = blocks.select("node").distinct()
-    sets = known.mapInArrow(lines, "node long, items binary").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    def fetch(nodes: DataFrame) -> DataFrame:
+        return materialize(known.mapInArrow(lines, "node long, items binary").join(nodes, "node").dropDuplicates(["node"]))
+
     hasher: list[WordHasher] = []
 
     def decode(line):
@@ -136,7 +137,7 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
             hasher.append(WordHasher())
         return line_shingles(line, k, hasher[0])
 
-    return linked_classes(blocks, materialize(sets), num, den, tree=False, decode=decode)
+    return linked_classes(blocks, fetch, num, den, decode=decode)
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:

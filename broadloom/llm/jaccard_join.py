@@ -99,7 +99,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     den * |A and B| >= num * |A or B|; component_id is the smallest doc_id reachable."""
     table = set_table(docs, k)
     bins = docs.sparkSession.sparkContext.broadcast(bin_counts(table).astype(np.uint32))
-    rows = table.filter("strip IS NULL").select("doc_id", "n", "node")
+    rows = table.filter("strip IS NULL").select("doc_id", "n", "node", "vector")
     known = rows.filter("doc_id IS NOT NULL AND node IS NOT NULL")
 
     def keys(batches):
@@ -113,10 +113,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     records = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(keys, "key long, node long")
     blocks = member_blocks(records)
 
-    # the sets of the nodes that share a block with another, from one document each
-    wanted = blocks.select("node").distinct()
-    one = known.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
     def payload(batches):
         for rows_, sets in _sets(batches, k):
             node = rows_.column(rows_.schema.get_field_index("node"))
@@ -124,27 +120,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             keep = [i for i, (s, x) in enumerate(zip(sets, node.to_pylist(), strict=True)) if len(s) and set_name(s) == x]
             yield pa.RecordBatch.from_arrays([node.take(pa.array(keep, pa.int64())), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], names=["node", "items"])
 
-    # a doc_id that repeats with its text gives the set once; both keys lie where the join left them
-    chosen = texts(docs).join(one.hint("merge"), "doc_id").dropDuplicates(["doc_id", "node", "text"])
-    sets = materialize(chosen.select("node", "text").mapInArrow(payload, "node long, items binary"))
-    points = table.filter("strip IS NULL AND node IS NOT NULL").select("node", "vector").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
-    classes = linked_classes(blocks, sets, num, den, points=materialize(points))
+    # a set is read from the smallest document that has it
+    homes = materialize(known.join(blocks.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("vector").alias("vector")))
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        one = materialize(homes.select("node", "doc_id").join(nodes, "node"))
+        # equal rows of one id give the set once; both keys lie where the join left them
+        chosen = texts(docs).join(one, "doc_id").dropDuplicates(["doc_id", "node", "text"])
+        return materialize(chosen.select("node", "text").mapInArrow(payload, "node long, items binary"))
+
+    classes = linked_classes(blocks, fetch, num, den, points=homes.select("node", "vector"))
 
     # from nodes to documents: a class takes its smallest doc_id; ids with several texts tie classes together
-    joined = known.join(classes.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
+    joined = known.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
     least = joined.groupBy("c").agg(F.min("doc_id").alias("least"))
-    seen = joined.join(least.hint("merge"), "c").select("doc_id", "least")
+    seen = joined.join(least, "c").select("doc_id", "least")
     ids = materialize(seen.groupBy("doc_id").agg(F.min("least").alias("least"), F.max("least").alias("other")))
     if not ids.filter("least <> other").isEmpty():
         ties = seen.join(ids.select("doc_id", F.col("least").alias("other")), "doc_id").select("least", "other")
         top = components(ties).withColumnRenamed("node", "least")
-        ids = ids.join(top.hint("merge"), "least", "left").select("doc_id", F.coalesce("component", "least").alias("least"))
-    return rows.join(ids.select("doc_id", "least").hint("merge"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        ids = ids.join(top, "least", "left").select("doc_id", F.coalesce("component", "least").alias("least"))
+    return rows.join(ids.select("doc_id", "least"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose id is the smallest of their component; all columns stay. Of rows
     that repeat such an id one stays. A null doc_id stays."""
     found = jaccard_components(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(found.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))

@@ -5,8 +5,8 @@ Two sets may be linked only if they meet under a common key. A group of n copies
 every key, so testing all its pairs would cost its square. Instead, each member of a block is
 first tested against the block's pivot; the links found make components. Then only blocks
 that still hold members of different components are searched, across components, in pieces
-of bounded size. A pair that is never tested lies in one component already, so components are
-the same as if every pair had been tested.
+of bounded size. A pair that is never tested lies in one component already or cannot overlap
+enough, so components are the same as if every pair had been tested.
 """
 
 from __future__ import annotations
@@ -133,48 +133,24 @@ class CountTree:
         return self.order[at]
 
 
-def as_hashes(items: bytes) -> np.ndarray:
+def as_hashes(items) -> np.ndarray:
     return np.frombuffer(items, "<u8")
 
 
-def _links_across(batches, num: int, den: int, tree: bool, decode):
-    """(u, v) links between members of different components within each piece of a block.
-    Input sorted by piece: b, i, j, chunk, node, c, items."""
+def packed_vector(items: np.ndarray) -> bytes:
+    return count_vector(items).astype("<u4").tobytes()
 
-    def solve(members):
-        nodes = [m[1] for m in members]
-        sets = [decode(m[3]) for m in members]
-        sizes = np.array([len(s) for s in sets])
-        vectors = np.stack([count_vector(s) for s in sets])
-        chunk = np.array([m[0] for m in members])
-        across = len(set(chunk.tolist())) > 1
-        comp = np.unique(np.array([m[2] for m in members]), return_inverse=True)[1]
-        index = CountTree(vectors, sizes) if tree else None
-        for x in np.argsort(sizes, kind="stable").tolist():
-            near = index.search(vectors[x], sizes[x], num, den) if tree else np.flatnonzero(enough(np.minimum(vectors[x], vectors).sum(1), sizes[x], sizes, num, den))
-            near = near[comp[near] != comp[x]]
-            if across:
-                near = near[chunk[near] != chunk[x]]
-            for y in near.tolist():
-                if comp[y] != comp[x] and enough(overlap(sets[x], sets[y]), sizes[x], sizes[y], num, den):
-                    comp[comp == comp[y]] = comp[x]
-                    yield nodes[x], nodes[y]
 
-    def out(members):
-        found = list(solve(members)) if len(members) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+def unpacked_vectors(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u4").reshape(-1, GROUPS).astype(np.int64)
 
-    now, members = None, []
+
+def _bounded(batches, num: int, den: int):
+    """Pairs that the sum of coordinate minima of their count vectors lets through."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in range(6)]
-        for *piece, chunk, node, c, items in zip(*columns, batch.column(6), strict=True):
-            if piece != now:
-                if members:
-                    yield out(members)
-                now, members = piece, []
-            members.append((chunk, node, c, items.as_py()))
-    if members:
-        yield out(members)
+        a, b = (unpacked_vectors(batch.column(c).to_pylist()) for c in (2, 3))
+        keep = enough(np.minimum(a, b).sum(1), a.sum(1), b.sum(1), num, den)
+        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], names=["pivot", "node"])
 
 
 def _verified(batches, num: int, den: int, decode):
@@ -192,63 +168,114 @@ def _verified(batches, num: int, den: int, decode):
         yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["u", "v"])
 
 
-def _bounded(batches, num: int, den: int):
-    """Pairs that the sum of coordinate minima of their count vectors lets through."""
+def _pieces(batches):
+    """(chunks, nodes, components, payloads) of each piece; input sorted by piece, with the
+    columns block, i, j, chunk, node, c, payload."""
+    now, members = None, []
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in (2, 3))
-        keep = enough(np.minimum(a, b).sum(1), a.sum(1), b.sum(1), num, den)
-        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], names=["pivot", "node"])
+        columns = [batch.column(c).to_pylist() for c in range(6)]
+        for *piece, chunk, node, c, payload in zip(*columns, batch.column(6), strict=True):
+            if piece != now:
+                if len(members) > 1:
+                    yield zip(*members, strict=True)
+                now, members = piece, []
+            members.append((chunk, node, c, payload.as_py()))
+    if len(members) > 1:
+        yield zip(*members, strict=True)
 
 
-def packed_vector(items: np.ndarray) -> bytes | None:
-    """A count vector for ``points``; null if a count does not fit, so that no bound is used."""
-    v = count_vector(items)
-    return v.astype("<u2").tobytes() if v.max(initial=0) < 1 << 16 else None
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def linked_classes(blocks: DataFrame, sets: DataFrame, num: int, den: int, tree: bool = True, piece: int = 256, decode=as_hashes, points: DataFrame | None = None) -> DataFrame:
+def _tree_pairs(batches, num: int, den: int):
+    """Pairs of different components that an R-tree of each piece lets through. In a piece of
+    two chunks only pairs across them count; the others are in a piece of their own."""
+    for chunk, node, comp, payload in _pieces(batches):
+        vectors = unpacked_vectors(payload)
+        sizes, chunk, comp = vectors.sum(1), np.array(chunk), np.array(comp)
+        tree, across, found = CountTree(vectors, sizes), len(set(chunk.tolist())) > 1, []
+        for x in range(len(node)):
+            near = tree.search(vectors[x], sizes[x], num, den)
+            near = near[comp[near] != comp[x]]
+            if across:
+                near = near[chunk[near] != chunk[x]]
+            found += [(node[x], node[y]) for y in near.tolist() if node[x] < node[y]]
+        yield _pairs(found)
+
+
+def _links_across(batches, num: int, den: int, decode):
+    """Links between different components of each piece, the sets compared in place; a
+    component that has found its link is not searched again."""
+    for chunk, node, comp, payload in _pieces(batches):
+        sets = [decode(p) for p in payload]
+        sizes, chunk = np.array([len(s) for s in sets]), np.array(chunk)
+        comp = np.unique(np.array(comp), return_inverse=True)[1]
+        across, found = len(set(chunk.tolist())) > 1, []
+        for x in np.argsort(sizes, kind="stable").tolist():
+            near = np.flatnonzero(enough(np.minimum(sizes[x], sizes), sizes[x], sizes, num, den) & (comp != comp[x]) & ((chunk != chunk[x]) | (not across)))
+            for y in near.tolist():
+                if comp[y] != comp[x] and enough(overlap(sets[x], sets[y]), sizes[x], sizes[y], num, den):
+                    comp[comp == comp[y]] = comp[x]
+                    found.append((node[x], node[y]))
+        yield _pairs(found)
+
+
+def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=as_hashes, points: DataFrame | None = None, piece: int = 256) -> DataFrame:
     """(node, component) for every node with a link.
 
-    blocks: (block, node, pivot). sets: (node, items) for every node of a block, items the
+    blocks: (block, node, pivot). fetch: from a table of nodes to (node, items), items the
     bytes that ``decode`` turns into the sorted distinct 64-bit hashes of the node's set.
-    points: (node, vector), count vectors that spare hopeless pairs the shipping of sets.
+    points: (node, vector), the count vectors of the nodes; with them bounds decide which
+    pairs are worth their sets, and only those sets are fetched; without them sets are
+    small enough to go where their blocks go.
 
     A node is first tested against its smallest pivot, then against its others as far as
     their components differ, then against the rest of its blocks, likewise.
     """
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        mine = pairs.join(sets.hint("merge"), "node").withColumnRenamed("items", "b")
-        both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("a")).hint("merge"), "pivot")
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        mine = pairs.join(sets, "node").withColumnRenamed("items", "b")
+        both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("a")), "pivot")
         return materialize(both.select("pivot", "node", "a", "b").mapInArrow(lambda it: _verified(it, num, den, decode), "u long, v long"))
 
     def classed(df: DataFrame, classes: DataFrame, node: str, out: str) -> DataFrame:
         named = classes.select(F.col("node").alias(node), F.col("component").alias("_c"))
-        return df.join(named.hint("merge"), node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
+        return df.join(named, node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
+
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.select("node").union(pairs.select("pivot")).distinct())
 
     stars = blocks.filter("node <> pivot").select("pivot", "node").distinct()
     if points is not None:
-        near = stars.join(points.hint("merge"), "node").withColumnRenamed("vector", "b").join(points.select(F.col("node").alias("pivot"), F.col("vector").alias("a")).hint("merge"), "pivot")
-        known = near.filter("a IS NOT NULL AND b IS NOT NULL").select("pivot", "node", "a", "b").mapInArrow(lambda it: _bounded(it, num, den), "pivot long, node long")
-        stars = known.union(near.filter("a IS NULL OR b IS NULL").select("pivot", "node"))
+        near = stars.join(points, "node").withColumnRenamed("vector", "b").join(points.select(F.col("node").alias("pivot"), F.col("vector").alias("a")), "pivot")
+        stars = near.select("pivot", "node", "a", "b").mapInArrow(lambda it: _bounded(it, num, den), "pivot long, node long")
     stars = materialize(stars)
-    links = verified(stars.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"))
+    sets = fetch(nodes_of(stars))
+    links = verified(stars.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"), sets)
     classes = materialize(components(links))
 
     others = materialize(classed(classed(stars, classes, "node", "c"), classes, "pivot", "d").filter("c <> d").select("pivot", "node"))
     if not others.isEmpty():
-        links = links.union(verified(others))
+        links = links.union(verified(others, sets))
         classes = materialize(components(links))
 
     members = classed(blocks.select("block", "node"), classes, "node", "c")
     open_ = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("block", "n")
-    rest = materialize(members.join(open_.hint("merge"), "block"))
+    rest = materialize(members.join(open_, "block"))
     if rest.isEmpty():
         return classes
     k = F.ceil(F.col("n") / piece).cast("long")
     dealt = rest.withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("block", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "c")
-    full = dealt.hint("merge").join(sets.hint("merge"), "node").select("block", "i", "j", "chunk", "node", "c", "items")
+    payload = points if points is not None else sets
+    full = dealt.hint("merge").join(payload, "node").select("block", "i", "j", "chunk", "node", "c", payload.columns[1])
     full = full.repartition(shuffle_width(blocks.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    more = full.mapInArrow(lambda it: _links_across(it, num, den, tree, decode), "u long, v long")
-    return components(links.union(more))
+    if points is None:
+        return components(links.union(full.mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")))
+    tested = stars.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
+    pairs = full.mapInArrow(lambda it: _tree_pairs(it, num, den), "u long, v long").distinct().select(F.col("u").alias("pivot"), F.col("v").alias("node"))
+    pairs = materialize(pairs.join(tested, ["pivot", "node"], "left_anti"))
+    if pairs.isEmpty():
+        return classes
+    return components(links.union(verified(pairs, fetch(nodes_of(pairs)))))
