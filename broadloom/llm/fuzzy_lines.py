@@ -50,42 +50,47 @@ def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
     """Code of each k consecutive code points."""
     if len(points) < k:
         return np.zeros(0, np.uint64)
-    points = np.where((points >= 65) & (points <= 90), points + 32, points).astype(np.uint64) + U(1)
     if len(points) > hasher.size:
         hasher.grow(len(points))
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(points * hasher.power[: len(points)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * hasher.back[: len(points) - k + 1] + U(k))
+    codes = total[k:] - total[:-k]
+    codes *= hasher.back[: len(points) - k + 1]
+    codes ^= codes >> U(32)
+    codes *= U(0xD6E8FEB86659FD93)
+    codes ^= codes >> U(29)
+    return codes
 
 
-def line_shingles(line: bytes, k: int, hasher: WordHasher) -> np.ndarray:
-    """The sorted distinct shingle codes of one line."""
-    line = bytes(line)
-    points = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode().encode("utf-32-le"), "<u4")
-    if not len(points):
-        return np.zeros(0, np.uint64)
-    codes = np.sort(shingle_codes(hasher, points, min(k, len(points))))
-    return codes[np.append(True, codes[1:] != codes[:-1])]
+def line_shingles(line, k: int) -> frozenset[str]:
+    """The character shingles of one line, A-Z lower-cased."""
+    text = bytes(line).lower().decode()
+    return frozenset([text[i : i + k] for i in range(max(1, len(text) - k + 1))])
 
 
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, size: int, hasher: WordHasher) -> np.ndarray:
     """One-permutation MinHash of lines, given as ascending byte spans of UTF-8 text: the
     least code in each of ``size`` bins. An empty bin takes the next full one's value, moved
     by the distance, so that lines that agree there agree here."""
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # byte to code point
-    s, e = at[starts], at[ends]
+    points = np.frombuffer(data.tobytes().lower().decode().encode("utf-32-le"), "<u4")
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])  # byte to code point
+    s, e = at[starts].astype(np.int64), at[ends].astype(np.int64)
     codes = shingle_codes(hasher, points, k)
     n = np.maximum(0, e - s - k + 1)
-    line = np.repeat(np.arange(len(s)), n)
-    code = codes[np.arange(len(line)) + np.repeat(s - np.cumsum(n) + n, n)] if len(line) else np.zeros(0, np.uint64)
-    short = np.flatnonzero(n == 0)  # one shingle each
-    line = np.append(line, short)
-    code = np.append(code, np.array([shingle_codes(hasher, points[a:b], b - a)[0] for a, b in zip(s[short].tolist(), e[short].tolist(), strict=True)], np.uint64))
+    # a code belongs to its line's row; those across lines, to one more row that is dropped
+    long, spare = np.flatnonzero(n), len(s)
+    step = np.zeros(len(codes) + 1, np.int64)
+    step[s[long]] = long - spare
+    step[(s + n)[long]] = spare - long
+    row = np.cumsum(step[:-1]) + spare
     none = U(0xFFFFFFFFFFFFFFFF)
-    table = np.full(len(s) * size, none)
-    spot = ((code >> U(32)) * U(size) >> U(32)).astype(np.int64)
-    np.minimum.at(table, line * size + spot, code << U(32) | code >> U(32))  # the bin uses the upper half, the order the lower
+    table = np.full((len(s) + 1) * size, none)
+    spot = (codes >> U(32)) * U(size) >> U(32)  # the bin uses the upper half, the order the lower
+    np.minimum.at(table, row * size + spot.view(np.int64), codes << U(32) | codes >> U(32))
+    for i in np.flatnonzero(n == 0).tolist():  # shorter than a shingle: the whole line is one
+        code = int(shingle_codes(hasher, points[s[i] : e[i]], int(e[i] - s[i]))[0])
+        table[i * size + ((code >> 32) * size >> 32)] = (code << 32 | code >> 32) & (1 << 64) - 1
+    table = table[: len(s) * size]
     table = table.reshape(-1, size)
     full = np.where(table != none, np.arange(size), 2 * size)
     twice = np.concatenate([full, np.where(full < size, full + size, 4 * size)], axis=1)
@@ -130,14 +135,7 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
     def fetch(nodes: DataFrame) -> DataFrame:
         return materialize(known.mapInArrow(lines, "node long, items binary").join(nodes, "node").dropDuplicates(["node"]))
 
-    hasher: list[WordHasher] = []
-
-    def decode(line):
-        if not hasher:
-            hasher.append(WordHasher())
-        return line_shingles(line, k, hasher[0])
-
-    return linked_classes(blocks, fetch, num, den, decode=decode)
+    return linked_classes(blocks, fetch, num, den, decode=lambda line: line_shingles(line, k))
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:

@@ -94,7 +94,10 @@ def enough(shared, a, b, num: int, den: int):
     return (den + num) * shared >= num * (a + b)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
+def overlap(a, b) -> int:
+    """Common elements of two Python sets, or of two sorted arrays."""
+    if isinstance(a, frozenset):
+        return len(a & b)
     if len(a) > len(b):
         a, b = b, a
     if not len(a):
@@ -225,7 +228,7 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=as_hashe
     """(node, component) for every node with a link.
 
     blocks: (block, node, pivot). fetch: from a table of nodes to (node, items), items the
-    bytes that ``decode`` turns into the sorted distinct 64-bit hashes of the node's set.
+    bytes that ``decode`` turns into a frozenset, or the sorted distinct 64-bit hashes of one.
     points: (node, vector), the count vectors of the nodes; with them bounds decide which
     pairs are worth their sets, and only those sets are fetched; without them sets are
     small enough to go where their blocks go.
