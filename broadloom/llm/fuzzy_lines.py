@@ -123,9 +123,10 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
             key = np.zeros((len(starts), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for r in range(rows):
                 key = mix(key ^ values[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(names, bands))], names=["key", "node"])
+            # one size class: lines that agree on a band are alike in size as it is
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.zeros(key.size, np.int64)), pa.array(np.repeat(names, bands))], names=["key", "cls", "node"])
 
-    blocks = member_blocks(known.mapInArrow(keys, "key long, node long"))
+    blocks = member_blocks(known.mapInArrow(keys, "key long, cls long, node long"), num, den)
 
     def lines(batches):
         for data, starts, ends, names, _ in _distinct_lines(batches):

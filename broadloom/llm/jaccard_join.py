@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.graph import components
-from broadloom.llm.linkage import linked_classes, member_blocks, packed_vector
+from broadloom.llm.linkage import linked_classes, member_blocks, packed_vector, size_class
 from broadloom.llm.shared import materialize, texts
 from broadloom.llm.tokens import U, WordHasher, mix, shingle_sets, text_slices, word_spans
 
@@ -104,14 +104,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
 
     def keys(batches):
         for _, sets in _sets(batches, k):
-            parts = [rarest(s, bins.value, num, den) for s in sets if len(s)]
-            names = [set_name(s) for s in sets if len(s)]
+            full = [s for s in sets if len(s)]
+            parts = [rarest(s, bins.value, num, den) for s in full]
+            each = [len(p) for p in parts]
             key = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            node = np.repeat(np.array(names, np.int64), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+            cls = np.repeat(np.array([size_class(len(s)) for s in full], np.int64), each)
+            node = np.repeat(np.array([set_name(s) for s in full], np.int64), each)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, cls, node)], names=["key", "cls", "node"])
 
-    records = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(keys, "key long, node long")
-    blocks = member_blocks(records)
+    records = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(keys, "key long, cls long, node long")
+    blocks = member_blocks(records, num, den)
 
     def payload(batches):
         for rows_, sets in _sets(batches, k):

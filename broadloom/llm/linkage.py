@@ -22,71 +22,114 @@ from broadloom.llm.tokens import U, mix
 
 #: A block with more members than this is never held as one; its members stream by.
 LARGE = 4096
+#: Size classes an octave.
+OCTAVE = 8
 
 
-def _blocks(batches):
-    """(block, node, pivot) of every key with two nodes or more; input sorted by key, node.
+def size_class(n: int) -> int:
+    return int(np.log2(n) * OCTAVE)
 
-    A block's name is the hash of its member set, so the many keys that two copies share
-    give one block. A very large block is named by its key and streamed."""
-    keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    large: tuple[int, int] | None = None  # key and pivot of the large block being streamed
 
-    def rows(keys, nodes):
-        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(keys)))
-        name = np.add.reduceat(mix(nodes.view(np.uint64)), head).view(np.int64) if len(head) else head
-        _, once = np.unique(name, return_index=True)
-        chosen = np.zeros(len(head), bool)
-        chosen[once] = True
-        member = np.repeat(chosen & (size > 1), size)
-        return np.repeat(name, size)[member], nodes[member], np.repeat(nodes[head], size)[member]
+def class_reach(num: int, den: int) -> int:
+    """Sets whose classes differ by more are too unlike in size: log2(den / num) octaves, and
+    one class for the rounding."""
+    return int(np.log2(den / num) * OCTAVE) + 1
+
+
+def _blocks(batches, reach: int):
+    """(block, node, pivot) of every key with two nodes or more of like size; input (key,
+    cls, node) sorted.
+
+    A key's nodes fall apart where sizes leave a gap. A block's name is the hash of its
+    member set, so the many keys that two copies share give one block; a very large one is
+    named by its key and streamed. The pivot is the first node of the own size bracket."""
+    keys = cls = nodes = np.zeros(0, np.int64)
+    large: int | None = None  # key of the large block being streamed
+    pivots: dict[int, int] = {}  # its pivots by size bracket
 
     def batch(block, node, pivot):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block, node, pivot)], names=["block", "node", "pivot"])
 
-    def name_of(key):
-        return int(mix(np.array([key], np.int64).view(np.uint64)).view(np.int64)[0])
+    def rows(keys, cls, nodes):
+        cut = np.append(True, (keys[1:] != keys[:-1]) | (cls[1:] - cls[:-1] > reach))
+        head = np.flatnonzero(cut)
+        size = np.diff(np.append(head, len(keys)))
+        name = np.add.reduceat(mix(nodes.view(np.uint64)), head).view(np.int64)
+        chosen = np.zeros(len(head), bool)
+        chosen[np.unique(name, return_index=True)[1]] = True
+        member = np.repeat(chosen & (size > 1), size)
+        bracket = np.append(True, cut[1:] | (cls[1:] // reach != cls[:-1] // reach))
+        pivot = nodes[np.maximum.accumulate(np.where(bracket, np.arange(len(nodes)), 0))]
+        return batch(np.repeat(name, size)[member], nodes[member], pivot[member])
+
+    def streamed(key, cls, nodes):
+        name = int(mix(np.array([key], np.int64).view(np.uint64)).view(np.int64)[0])
+        for b, i in zip(*np.unique(cls // reach, return_index=True), strict=True):
+            pivots.setdefault(int(b), int(nodes[i]))
+        return batch(np.full(len(nodes), name), nodes, np.array([pivots[b] for b in (cls // reach).tolist()], np.int64))
 
     for got in batches:
-        k, n = got.column(0).to_numpy(), got.column(1).to_numpy()
+        k, c, n = (got.column(i).to_numpy() for i in range(3))
         if large is not None:
-            same = k == large[0]
+            same = k == large
             if same.any():
-                yield batch(np.full(same.sum(), name_of(large[0])), n[same], np.full(same.sum(), large[1]))
-            k, n = k[~same], n[~same]
+                yield streamed(large, c[same], n[same])
+            k, c, n = k[~same], c[~same], n[~same]
             if not len(k):
                 continue
-            large = None
-        keys, nodes = np.concatenate([keys, k]), np.concatenate([nodes, n])
+            large, pivots = None, {}
+        keys, cls, nodes = np.concatenate([keys, k]), np.concatenate([cls, c]), np.concatenate([nodes, n])
         new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])) if len(keys) else np.zeros(0, bool)
-        keys, nodes = keys[new], nodes[new]
+        keys, cls, nodes = keys[new], cls[new], nodes[new]
         if not len(keys):
             continue
         last = int(np.searchsorted(keys, keys[-1], "left"))
         if last:
-            yield batch(*rows(keys[:last], nodes[:last]))
-        keys, nodes = keys[last:], nodes[last:]
+            yield rows(keys[:last], cls[:last], nodes[:last])
+        keys, cls, nodes = keys[last:], cls[last:], nodes[last:]
         if len(keys) > LARGE:
-            large = (int(keys[0]), int(nodes[0]))
-            yield batch(np.full(len(nodes), name_of(large[0])), nodes, np.full(len(nodes), large[1]))
-            keys, nodes = keys[:0], nodes[:0]
+            large = int(keys[0])
+            yield streamed(large, cls, nodes)
+            keys, cls, nodes = keys[:0], cls[:0], nodes[:0]
     if len(keys):
-        yield batch(*rows(keys, nodes))
+        yield rows(keys, cls, nodes)
 
 
-def member_blocks(records: DataFrame) -> DataFrame:
-    """(block, node, pivot) from (key, node): two long columns, repeats allowed."""
-    dealt = records.repartition(shuffle_width(records.sparkSession), "key").sortWithinPartitions("key", "node")
-    return materialize(dealt.mapInArrow(_blocks, "block long, node long, pivot long").distinct())
+def member_blocks(records: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, node, pivot) from (key, cls, node): long columns, cls the ``size_class`` of the
+    node; repeats allowed."""
+    dealt = records.repartition(shuffle_width(records.sparkSession), "key").sortWithinPartitions("key", "cls", "node")
+    return materialize(dealt.mapInArrow(lambda it: _blocks(it, class_reach(num, den)), "block long, node long, pivot long").distinct())
 
 
 GROUPS = 64
 
 
-def count_vector(items: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall in each of 64 groups: a point in count space."""
-    return np.bincount((items >> U(58)).astype(np.int64), minlength=GROUPS)
+def count_vector(items: np.ndarray, bits: int = 6) -> np.ndarray:
+    """How many of a set's hashes fall in each of 2**bits groups: a point in count space."""
+    return np.bincount((items >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def packed_vector(items: np.ndarray) -> bytes:
+    """A point with about four hashes a group, in which unrelated sets lie far apart
+    whatever their size. Groups are leading bits, so neighbours add up to a coarser point."""
+    bits = min(20, max(6, int(np.log2(max(1, len(items)) / 4))))
+    while (v := count_vector(items, bits)).max(initial=0) >= 1 << 16:
+        bits += 1
+    return v.astype("<u2").tobytes()
+
+
+def unpacked_vector(raw) -> np.ndarray:
+    return np.frombuffer(raw, "<u2").astype(np.int64)
+
+
+def vector_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The sum of coordinate minima, in the coarser point's groups."""
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).sum(1)
+    return int(np.minimum(a, b).sum())
 
 
 def enough(shared, a, b, num: int, den: int):
@@ -140,20 +183,14 @@ def as_hashes(items) -> np.ndarray:
     return np.frombuffer(items, "<u8")
 
 
-def packed_vector(items: np.ndarray) -> bytes:
-    return count_vector(items).astype("<u4").tobytes()
-
-
-def unpacked_vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u4").reshape(-1, GROUPS).astype(np.int64)
-
-
 def _bounded(batches, num: int, den: int):
     """Pairs that the sum of coordinate minima of their count vectors lets through."""
     for batch in batches:
-        a, b = (unpacked_vectors(batch.column(c).to_pylist()) for c in (2, 3))
-        keep = enough(np.minimum(a, b).sum(1), a.sum(1), b.sum(1), num, den)
-        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], names=["pivot", "node"])
+        keep = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = unpacked_vector(a.as_buffer()), unpacked_vector(b.as_buffer())
+            keep.append(bool(enough(vector_bound(a, b), a.sum(), b.sum(), num, den)))
+        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], names=["pivot", "node"])
 
 
 def _verified(batches, num: int, den: int, decode):
@@ -195,15 +232,16 @@ def _tree_pairs(batches, num: int, den: int):
     """Pairs of different components that an R-tree of each piece lets through. In a piece of
     two chunks only pairs across them count; the others are in a piece of their own."""
     for chunk, node, comp, payload in _pieces(batches):
-        vectors = unpacked_vectors(payload)
-        sizes, chunk, comp = vectors.sum(1), np.array(chunk), np.array(comp)
-        tree, across, found = CountTree(vectors, sizes), len(set(chunk.tolist())) > 1, []
+        fine = [unpacked_vector(p) for p in payload]
+        coarse = np.stack([v.reshape(GROUPS, -1).sum(1) for v in fine])
+        sizes, chunk, comp = coarse.sum(1), np.array(chunk), np.array(comp)
+        tree, across, found = CountTree(coarse, sizes), len(set(chunk.tolist())) > 1, []
         for x in range(len(node)):
-            near = tree.search(vectors[x], sizes[x], num, den)
+            near = tree.search(coarse[x], sizes[x], num, den)
             near = near[comp[near] != comp[x]]
             if across:
                 near = near[chunk[near] != chunk[x]]
-            found += [(node[x], node[y]) for y in near.tolist() if node[x] < node[y]]
+            found += [(node[x], node[y]) for y in near.tolist() if node[x] < node[y] and enough(vector_bound(fine[x], fine[y]), sizes[x], sizes[y], num, den)]
         yield _pairs(found)
 
 
