@@ -30,20 +30,11 @@ from broadloom.llm.shared import materialize, texts
 from broadloom.llm.tokens import U, WordHasher, mix, text_slices
 
 
-def line_spans(data: np.ndarray, bounds: np.ndarray):
-    """Byte starts and ends of the lines, the text each is of, and whether it has a word."""
-    stop = np.flatnonzero(data == 10)
-    n = len(bounds) - 1
-    text = np.concatenate([np.arange(n), np.searchsorted(bounds, stop, "right") - 1])
-    starts = np.concatenate([bounds[:-1], stop + 1])
-    order = np.lexsort((starts, text))
-    text, starts = text[order], starts[order]
-    ends = np.empty(len(starts), np.int64)
-    ends[:-1] = np.where(text[1:] == text[:-1], starts[1:] - 1, bounds[text[:-1] + 1])
-    if len(ends):
-        ends[-1] = bounds[-1]
-    marks = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)), dtype=np.int32)])
-    return starts, ends, text, marks[ends] > marks[starts]
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, number, line, node) of every line with a word; node is the line's hash."""
+    rows = texts(docs).filter("doc_id IS NOT NULL")
+    lines = rows.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
+    return lines.filter(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("node", F.xxhash64("line"))
 
 
 def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
@@ -62,10 +53,13 @@ def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
     return codes
 
 
-def line_shingles(line, k: int) -> frozenset[str]:
-    """The character shingles of one line, A-Z lower-cased."""
-    text = bytes(line).lower().decode()
-    return frozenset([text[i : i + k] for i in range(max(1, len(text) - k + 1))])
+def line_shingles(line, k: int, hasher: WordHasher) -> np.ndarray:
+    """The sorted distinct shingle codes of one line, A-Z lower-cased."""
+    line = bytes(line).lower()
+    points = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode().encode("utf-32-le"), "<u4")
+    codes = shingle_codes(hasher, points, min(k, len(points)))
+    codes.sort()
+    return codes[np.append(True, codes[1:] != codes[:-1])]
 
 
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, size: int, hasher: WordHasher) -> np.ndarray:
@@ -99,65 +93,47 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, s
     return values + (following - np.arange(size)).astype(np.uint64) * U(0xD1342543DE82EF95)
 
 
-def _distinct_lines(batches, budget: int = 1 << 19):
-    """(bytes, starts, ends, names) of the distinct lines with words of each slice."""
-    hasher = WordHasher()
-    for rows, data, bounds in text_slices(batches, budget=budget):
-        starts, ends, text, worded = line_spans(data, bounds)
-        starts, ends = starts[worded], ends[worded]
-        names = hasher(data, starts, ends)
-        _, once = np.unique(names, return_index=True)
-        once.sort()
-        yield data, starts[once], ends[once], names[once].view(np.int64), hasher
-
-
 def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, bands: int = 9, rows: int = 4) -> DataFrame:
-    """(node, component) of the lines that have a near copy; a node is a line's hash."""
-    known = texts(docs).filter("doc_id IS NOT NULL").select("text")
+    """(node, component) of the lines that have a near copy."""
+    lines = line_rows(docs)
 
     def keys(batches):
-        for data, starts, ends, names, hasher in _distinct_lines(batches):
-            if not len(starts):
-                continue
-            values = signatures(data, starts, ends, k, bands * rows, hasher).reshape(len(starts), bands, rows)
-            key = np.zeros((len(starts), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
+        hasher = WordHasher()
+        for part, data, bounds in text_slices(batches, "line", budget=1 << 19):
+            node, once = np.unique(part.column(0).to_numpy(), return_index=True)
+            node, once = node[np.argsort(once)], np.sort(once)
+            values = signatures(data, bounds[:-1][once], bounds[1:][once], k, bands * rows, hasher).reshape(len(node), bands, rows)
+            key = np.zeros((len(node), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for r in range(rows):
                 key = mix(key ^ values[:, :, r])
-            # one size class: lines that agree on a band are alike in size as it is
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.zeros(key.size, np.int64)), pa.array(np.repeat(names, bands))], names=["key", "cls", "node"])
-
-    blocks = member_blocks(known.mapInArrow(keys, "key long, cls long, node long"), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], names=["key", "node"])
 
-    def lines(batches):
-        for data, starts, ends, names, _ in _distinct_lines(batches):
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "items"])
+    # one size class: lines that agree on a band are alike in size as it is
+    records = lines.select("node", "line").mapInArrow(keys, "key long, node long").withColumn("cls", F.lit(0).cast("long"))
+    blocks = member_blocks(records, num, den)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        return materialize(known.mapInArrow(lines, "node long, items binary").join(nodes, "node").dropDuplicates(["node"]))
+        one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes.hint("shuffle_hash"), "node").dropDuplicates(["node"])
+        return materialize(one)
 
-    return linked_classes(blocks, fetch, num, den, decode=lambda line: line_shingles(line, k))
+    hasher: list[WordHasher] = []
+
+    def decode(line):
+        if not hasher:
+            hasher.append(WordHasher())
+        return line_shingles(line, k, hasher[0])
+
+    return linked_classes(blocks, fetch, num, den, decode=decode)
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, tie, gone): line numbers to remove from the rows of that id and text hash."""
     classes = line_classes(docs, **options)
 
-    def occurrences(batches):
-        hasher = WordHasher()
-        for rows, data, bounds in text_slices(batches, budget=1 << 21):
-            starts, ends, text, worded = line_spans(data, bounds)
-            first = np.searchsorted(text, np.arange(len(bounds) - 1))
-            number = np.arange(len(text)) - first[text]
-            pick = np.flatnonzero(worded)
-            column = lambda c: rows.column(rows.schema.get_field_index(c)).take(pa.array(text[pick]))
-            yield pa.RecordBatch.from_arrays([column("doc_id"), column("tie"), pa.array(number[pick]), pa.array(hasher(data, starts[pick], ends[pick]).view(np.int64))], names=["doc_id", "tie", "line", "node"])
-
-    keyed = texts(docs).filter("doc_id IS NOT NULL").withColumn("tie", F.xxhash64("text"))
-    seen = keyed.mapInArrow(occurrences, "doc_id long, tie long, line long, node long")
-    seen = materialize(seen.join(classes.hint("merge"), "node", "left").select("doc_id", "tie", "line", F.coalesce("component", "node").alias("c")))
+    seen = line_rows(docs).select("doc_id", "tie", F.col("number").alias("line"), "node")
+    seen = materialize(seen.join(classes, "node", "left").select("doc_id", "tie", "line", F.coalesce("component", "node").alias("c")))
     first = seen.groupBy("c").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = seen.join(first.hint("merge"), "c").filter(F.struct("doc_id", "tie", "line") != F.col("first"))
+    later = seen.join(first, "c").filter(F.struct("doc_id", "tie", "line") != F.col("first"))
     return later.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone"))
 
 
@@ -166,10 +142,10 @@ def without_line_copies(docs: DataFrame, **options) -> DataFrame:
     copies too), plus n_lines and n_removed. n_chars, if there, follows the text."""
     gone = line_decisions(docs, **options).withColumnsRenamed({"doc_id": "_id", "tie": "_tie", "gone": "_gone"})
     body = F.coalesce("text", F.lit(""))
-    joined = docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(body) == F.col("_tie")), "left").drop("_id", "_tie")
-    lines = F.split(body, "\n", -1)
-    out = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    stay = F.transform(F.array(lines), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone").cast("array<int>")), lambda i: F.get(ls, i)))
+    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(body) == F.col("_tie")), "left").drop("_id", "_tie")
+    parts = F.split(body, "\n", -1)
+    out = joined.withColumn("n_lines", F.size(parts).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    stay = F.transform(F.array(parts), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone").cast("array<int>")), lambda i: F.get(ls, i)))
     kept = F.array_join(stay[0], "\n")  # the outer array binds the lines, so they are split once
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -37,8 +37,8 @@ def class_reach(num: int, den: int) -> int:
 
 
 def _blocks(batches, reach: int):
-    """(block, node, pivot) of every key with two nodes or more of like size; input (key,
-    cls, node) sorted.
+    """(block, node, pivot) of every key with two nodes or more of like size; input
+    (key, cls, node) sorted by key.
 
     A key's nodes fall apart where sizes leave a gap. A block's name is the hash of its
     member set, so the many keys that two copies share give one block; a very large one is
@@ -79,6 +79,8 @@ def _blocks(batches, reach: int):
                 continue
             large, pivots = None, {}
         keys, cls, nodes = np.concatenate([keys, k]), np.concatenate([cls, c]), np.concatenate([nodes, n])
+        order = np.lexsort((nodes, cls, keys))  # Spark sorts by one long column fastest
+        keys, cls, nodes = keys[order], cls[order], nodes[order]
         new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])) if len(keys) else np.zeros(0, bool)
         keys, cls, nodes = keys[new], cls[new], nodes[new]
         if not len(keys):
@@ -98,7 +100,7 @@ def _blocks(batches, reach: int):
 def member_blocks(records: DataFrame, num: int, den: int) -> DataFrame:
     """(block, node, pivot) from (key, cls, node): long columns, cls the ``size_class`` of the
     node; repeats allowed."""
-    dealt = records.repartition(shuffle_width(records.sparkSession), "key").sortWithinPartitions("key", "cls", "node")
+    dealt = records.select("key", "cls", "node").repartition(shuffle_width(records.sparkSession), "key").sortWithinPartitions("key")
     return materialize(dealt.mapInArrow(lambda it: _blocks(it, class_reach(num, den)), "block long, node long, pivot long").distinct())
 
 
@@ -137,17 +139,11 @@ def enough(shared, a, b, num: int, den: int):
     return (den + num) * shared >= num * (a + b)
 
 
-def overlap(a, b) -> int:
-    """Common elements of two Python sets, or of two sorted arrays."""
-    if isinstance(a, frozenset):
-        return len(a & b)
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two arrays, each without repeats."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
 
 class CountTree:
@@ -266,7 +262,7 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=as_hashe
     """(node, component) for every node with a link.
 
     blocks: (block, node, pivot). fetch: from a table of nodes to (node, items), items the
-    bytes that ``decode`` turns into a frozenset, or the sorted distinct 64-bit hashes of one.
+    bytes that ``decode`` turns into the distinct 64-bit hashes of the node's set.
     points: (node, vector), the count vectors of the nodes; with them bounds decide which
     pairs are worth their sets, and only those sets are fetched; without them sets are
     small enough to go where their blocks go.
