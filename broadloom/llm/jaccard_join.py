@@ -128,7 +128,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     def fetch(nodes: DataFrame) -> DataFrame:
         one = materialize(homes.select("node", "doc_id").join(nodes, "node"))
         # equal rows of one id give the set once; both keys lie where the join left them
-        chosen = texts(docs).join(one, "doc_id").dropDuplicates(["doc_id", "node", "text"])
+        chosen = texts(docs).join(one.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "node", "text"])
         return materialize(chosen.select("node", "text").mapInArrow(payload, "node long, items binary"))
 
     classes = linked_classes(blocks, fetch, num, den, points=homes.select("node", "vector"))

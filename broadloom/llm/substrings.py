@@ -228,7 +228,7 @@ def keep_mask(n: int, marks, window: int, anchor_window: int = 16) -> np.ndarray
 def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = 8, **options) -> DataFrame:
     """doc_id, kept_text (kept words joined by one space), n_words, n_removed, kept_sha256."""
     marks = repeated_windows(docs, window, anchor, **options).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    joined = texts(docs).join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks")
+    joined = texts(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
 
     def rewrite(batches):
         for batch in batches:
