@@ -57,12 +57,13 @@ def pair_sides(text: Column) -> Column:
 
 def pair_guesses(text: Column) -> Column:
     """All pairs that a title may hold, best guess first: parts between ' | ' or ' / ' that
-    hold one, the whole title, what follows the last ': ', and a tight dash."""
+    hold one, else the whole title without what precedes the last ': '; then a tight dash."""
     parts = F.split(text, r"\s[|/]\s", -1)
     by_part = F.filter(F.transform(parts, pair_sides), lambda p: p.isNotNull())
     tight = F.transform(F.split(text, r"(?<=\S)-(?=\S)", -1), lambda s: F.trim(s))
     tight = F.when((F.size(tight) == 2) & (F.get(tight, F.lit(0)) != "") & (F.get(tight, F.lit(1)) != ""), F.array(tight)).otherwise(F.array().cast("array<array<string>>"))
-    return F.array_distinct(F.concat(by_part, F.filter(F.array(pair_sides(text)), lambda p: p.isNotNull()), tight))
+    whole = F.filter(F.array(pair_sides(text)), lambda p: p.isNotNull())
+    return F.array_distinct(F.concat(F.when((F.size(parts) > 1) & (F.size(by_part) > 0), by_part).otherwise(whole), tight))
 
 
 def category(name: Column) -> Column:
