@@ -1,11 +1 @@
-"""Operators for training-data pipelines. Nothing outside this subpackage imports it.
-
-Functions sent to executors are pickled by value, so executors need numpy and pyarrow but
-not this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for training-data pipelines. Nothing outside this subpackage imports it."""
