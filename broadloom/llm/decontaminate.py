@@ -6,7 +6,7 @@ Seeds of every benchmark item are joined with the seeds of every document positi
 hit fixes an alignment, along which the words of item and document are compared, and an
 overlap of enough words, most of them equal, convicts.
 
-Words are compared with A-Z lower-cased. Defined cases: null or empty texts match nothing;
+Words are compared in lower case. Defined cases: null or empty texts match nothing;
 items of fewer words than ``least`` are no evidence and match nothing; items shorter than
 the masks are looked up as a whole; repeated items and items with one text each report;
 rows that repeat a doc_id report once. Empty tables give an empty result. Columns other than
@@ -69,8 +69,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, overlap:
     A benchmark of at most ``broadcast_words`` words (counted first) is broadcast and looked
     up while documents are scanned; a larger one is joined by seed hash with a shuffle.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)) / 2).first()[0]  # two characters a word, or more
+    docs = texts(docs).withColumn("text", F.lower("text"))
     find = _by_broadcast if words <= broadcast_words else _by_shuffle
     hits = find(docs, items, least, overlap, tolerance)
     return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal_words", "overlap_words", "item_words")).alias("m")).select("doc_id", "item_id", "m.overlap_words", "m.equal_words", "m.item_words")
@@ -98,7 +99,7 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
         data = np.frombuffer(r["text"].encode(), np.uint8)
         starts, ends, _ = word_spans(data, np.array([0, len(data)]))
         if len(starts) >= least:
-            known.append((r["item_id"], hasher(data, starts, ends, lower=True)))
+            known.append((r["item_id"], hasher(data, starts, ends)))
     seeds = [(x, i, at) for i, (_, h) in enumerate(known) for x, at in item_seeds(h)]
     lengths = sorted({len(h) for _, h in known if len(h) < len(MASKS[0])})
     masks = [*MASKS, *("1" * n for n in lengths)]
@@ -115,7 +116,7 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
         for rows, data, bounds in text_slices(batches, budget=1 << 21):
             ids = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
             starts, ends, ptr = word_spans(data, bounds)
-            h = hasher(data, starts, ends, lower=True)
+            h = hasher(data, starts, ends)
             tries = set()
             for mask in masks:
                 s = seed_hashes(h, mask)
@@ -130,7 +131,7 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
                 found += _judge((ids[text], known[i][0]), h[ptr[text] : ptr[text + 1]], known[i][1], offset, least, overlap, tolerance)
             yield _rows(found)
 
-    return texts(docs).mapInArrow(scan, SCHEMA)
+    return docs.mapInArrow(scan, SCHEMA)
 
 
 def _by_shuffle(docs, items, least, overlap, tolerance):
@@ -139,7 +140,7 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
         for rows, data, bounds in text_slices(batches, budget=1 << 21):
             ids = rows.column(rows.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
             starts, ends, ptr = word_spans(data, bounds)
-            h = hasher(data, starts, ends, lower=True)
+            h = hasher(data, starts, ends)
             seed, own, at = [], [], []
             for i, (a, b) in enumerate(zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)):
                 part = h[a:b]
@@ -154,10 +155,10 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cat(seed).astype(np.uint64).view(np.int64)), pa.array(ids[cat(own).astype(np.int64)].astype(np.int64)), pa.array(cat(at).astype(np.int64))], names=["seed", key, "at"])
 
-    d = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(lambda b: seeds(b, "doc_id"), "seed long, doc_id long, at long")
+    d = docs.filter("doc_id IS NOT NULL").mapInArrow(lambda b: seeds(b, "doc_id"), "seed long, doc_id long, at long")
     i = items.filter("item_id IS NOT NULL").mapInArrow(lambda b: seeds(b, "item_id"), "seed long, item_id long, at long")
     tries = d.join(i.withColumnRenamed("at", "place"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("offset")).distinct()
-    pairs = tries.join(items.withColumnRenamed("text", "item_text"), "item_id").join(texts(docs), "doc_id")
+    pairs = tries.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id")
 
     def verify(batches):
         hasher = WordHasher()
@@ -165,7 +166,7 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
         def words(text):
             data = np.frombuffer(text.encode(), np.uint8)
             starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-            return hasher(data, starts, ends, lower=True)
+            return hasher(data, starts, ends)
 
         for batch in batches:
             found = []
