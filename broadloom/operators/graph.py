@@ -48,13 +48,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # below a node lie few others, so here both uses of a node's rows share one shuffle
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition("u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = materialize(hung.filter("u <> v").distinct())
         # every component is a star once no parent has a parent
-        if links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi").isEmpty():
+        roles = links.select(F.col("u").alias("n"), F.lit(1).alias("r")).union(links.select("v", F.lit(2)))
+        if roles.groupBy("n").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo <> hi").isEmpty():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
