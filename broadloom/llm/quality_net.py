@@ -70,7 +70,7 @@ def word_table(docs: DataFrame, buckets: int, dims: int, nonzero: int, strip: in
 
     def gather(batches):
         hasher, total = WordHasher(), np.zeros((rows, dims + 1))
-        for _, data, bounds in text_slices(batches, budget=1 << 21):
+        for _, data, bounds in text_slices(batches, budget=1 << 19):
             word, shape, h, ptr = word_rows(data, bounds, hasher, buckets)
             if not len(h):
                 continue
@@ -78,13 +78,15 @@ def word_table(docs: DataFrame, buckets: int, dims: int, nonzero: int, strip: in
             cut = ptr[1:-1]
             joined[cut[(cut > 0) & (cut < len(h))] - 1] = False
             left = np.flatnonzero(joined)
+            flat, value = [], []
             for row, key in ((word, h), (buckets + shape, shape.astype(np.uint64))):
                 place, sign = index_places(key, dims, nonzero)
                 for j in range(nonzero):
-                    flat = np.concatenate([row[left] * (dims + 1) + place[j][left + 1], row[left + 1] * (dims + 1) + place[j][left]])
-                    value = np.concatenate([sign[j][left + 1], sign[j][left]])
-                    total += np.bincount(flat, weights=value, minlength=total.size).reshape(total.shape)
-                total[:, dims] += np.bincount(row, minlength=rows)
+                    flat += [row[left] * (dims + 1) + place[j][left + 1], row[left + 1] * (dims + 1) + place[j][left]]
+                    value += [sign[j][left + 1], sign[j][left]]
+                flat.append(row * (dims + 1) + dims)
+                value.append(np.ones(len(row)))
+            total += np.bincount(np.concatenate(flat), weights=np.concatenate(value), minlength=total.size).reshape(total.shape)
         for at in range(0, rows, strip):
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total[at : at + strip].astype(np.float32).tobytes()], pa.binary())], names=["at", "part"])
 
@@ -121,7 +123,7 @@ def unit_vectors(table: np.ndarray, buckets: int, dims: int, nonzero: int) -> np
 def pooled(batches, vectors: np.ndarray, buckets: int):
     """(rows, document vectors) of Arrow batches."""
     hasher, dims = WordHasher(), vectors.shape[1]
-    for rows, data, bounds in text_slices(batches, budget=1 << 20):
+    for rows, data, bounds in text_slices(batches, budget=1 << 19):
         word, shape, _, ptr = word_rows(data, bounds, hasher, buckets)
         n = np.diff(ptr)
         out = np.zeros((len(n), 2 * dims + 2), np.float32)

@@ -12,7 +12,7 @@ below one deep node, of which the earliest stays.
 
 Before the shuffle each slice of a partition sends one leaf for each distinct window, the
 earliest; later ones are repeats already. A passage in a third of all documents reaches its
-group once for each slice, not once for each document.
+group once for each slice (4 MB), not once for each document.
 
 Defined cases: null or empty texts have no words; rows that repeat a doc_id and text are the
 same document, so neither removes the other's words, and both return; a null doc_id has no
@@ -64,7 +64,7 @@ RUN = np.dtype([("code", "<u8"), ("row", "<u4"), ("at", "<u4"), ("mask", "<u2")]
 def _send(batches, window: int, anchor: int, groups: int):
     """Rows (group, blob): the leaves of a slice, dealt by the prefix of their anchors."""
     hasher = WordHasher()
-    for rows, data, bounds in text_slices(batches):
+    for rows, data, bounds in text_slices(batches, budget=1 << 22):
         ids = rows.column(rows.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
         starts, ends, ptr = word_spans(data, bounds)
         h = hasher(data, starts, ends)

@@ -6,6 +6,7 @@ inside a multi-byte UTF-8 character, so bytes and code points give the same word
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_slices(batches, column: str = "text", budget: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Give freed memory back: Python workers stay alive between tasks, and what one task
+    needed for a moment would else be held beside the next executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def text_slices(batches, column: str = "text", budget: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``budget`` bytes of text (one row at least), as
     (rows, bytes, offsets). Bounds the numpy memory whatever size a batch has."""
     batch = values = data = None
@@ -44,7 +55,7 @@ def text_slices(batches, column: str = "text", budget: int = 1 << 21) -> Iterato
             yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             i = j
     del batch, values, data
-    pa.default_memory_pool().release_unused()  # workers are kept for later tasks
+    release()
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
