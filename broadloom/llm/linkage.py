@@ -297,9 +297,10 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=as_hashe
         links = links.union(verified(others, sets))
         classes = materialize(components(links))
 
-    members = classed(blocks.select("block", "node"), classes, "node", "c")
-    open_ = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("block", "n")
-    rest = materialize(members.join(open_, "block"))
+    # a block of two with one pivot has had its pair tested
+    members = classed(blocks, classes, "node", "c")
+    open_ = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), (F.min("pivot") != F.max("pivot")).alias("mixed")).filter("lo <> hi AND (n > 2 OR mixed)").select("block", "n")
+    rest = materialize(members.drop("pivot").join(open_, "block"))
     if rest.isEmpty():
         return classes
     k = F.ceil(F.col("n") / piece).cast("long")
