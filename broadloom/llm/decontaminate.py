@@ -48,12 +48,15 @@ def item_seeds(h: np.ndarray, masks=MASKS):
 
 
 def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int, tolerance: float) -> tuple[int, int]:
-    """(words, equal words) of the stretch of an alignment with the most equal words, where
-    a difference costs what keeps its share below ``tolerance``."""
+    """(words, equal words) of the whole alignment if enough of the item is equal, else of the
+    stretch with the most equal words, where a difference costs what keeps its share below
+    ``tolerance``."""
     a, b = max(0, -offset), min(len(item), len(doc) - offset)
     if b <= a:
         return 0, 0
     same = item[a:b] == doc[offset + a : offset + b]
+    if same.sum() >= (1 - tolerance) * len(item):  # the whole item, differences at its ends included
+        return b - a, int(same.sum())
     cost = np.concatenate([[0.0], np.cumsum(np.where(same, tolerance, tolerance - 1.0))])
     low = np.minimum.accumulate(cost)
     end = int(np.argmax(cost - low))
