@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.linkage import linked_classes, member_blocks
+from broadloom.llm.linkage import dealt_records, linked_classes, member_blocks, part_count
 from broadloom.llm.shared import materialize, texts
-from broadloom.llm.tokens import U, WordHasher, mix, text_slices
+from broadloom.llm.tokens import U, WordHasher, byte_spans, mix, text_slices
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -53,13 +53,57 @@ def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
     return codes
 
 
-def line_shingles(line, k: int, hasher: WordHasher) -> np.ndarray:
-    """The sorted distinct shingle codes of one line, A-Z lower-cased."""
-    line = bytes(line).lower()
-    points = np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode().encode("utf-32-le"), "<u4")
-    codes = shingle_codes(hasher, points, min(k, len(points)))
-    codes.sort()
-    return codes[np.append(True, codes[1:] != codes[:-1])]
+def joined_codes(values, k: int, hasher: WordHasher) -> np.ndarray:
+    """The sorted distinct shingle codes of up to 4096 lines, each code's upper 12 bits
+    replaced by the number of its line."""
+    data, bounds = byte_spans(values)
+    raw = data[bounds[0] : bounds[-1]].tobytes().lower()
+    bounds = bounds - bounds[0]
+    if not raw.isascii():
+        at = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        points, bounds = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4"), at[bounds]
+    else:
+        points = np.frombuffer(raw, np.uint8)
+    length = np.diff(bounds)
+    n = np.maximum(0, length - k + 1)
+    line = np.repeat(np.arange(len(n)), n)
+    codes = shingle_codes(hasher, points, k)[np.arange(n.sum()) + np.repeat(bounds[:-1] - np.cumsum(n) + n, n)]
+    short = np.flatnonzero((n == 0) & (length > 0))
+    if len(short):
+        own = [shingle_codes(hasher, points[bounds[i] : bounds[i + 1]], int(length[i]))[0] for i in short.tolist()]
+        line, codes = np.append(line, short), np.append(codes, np.array(own, np.uint64))
+    keys = line.astype(np.uint64) << U(52) | codes >> U(12)
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def line_sets(lines: list[bytes], k: int, hasher: WordHasher, budget: int = 1 << 19) -> list[np.ndarray]:
+    """The sorted distinct shingle codes (52 bits) of each line, A-Z lower-cased."""
+    total, sets, i = np.cumsum([len(x) for x in lines]), [], 0
+    while i < len(lines):
+        before = total[i - 1] if i else 0
+        j = min(i + 4096, max(i + 1, int(np.searchsorted(total, before + budget, "right"))))
+        keys = joined_codes(pa.array(lines[i:j], pa.binary()), k, hasher)
+        cut = np.searchsorted(keys, np.arange(1, j - i, dtype=np.uint64) << U(52))
+        sets += np.split(keys & U((1 << 52) - 1), cut)
+        i = j
+    return sets
+
+
+def line_overlaps(left, right, k: int, hasher: WordHasher, budget: int = 1 << 19):
+    """Common shingles and set sizes of pairs of lines, some thousands of pairs at a time."""
+    total = np.cumsum(np.diff(byte_spans(left)[1]) + np.diff(byte_spans(right)[1]))
+    out, i = [np.zeros((3, 0), np.int64)], 0
+    while i < len(total):
+        before = total[i - 1] if i else 0
+        j = min(i + 4096, max(i + 1, int(np.searchsorted(total, before + budget, "right"))))
+        a, b = (joined_codes(x.slice(i, j - i), k, hasher) for x in (left, right))
+        both = np.concatenate([a, b])
+        both.sort()
+        both = both[1:][both[1:] == both[:-1]]
+        out.append(np.stack([np.bincount((x >> U(52)).astype(np.int64), minlength=j - i) for x in (both, a, b)]))
+        i = j
+    return np.concatenate(out, axis=1)
 
 
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, size: int, hasher: WordHasher) -> np.ndarray:
@@ -106,24 +150,31 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
             key = np.zeros((len(node), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for r in range(rows):
                 key = mix(key ^ values[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], names=["key", "node"])
+            # one size class: lines that agree on a band are alike in size as it is
+            yield dealt_records(key.ravel().view(np.int64), 0, np.repeat(node, bands), parts)
 
-    # one size class: lines that agree on a band are alike in size as it is
-    records = lines.select("node", "line").mapInArrow(keys, "key long, node long").withColumn("cls", F.lit(0).cast("long"))
+    parts = part_count(docs.sparkSession)
+    records = lines.select("node", "line").mapInArrow(keys, "part int, blob binary")
     blocks = member_blocks(records, num, den)
 
     def fetch(nodes: DataFrame) -> DataFrame:
         one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes.hint("shuffle_hash"), "node").dropDuplicates(["node"])
         return materialize(one)
 
-    hasher: list[WordHasher] = []
+    hasher: list[WordHasher] = []  # one for each task
 
-    def decode(line):
+    def own_hasher():
         if not hasher:
             hasher.append(WordHasher())
-        return line_shingles(line, k, hasher[0])
+        return hasher[0]
 
-    return linked_classes(blocks, fetch, num, den, decode=decode)
+    def decode(lines):
+        return line_sets(lines, k, own_hasher())
+
+    def overlaps(left, right):
+        return line_overlaps(left, right, k, own_hasher())
+
+    return linked_classes(blocks, fetch, num, den, decode=decode, overlaps=overlaps)
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:

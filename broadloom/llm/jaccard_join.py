@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.linkage import linked_classes, member_blocks, packed_vector, size_class
+from broadloom.llm.linkage import dealt_records, linked_classes, member_blocks, packed_vector, part_count, size_class
 from broadloom.llm.shared import materialize, texts
 from broadloom.llm.tokens import U, WordHasher, mix, shingle_sets, text_slices, word_spans
 from broadloom.operators.graph import components
@@ -110,9 +110,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             key = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             cls = np.repeat(np.array([size_class(len(s)) for s in full], np.int64), each)
             node = np.repeat(np.array([set_name(s) for s in full], np.int64), each)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, cls, node)], names=["key", "cls", "node"])
+            yield dealt_records(key, cls, node, parts_)
 
-    records = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(keys, "key long, cls long, node long")
+    parts_ = part_count(docs.sparkSession)
+    records = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(keys, "part int, blob binary")
     blocks = member_blocks(records, num, den)
 
     def payload(batches):

@@ -22,6 +22,9 @@ from broadloom.operators.graph import components
 
 #: A block with more members than this is never held as one; its members stream by.
 LARGE = 4096
+#: Records of a part that are held before the large blocks among them are let go.
+HELD = 1 << 21
+RECORD = np.dtype([("key", "<i8"), ("node", "<i8"), ("cls", "<i4")])
 #: Size classes an octave.
 OCTAVE = 8
 
@@ -36,16 +39,28 @@ def class_reach(num: int, den: int) -> int:
     return int(np.log2(den / num) * OCTAVE) + 1
 
 
+def dealt_records(key: np.ndarray, cls, node: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Records as (part, blob): the leading bits of a mixed key name its part, and the records
+    of a part are one value, so Spark moves few rows."""
+    part = ((mix(key.view(np.uint64)) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    full = np.zeros(len(key), RECORD)
+    full["key"], full["node"], full["cls"] = key, node, cls
+    full, part = full[order], part[order]
+    head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    blobs = [full[a:b].tobytes() for a, b in zip(head.tolist(), [*head[1:].tolist(), len(part)], strict=True)] if len(head) else []
+    return pa.RecordBatch.from_arrays([pa.array(part[head], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
 def _blocks(batches, reach: int):
     """(block, node, pivot) of every key with two nodes or more of like size; input
-    (key, cls, node) sorted by key.
+    (part, blob) sorted by part.
 
     A key's nodes fall apart where sizes leave a gap. A block's name is the hash of its
     member set, so the many keys that two copies share give one block; a very large one is
-    named by its key and streamed. The pivot is the first node of the own size bracket."""
-    keys = cls = nodes = np.zeros(0, np.int64)
-    large: int | None = None  # key of the large block being streamed
-    pivots: dict[int, int] = {}  # its pivots by size bracket
+    named by its key, and its members pass as they come. The pivot is the first node of the
+    own size bracket."""
+    large: dict[int, dict[int, int]] = {}  # keys of large blocks: pivots by size bracket
 
     def batch(block, node, pivot):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block, node, pivot)], names=["block", "node", "pivot"])
@@ -62,48 +77,72 @@ def _blocks(batches, reach: int):
         pivot = nodes[np.maximum.accumulate(np.where(bracket, np.arange(len(nodes)), 0))]
         return batch(np.repeat(name, size)[member], nodes[member], pivot[member])
 
-    def streamed(key, cls, nodes):
-        name = int(mix(np.array([key], np.int64).view(np.uint64)).view(np.int64)[0])
-        for b, i in zip(*np.unique(cls // reach, return_index=True), strict=True):
-            pivots.setdefault(int(b), int(nodes[i]))
-        return batch(np.full(len(nodes), name), nodes, np.array([pivots[b] for b in (cls // reach).tolist()], np.int64))
-
+    def streamed(got):
+        for key in np.unique(got["key"]).tolist():
+            name = int(mix(np.array([key], np.int64).view(np.uint64)).view(np.int64)[0])
+            own = np.unique(got[got["key"] == key])
+            level, pivots = own["cls"].astype(np.int64) // reach, large[key]
+            for b, i in zip(*np.unique(level, return_index=True), strict=True):
+                pivots.setdefault(int(b), int(own["node"][i]))
+            yield batch(np.full(len(own), name), own["node"], np.array([pivots[b] for b in level.tolist()], np.int64))
+
+    def met(got):
+        """Records whose key others have too, sorted, each once."""
+        order = np.argsort(got["key"])
+        keys = got["key"][order]
+        same = keys[1:] == keys[:-1]
+        got = got[order[np.append(same, False) | np.append(False, same)]]
+        got = got[np.lexsort((got["node"], got["cls"], got["key"]))]
+        return got[np.append(True, got[1:] != got[:-1])] if len(got) else got
+
+    def solved(held):
+        got = met(np.concatenate(held)) if held else np.zeros(0, RECORD)
+        if len(got):
+            yield rows(got["key"], got["cls"].astype(np.int64), got["node"])
+
+    def let_go(held):
+        """Sends the members of large blocks on; returns the other records."""
+        got = np.unique(np.concatenate(held))
+        key, n = np.unique(got["key"], return_counts=True)
+        found = key[n > LARGE]
+        large.update((k, {}) for k in found.tolist())
+        gone = np.isin(got["key"], found)
+        return got[gone], got[~gone]
+
+    now, held, n, most = None, [], 0, HELD
     for got in batches:
-        k, c, n = (got.column(i).to_numpy() for i in range(3))
-        if large is not None:
-            same = k == large
-            if same.any():
-                yield streamed(large, c[same], n[same])
-            k, c, n = k[~same], c[~same], n[~same]
-            if not len(k):
-                continue
-            large, pivots = None, {}
-        keys, cls, nodes = np.concatenate([keys, k]), np.concatenate([cls, c]), np.concatenate([nodes, n])
-        order = np.lexsort((nodes, cls, keys))  # Spark sorts by one long column fastest
-        keys, cls, nodes = keys[order], cls[order], nodes[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])) if len(keys) else np.zeros(0, bool)
-        keys, cls, nodes = keys[new], cls[new], nodes[new]
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        if last:
-            yield rows(keys[:last], cls[:last], nodes[:last])
-        keys, cls, nodes = keys[last:], cls[last:], nodes[last:]
-        if len(keys) > LARGE:
-            large = int(keys[0])
-            yield streamed(large, cls, nodes)
-            keys, cls, nodes = keys[:0], cls[:0], nodes[:0]
-    if len(keys):
-        yield rows(keys, cls, nodes)
+        for part, blob in zip(got.column(0).to_pylist(), got.column(1), strict=True):
+            if part != now:
+                yield from solved(held)
+                now, held, n, most = part, [], 0, HELD
+                large.clear()
+            records = np.frombuffer(blob.as_buffer(), RECORD)
+            if large:
+                passing = np.isin(records["key"], np.array(list(large), np.int64))
+                yield from streamed(records[passing])
+                records = records[~passing]
+            held.append(records)
+            n += len(records)
+            if n > most:
+                passing, rest = let_go(held)
+                yield from streamed(passing)
+                held, n = [rest], len(rest)
+                most = max(HELD, 2 * n)
+    yield from solved(held)
 
 
 def member_blocks(records: DataFrame, num: int, den: int) -> DataFrame:
-    """(block, node, pivot) from (key, cls, node): long columns, cls the ``size_class`` of the
-    node; repeats allowed."""
-    dealt = records.select("key", "cls", "node").repartition(shuffle_width(records.sparkSession), "key").sortWithinPartitions("key")
+    """(block, node, pivot) from the rows (part, blob) of ``dealt_records``: long keys and
+    nodes, cls the ``size_class`` of the node; repeats allowed."""
+    dealt = records.repartition(shuffle_width(records.sparkSession), "part").sortWithinPartitions("part")
     return materialize(dealt.mapInArrow(lambda it: _blocks(it, class_reach(num, den)), "block long, node long, pivot long").distinct())
 
 
+def part_count(spark) -> int:
+    """Parts for ``dealt_records``: a few for each shuffle partition."""
+    return 8 * shuffle_width(spark)
+
+
 GROUPS = 64
 
 
@@ -189,18 +228,25 @@ def _bounded(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], names=["pivot", "node"])
 
 
-def _verified(batches, num: int, den: int, decode):
+def hash_overlaps(left, right) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common elements and sizes of pairs of sets, given as 64-bit hashes."""
+    raw = a = None  # the left set stays the same for a while
+    out = []
+    for x, y in zip(left, right, strict=True):
+        x = x.as_buffer()
+        if raw is None or not raw.equals(x):
+            raw, a = x, as_hashes(x)
+        b = as_hashes(y.as_buffer())
+        out.append((overlap(a, b), len(a), len(b)))
+    shared, n, m = np.array(out, np.int64).reshape(-1, 3).T
+    return shared, n, m
+
+
+def _verified(batches, num: int, den: int, overlaps):
     """Pairs of sets with enough in common."""
-    raw = a = None  # the pivot stays the same for a while
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x = x.as_buffer()
-            if raw is None or not raw.equals(x):
-                raw, a = x, decode(x)
-            b = decode(y.as_buffer())
-            keep.append(bool(enough(overlap(a, b), len(a), len(b), num, den)))
-        chosen = batch.filter(pa.array(keep, pa.bool_()))
+        shared, n, m = overlaps(batch.column(2), batch.column(3))
+        chosen = batch.filter(pa.array(enough(shared, n, m, num, den), pa.bool_()))
         yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["u", "v"])
 
 
@@ -241,31 +287,51 @@ def _tree_pairs(batches, num: int, den: int):
         yield _pairs(found)
 
 
-def _links_across(batches, num: int, den: int, decode):
+def _links_across(batches, num: int, den: int, decode, at_once: int = 1024, most_bytes: int = 4 << 20):
     """Links between different components of each piece, the sets compared in place; a
-    component that has found its link is not searched again."""
-    for chunk, node, comp, payload in _pieces(batches):
-        sets = [decode(p) for p in payload]
-        sizes, chunk = np.array([len(s) for s in sets]), np.array(chunk)
-        comp = np.unique(np.array(comp), return_inverse=True)[1]
-        across, found = len(set(chunk.tolist())) > 1, []
-        for x in np.argsort(sizes, kind="stable").tolist():
-            near = np.flatnonzero(enough(np.minimum(sizes[x], sizes), sizes[x], sizes, num, den) & (comp != comp[x]) & ((chunk != chunk[x]) | (not across)))
-            for y in near.tolist():
-                if comp[y] != comp[x] and enough(overlap(sets[x], sets[y]), sizes[x], sizes[y], num, den):
-                    comp[comp == comp[y]] = comp[x]
-                    found.append((node[x], node[y]))
-        yield _pairs(found)
-
-
-def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=as_hashes, points: DataFrame | None = None, piece: int = 256) -> DataFrame:
+    component that has found its link is not searched again. Sets of many small pieces are
+    decoded together."""
+
+    def solved(held):
+        sets, found = iter(decode([p for *_, payload in held for p in payload])), []
+        for chunk, node, comp, payload in held:
+            found += _piece_links(chunk, node, comp, [next(sets) for _ in payload], num, den)
+        return _pairs(found)
+
+    held, n, size = [], 0, 0
+    for piece in _pieces(batches):
+        held.append(tuple(piece))
+        n += len(held[-1][1])
+        size += sum(len(p) for p in held[-1][3])
+        if n >= at_once or size >= most_bytes:
+            yield solved(held)
+            held, n, size = [], 0, 0
+    if held:
+        yield solved(held)
+
+
+def _piece_links(chunk, node, comp, sets, num: int, den: int) -> list[tuple[int, int]]:
+    sizes, chunk = np.array([len(s) for s in sets]), np.array(chunk)
+    comp = np.unique(np.array(comp), return_inverse=True)[1]
+    across, found = len(set(chunk.tolist())) > 1, []
+    for x in np.argsort(sizes, kind="stable").tolist():
+        near = np.flatnonzero(enough(np.minimum(sizes[x], sizes), sizes[x], sizes, num, den) & (comp != comp[x]) & ((chunk != chunk[x]) | (not across)))
+        for y in near.tolist():
+            if comp[y] != comp[x] and enough(overlap(sets[x], sets[y]), sizes[x], sizes[y], num, den):
+                comp[comp == comp[y]] = comp[x]
+                found.append((node[x], node[y]))
+    return found
+
+
+def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, overlaps=hash_overlaps, points: DataFrame | None = None, piece: int = 256) -> DataFrame:
     """(node, component) for every node with a link.
 
     blocks: (block, node, pivot). fetch: from a table of nodes to (node, items), items the
-    bytes that ``decode`` turns into the distinct 64-bit hashes of the node's set.
+    bytes of the node's set; ``overlaps`` measures many pairs of such bytes at once.
     points: (node, vector), the count vectors of the nodes; with them bounds decide which
     pairs are worth their sets, and only those sets are fetched; without them sets are
-    small enough to go where their blocks go.
+    small enough to go where their blocks go, and ``decode`` turns a list of such bytes into
+    arrays of distinct hashes.
 
     A node is first tested against its smallest pivot, then against its others as far as
     their components differ, then against the rest of its blocks, likewise.
@@ -274,7 +340,7 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=as_hashe
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         mine = pairs.join(sets, "node").withColumnRenamed("items", "b")
         both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("a")), "pivot")
-        return materialize(both.select("pivot", "node", "a", "b").mapInArrow(lambda it: _verified(it, num, den, decode), "u long, v long"))
+        return materialize(both.select("pivot", "node", "a", "b").mapInArrow(lambda it: _verified(it, num, den, overlaps), "u long, v long"))
 
     def classed(df: DataFrame, classes: DataFrame, node: str, out: str) -> DataFrame:
         named = classes.select(F.col("node").alias(node), F.col("component").alias("_c"))

@@ -34,6 +34,14 @@ def release() -> None:
         pass  # another C library
 
 
+def byte_spans(values) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow array of strings or binaries without nulls."""
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    bounds = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    raw = values.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), bounds
+
+
 def text_slices(batches, column: str = "text", budget: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``budget`` bytes of text (one row at least), as
     (rows, bytes, offsets). Bounds the numpy memory whatever size a batch has."""
@@ -42,14 +50,10 @@ def text_slices(batches, column: str = "text", budget: int = 1 << 20) -> Iterato
         values = batch.column(batch.schema.get_field_index(column))
         if values.null_count:
             values = values.fill_null("")
-        kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
-        n, at = len(values), values.offset
+        n, i = len(values), 0
         if not n:
             continue
-        bounds = np.frombuffer(values.buffers()[1], dtype=kind)[at : at + n + 1].astype(np.int64)
-        raw = values.buffers()[2]
-        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        i = 0
+        data, bounds = byte_spans(values)
         while i < n:
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + budget, "right")) - 1)
             yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]

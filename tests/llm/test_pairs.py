@@ -24,6 +24,7 @@ def test_jaccard_join_matches_brute_force(spark):
 
 def test_jaccard_join_with_streamed_blocks(spark, monkeypatch):
     monkeypatch.setattr(linkage, "LARGE", 3)
+    monkeypatch.setattr(linkage, "HELD", 50)
     rows = corpus(seed=2)
     assert as_set(jaccard_components(frame(spark, rows))) == brute.jaccard_components([(r[0], r[1]) for r in rows])
 
@@ -42,6 +43,24 @@ def test_jaccard_join_edges(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 3, 4]
 
 
+def test_line_overlaps_in_bulk():
+    import numpy as np
+    import pyarrow as pa
+
+    from broadloom.llm.fuzzy_lines import line_overlaps, line_sets
+    from broadloom.llm.tokens import WordHasher
+
+    left = ["a plain line of words", "short", "Grüße aus München, alle", "x", "aaaaaaaaaaaaaaaaaaaa", "ABC def ghi jkl"]
+    right = ["a plain line of word", "short", "Grüße aus Münchem, alle", "y", "aaaaaaaaaaaaa", "abc def ghi jkm"]
+    hasher = WordHasher()
+    text = [{x.lower()[i : i + 8] for i in range(max(1, len(x) - 7))} for x in left + right]
+    want = [(len(a & b), len(a), len(b)) for a, b in zip(text[:6], text[6:], strict=True)]
+    for budget in (1, 1 << 19):
+        assert [len(s) for s in line_sets([x.encode() for x in left + right], 8, hasher, budget)] == [len(s) for s in text]
+        got = line_overlaps(*(pa.array([x.encode() for x in ["pad", *side]]).slice(1) for side in (left, right)), 8, hasher, budget)
+        assert [tuple(x) for x in got.T.tolist()] == want
+
+
 def test_count_tree_returns_every_pair_that_may_link():
     import numpy as np
 
