@@ -1,9 +1,11 @@
 """Jaccard join, fuzzy lines and substring dedup against brute force, with their edges."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from broadloom.llm import linkage
-from broadloom.llm.fuzzy_lines import line_report, without_line_copies
+from broadloom.llm.fuzzy_lines import line_classes, line_report, without_line_copies
 from broadloom.llm.jaccard_join import jaccard_components, one_of_each
 from broadloom.llm.linkage import CountTree, count_vector, enough
 from broadloom.llm.substrings import dedup_substrings
@@ -135,6 +137,17 @@ def test_fuzzy_lines_match_brute_force(spark):
     assert all(sum(got[d] for d in set(v)) >= len(v) - 1 for v in exact.values())  # equal lines always
 
 
+def test_fuzzy_lines_meet_at_the_threshold(spark):
+    rng, n, rows = random.Random(8), 2000, []
+    for i in range(n):  # 280 shingles, 240 of them common: similarity 240 / 320
+        line = [rng.choice("bcdfghklmnprstvz") for _ in range(287)]
+        near = ["a" if at in (47, 95, 143, 191, 239) else c for at, c in enumerate(line)]
+        rows.append((i, "".join(line) + "\n" + "".join(near), "en", "src0", 0))
+    found = line_classes(frame(spark, rows)).groupBy("component").count()
+    assert found.filter("count > 2").isEmpty()
+    assert found.count() >= 0.985 * n  # 0.989 by the formula for 12 bands, 0.967 for 9
+
+
 def test_fuzzy_lines_edges(spark):
     rows = [(2, "same line here\n\n \nother text of this row"), (1, "same line here"), (3, "SAME line here"), (4, "x\ny"), (5, "x"), (None, "same line here"), (6, None), (7, ""), (1, "same line here")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("line", F.lit(1)).withColumn("tie", F.lit(1))
