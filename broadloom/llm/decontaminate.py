@@ -15,6 +15,8 @@ doc_id, item_id and text are ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,19 +51,25 @@ def item_seeds(h: np.ndarray, masks=MASKS):
 
 def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int, tolerance: float) -> tuple[int, int]:
     """(words, equal words) of the whole alignment if enough of the item is equal, else of the
-    stretch with the most equal words, where a difference costs what keeps its share below
-    ``tolerance``."""
+    longest stretch that begins and ends with equal words and has at most ``tolerance`` of
+    different ones; of stretches of one length, that with the most equal words."""
     a, b = max(0, -offset), min(len(item), len(doc) - offset)
     if b <= a:
         return 0, 0
     same = item[a:b] == doc[offset + a : offset + b]
     if same.sum() >= (1 - tolerance) * len(item):  # the whole item, differences at its ends included
         return b - a, int(same.sum())
-    cost = np.concatenate([[0.0], np.cumsum(np.where(same, tolerance, tolerance - 1.0))])
-    low = np.minimum.accumulate(cost)
-    end = int(np.argmax(cost - low))
-    start = int(np.flatnonzero(cost[: end + 1] == low[end])[0])
-    return end - start, int(same[start:end].sum())
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0
+    part, whole = Fraction(tolerance).limit_denominator(10**6).as_integer_ratio()
+    equal = np.concatenate([[0], np.cumsum(same)])
+    worth = whole * equal - (whole - part) * np.arange(len(equal))  # never falls over a stretch within tolerance
+    # the first start from which each end is no fall; the least worth so far falls from start to start
+    ends = starts + 1
+    begin = starts[np.searchsorted(-np.minimum.accumulate(worth[starts]), -worth[ends])]
+    n, same = max(zip((ends - begin).tolist(), (equal[ends] - equal[begin]).tolist(), strict=True))
+    return n, same
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, overlap: int = 13, tolerance: float = 0.25, broadcast_words: int = 2_000_000) -> DataFrame:

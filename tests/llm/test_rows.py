@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from broadloom.llm import mixing
-from broadloom.llm.decontaminate import contaminated, without_leaks
+from broadloom.llm.decontaminate import best_overlap, contaminated, without_leaks
 from broadloom.llm.mixing import mix_blocks, mix_report, permuted, targets
 from broadloom.llm.pii import estimate, personal_spans, train
 from broadloom.llm.quality_net import good_documents, quality_scores
@@ -244,6 +245,40 @@ def test_leaks_by_shuffle_equal_those_by_broadcast(spark):
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
 
 
+def longest_overlap(same, tolerance):
+    found = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1]]
+    return max([f for f in found if f[0] - f[1] <= tolerance * f[0]], default=(0, 0))
+
+
+def test_partial_excerpts_match_brute_force():
+    rng, lost = random.Random(9), 0
+    cases = [[1] * 12 + [0] + [1] * 3, [1] * 12 + [0] * 2 + [1] * 6, [1] * 12 + [0] * 3 + [1] * 9, [0] * 5, [1] * 10 + [0] * 9]
+    for n in range(13, 26):
+        for _ in range(40):
+            gone = rng.sample(range(1, n - 1), rng.randrange(n // 4 + 1))
+            cases.append([int(i not in gone) for i in range(n)])
+    for core in cases:
+        same = [0] * 20 + core + [0] * 20 + [1, 0, 1]
+        item = np.arange(len(same), dtype=np.uint64)
+        doc = np.where(np.array(same, bool), item, item + np.uint64(1000))
+        for tolerance in (0.25, 0.1):
+            assert best_overlap(item, np.append(doc[:3], doc), 3, tolerance) == longest_overlap(same, tolerance)
+        lost += best_overlap(item, doc, 0, 0.25)[0] < 13
+    assert lost == 2  # the two cases that are no leaks
+
+
+def test_partial_excerpts_are_leaks(spark):
+    rng = random.Random(10)
+    items, rows = [], []
+    for i, core in enumerate(([1] * 12 + [0] + [1] * 3, [1] * 12 + [0] * 2 + [1] * 6, [1] * 12 + [0] * 3 + [1] * 9, [1] * 12)):
+        words = [f"item{i}word{j}" for j in range(60)]
+        items.append((i, " ".join(words)))
+        rows.append((i, prose(rng, 30) + " " + " ".join(w if x else "CHANGED" for w, x in zip(words[15:], core, strict=False)) + " " + prose(rng, 30)))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.overlap_words, r.equal_words) for r in contaminated(docs, items).collect())
+    assert got == [(0, 0, 16, 15), (1, 1, 20, 18), (2, 2, 24, 21)]
+
+
 def test_mix_meets_targets_and_limits(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.randrange(1, 400)), "en", "big" if i % 3 else f"s{i % 12}", 0) for i in range(500)] + [(900, None, "en", None, 0), (901, "a b c", "en", None, 0), (902, "", "en", "big", 0)]
