@@ -63,6 +63,15 @@ def bridge_components(spark: SparkSession, d: str) -> DataFrame:
     return components(e)
 
 
+@query("bridge_components_all")
+def bridge_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers (even nodes) and orders (odd nodes) that any line ties; a recursive query is
+    too slow for it, so tests hold a brute-force version."""
+    from broadloom.operators.graph import components
+
+    return components(table(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_orderkey") * 2 + 1).alias("b")))
+
+
 @query("latin_names")
 def latin_names(spark: SparkSession, d: str) -> DataFrame:
     first = F.regexp_extract("text", r"^\s*(\S+)", 1)

@@ -93,6 +93,26 @@ def test_components_match_brute_force(spark):
     assert got == {(x, find(x)) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_bridge_components_over_all_lines_match_brute_force(spark):
+    from __spark_entry__ import queries
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey", "l_orderkey").collect()
+    edges = [(2 * r.l_suppkey, 2 * r.l_orderkey + 1) for r in lines]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    got = [(r.node, r.component) for r in queries()["bridge_components_all"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in root)
+
+
 def test_pointer_chains_and_cycles(spark):
     rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, 99), (10, 11), (11, 12), (12, 10)]
     got = {r.node: r.survivor for r in ST.survivors(spark.createDataFrame(rows, "n long, up long"), "n", "up").collect()}
