@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators import relational as R
-from broadloom.plans.catalog import query
+from broadloom.plans.catalog import ORACLES, query
 from broadloom.sources.tables import table
 
 NOW = "1998-06-15 12:00:00"
@@ -157,6 +157,16 @@ def listing_order(spark: SparkSession, d: str) -> DataFrame:
     return listing.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")).cast("long").alias("pos"))
 
 
+@query("listing_order_all", """
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F', o_orderdate, o_orderkey) AS pos FROM orders""")
+def listing_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same order over all orders, numbered within each customer's listing."""
+    from pyspark.sql import Window
+
+    listing = Window.partitionBy("o_custkey").orderBy(F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(listing).cast("long").alias("pos"))
+
+
 @query("latest_rows", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
 def latest_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(100)

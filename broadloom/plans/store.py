@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators import store as S
-from broadloom.plans.catalog import query
+from broadloom.plans.catalog import ORACLES, query
 from broadloom.sources.tables import table
 
 
@@ -142,8 +142,20 @@ n AS (SELECT *, bool_or(sport = asked) OVER (PARTITION BY c_custkey) AS any_spor
 SELECT c_custkey, CASE WHEN max(team) IS NULL THEN 'unknown' WHEN count(DISTINCT club) > 1 THEN 'disputed' WHEN count(DISTINCT sport) = 1 AND max(sport) <> max(asked) THEN 'other sport' ELSE 'found' END AS how,
   CASE WHEN count(DISTINCT club) = 1 AND max(sport) = max(asked) THEN max(team) END AS team FROM k GROUP BY 1""")
 def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
-    part, cust = table(spark, d, "part"), table(spark, d, "customer")
+    part = table(spark, d, "part")
+    return _resolved(spark, d, part.filter("p_partkey < 400"), part.withColumn("_slot", F.col("p_partkey") - 300), F.lit(1000))
+
+
+@query("alias_resolution_all", ORACLES["alias_resolution"].replace(" WHERE p_partkey < 400", "").replace("(c_custkey * 7) % 1000 + 300", "(c_custkey * 7) % (SELECT max(p_partkey) + 1 FROM part)"))
+def alias_resolution_all(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases of all parts; customers ask for part keys from the whole range."""
+    part = table(spark, d, "part")
+    return _resolved(spark, d, part, part.withColumn("_slot", F.col("p_partkey")), part.agg(F.max("p_partkey") + 1).scalar())
+
+
+def _resolved(spark, d, known, wanted, slots):
+    cust = table(spark, d, "customer")
     named = lambda *extra: ("p_name", F.lit("en").alias("lang"), F.substring("p_type", 1, 1).alias("sport"), F.lit("").alias("category"), *extra)
-    aliases = part.filter("p_partkey < 400").select(*named(F.col("p_partkey").alias("team"), F.col("p_brand").alias("club"), F.lit(False).alias("is_canonical"))).withColumnRenamed("p_name", "alias")
-    asked = cust.join(part, F.col("p_partkey") == (F.col("c_custkey") * 7) % 1000 + 300).select("c_custkey", *named()).withColumnRenamed("p_name", "alias")
+    aliases = known.select(*named(F.col("p_partkey").alias("team"), F.col("p_brand").alias("club"), F.lit(False).alias("is_canonical"))).withColumnRenamed("p_name", "alias")
+    asked = cust.withColumn("_slot", (F.col("c_custkey") * 7) % slots).join(wanted, "_slot").select("c_custkey", *named()).withColumnRenamed("p_name", "alias")
     return S.alias_ladder(asked, aliases, "c_custkey")
