@@ -9,7 +9,8 @@ overlap of enough words, most of them equal, convicts.
 Words are compared in lower case. Defined cases: null or empty texts match nothing;
 items of fewer words than ``least`` are no evidence and match nothing; items shorter than
 the masks are looked up as a whole; repeated items and items with one text each report;
-rows that repeat a doc_id report once. Empty tables give an empty result. Columns other than
+rows that repeat a doc_id report once; rows with a null doc_id and items with a null
+item_id match nothing, so such rows stay. Empty tables give an empty result. Columns other than
 doc_id, item_id and text are ignored.
 """
 
@@ -80,9 +81,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, overlap:
     A benchmark of at most ``broadcast_words`` words (counted first) is broadcast and looked
     up while documents are scanned; a larger one is joined by seed hash with a shuffle.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).filter("item_id IS NOT NULL")
     words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)) / 2).first()[0]  # two characters a word, or more
-    docs = texts(docs).withColumn("text", F.lower("text"))
+    docs = texts(docs).filter("doc_id IS NOT NULL").withColumn("text", F.lower("text"))
     find = _by_broadcast if words <= broadcast_words else _by_shuffle
     hits = find(docs, items, least, overlap, tolerance)
     return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal_words", "overlap_words", "item_words")).alias("m")).select("doc_id", "item_id", "m.overlap_words", "m.equal_words", "m.item_words")
@@ -166,8 +167,8 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cat(seed).astype(np.uint64).view(np.int64)), pa.array(ids[cat(own).astype(np.int64)].astype(np.int64)), pa.array(cat(at).astype(np.int64))], names=["seed", key, "at"])
 
-    d = docs.filter("doc_id IS NOT NULL").mapInArrow(lambda b: seeds(b, "doc_id"), "seed long, doc_id long, at long")
-    i = items.filter("item_id IS NOT NULL").mapInArrow(lambda b: seeds(b, "item_id"), "seed long, item_id long, at long")
+    d = docs.mapInArrow(lambda b: seeds(b, "doc_id"), "seed long, doc_id long, at long")
+    i = items.mapInArrow(lambda b: seeds(b, "item_id"), "seed long, item_id long, at long")
     tries = d.join(i.withColumnRenamed("at", "place"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("offset")).distinct()
     pairs = tries.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id")
 

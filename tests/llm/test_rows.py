@@ -245,6 +245,17 @@ def test_leaks_by_shuffle_equal_those_by_broadcast(spark):
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_null_keys_are_no_leaks_on_either_path(spark):
+    docs, items, _ = leaks_case(spark)
+    text = items.filter("item_id = 0").first().text
+    docs = docs.union(spark.createDataFrame([(None, text, "x")], docs.schema))
+    items = items.union(spark.createDataFrame([(None, text)], items.schema))
+    for words in (0, 2_000_000):
+        found = contaminated(docs, items, broadcast_words=words)
+        assert found.count() > 0 and found.filter("doc_id IS NULL OR item_id IS NULL").isEmpty()
+        assert without_leaks(docs, items, broadcast_words=words).filter("doc_id IS NULL").count() == 1
+
+
 def longest_overlap(same, tolerance):
     found = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1]]
     return max([f for f in found if f[0] - f[1] <= tolerance * f[0]], default=(0, 0))
