@@ -74,5 +74,6 @@ def bridge_components_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("latin_names")
 def latin_names(spark: SparkSession, d: str) -> DataFrame:
-    first = F.regexp_extract("text", r"^\s*(\S+)", 1)
-    return table(spark, d, "documents").select(first.alias("name")).distinct().select("name", N.latin(F.col("name")).alias("latin"), N.normal_form(F.col("name")).alias("normal"))
+    """Every distinct word of the documents."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1))
+    return table(spark, d, "documents").select(words.alias("name")).distinct().select("name", N.latin(F.col("name")).alias("latin"), N.normal_form(F.col("name")).alias("normal"))

@@ -33,6 +33,8 @@ SELECT doc_id, CASE
 
 @query("live_verdict_cascade", VERDICT_SQL)
 def live_verdict_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The operator judges a grid row by two short fields, title and signals; a document's first
+    and second line stand in for them, and its further lines for no field of a row."""
     lines = F.split("text", "\n", -1)
     rows = table(spark, d, "documents").select("doc_id", lines[0].alias("title"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("signals"))
     m = C.Markers(live=MARKERS.live, not_live=MARKERS.not_live, stop_titles=MARKERS.stop_titles, stop_genres=MARKERS.stop_genres, keep=MARKERS.keep)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -113,6 +114,14 @@ def test_bridge_components_over_all_lines_match_brute_force(spark):
     assert sorted(got) == sorted((x, find(x)) for x in root)
 
 
+def test_latin_names_take_every_word(spark):
+    from __spark_entry__ import queries
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = [r.name for r in queries()["latin_names"](spark, "/root/testdata/sf0.001").select("name").collect()]
+    assert sorted(got) == sorted({w for t in texts for w in re.findall(r"[^ \t\n\x0b\f\r]+", t or "")})
+
+
 def test_pointer_chains_and_cycles(spark):
     rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, 99), (10, 11), (11, 12), (12, 10)]
     got = {r.node: r.survivor for r in ST.survivors(spark.createDataFrame(rows, "n long, up long"), "n", "up").collect()}
