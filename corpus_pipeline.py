@@ -51,7 +51,8 @@ STAGES = [
     ("mixing sources to target weights", source_mixing),
 ]
 
-#: A trained network and drawn mixes are beyond SQL; tests/llm holds a brute-force version.
+#: A trained network and drawn mixes are beyond SQL. tests/llm checks that the stages run and
+#: keep the columns, and holds brute-force versions of single operators, none of the pipeline.
 ORACLE_SQL = None
 
 
