@@ -4,30 +4,37 @@ Base kinds (email, ip, card, phone) are certain by format. Further candidates (l
 numbers, bank account and social security numbers, names after a title) are uncertain: a
 format labeler, a gazetteer labeler and a context labeler each vote yes, no or abstain.
 Expectation maximisation over the counted vote patterns of the whole corpus estimates how
-reliable each labeler is, and its posteriors train a logistic span classifier over the votes,
-emitted as a Spark expression. Vote patterns number 27 a kind, so the driver sees a table of
-fixed size, whatever the corpus.
+reliable each labeler is. Its posteriors train a logistic span classifier over the votes and
+over features of the span that no labeler looks at (length, share of digits and capitals,
+words, what stands before), emitted as a Spark expression. In training each vote is hidden
+in turn, so that the features learn to stand in for a labeler that abstains. Votes and
+features take few values each, so the driver sees their counts, a table of bounded size (at
+most 28,350 rows a kind) whatever the corpus.
 
 Defined cases: null or empty text has no spans; spans of different base kinds may overlap,
 added ones never overlap a base span; rows that repeat a doc_id are searched each; a null
 doc_id is an ordinary row; an empty table gives an empty result, and a kind without
 candidates has no classifier and adds nothing. Columns other than doc_id and text are
-ignored.
+ignored. Texts and single matches of any length are searched in time n log n.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.native_spans import apart, find_spans, named
-from broadloom.llm.shared import texts
+from broadloom.llm.native_spans import apart, bind, find_spans, named
+from broadloom.llm.shared import materialize, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+#: The base patterns, with possessive repeats (what follows a repeat is never one of its own
+#: characters, so nothing is to give back) and starts only where a run begins or the last
+#: match ended: the same matches, in linear time and without recursion.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: The runs of `[0-9]([\x20-]?[0-9])+` that have 16 to 19 digits: a run begins where no digit,
 #: nor a digit and one separator, stands before, and ends where none follows.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9]([\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
@@ -76,29 +83,48 @@ def votes(kind: str, x: Column) -> list[Column]:
     return [F.when(x["text"].rlike(strict), F.lit(1)).otherwise(F.lit(-1)), F.when(x["text"].rlike(gazetteer), F.lit(1)).otherwise(F.lit(0)), F.when(x["before"].rlike(context), F.lit(1)).otherwise(F.lit(0))]
 
 
+#: Features of a span: number of values, and the value (0 to one less).
+FEATURES = {
+    "digits": (5, lambda x: F.floor(4 * digits_in(x["text"]) / F.length(x["text"]))),
+    "capitals": (5, lambda x: F.floor(4 * (F.length(x["text"]) - F.length(F.regexp_replace(x["text"], r"\p{Lu}", ""))) / F.length(x["text"]))),
+    "words": (2, lambda x: F.least(F.lit(1), F.length(x["text"]) - F.length(F.translate(x["text"], " ", "")))),
+    "length": (7, lambda x: F.least(F.lit(6), F.floor(F.log2(F.length(x["text"]).cast("double"))))),
+    "before": (3, lambda x: F.when(x["before"].rlike(r"[:=]\x20*$"), F.lit(2)).when(x["before"].rlike(r"\p{L}\x20*$"), F.lit(1)).otherwise(F.lit(0))),
+}
+
+
+def measured(kind: str, spans: Column) -> Column:
+    """Spans with their votes v0, v1, v2 and feature values f0, f1 ..."""
+    def one(x: Column) -> Column:
+        seen = [v.alias(f"v{i}") for i, v in enumerate(votes(kind, x))] + [f(x).cast("int").alias(f"f{i}") for i, (_, f) in enumerate(FEATURES.values())]
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), *seen)
+
+    return F.transform(spans, one)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans of each kind, and weak candidates that overlap none of them."""
+    """doc_id, the base spans of each kind (start, end), and the measured weak candidates
+    that overlap none of them. Written to the shared folder, so texts are searched once."""
     rows = texts(docs)
     found = rows.select("doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), *(find_spans(F.col("text"), WEAK[k][0], context=24).alias(f"weak_{k}") for k in WEAK))
+    places = found.select("doc_id", *(F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS), *(f"weak_{k}" for k in WEAK))
     base = F.concat(*KINDS)
-    # arrays bound by an outer transform, so that no lambda computes them again
-    def free(kind: str) -> Column:
-        weak = F.col(f"weak_{kind}")
-        return F.when(F.size(weak) == 0, weak).otherwise(F.transform(F.array(F.struct(weak.alias("weak"), base.alias("base"))), lambda s: apart(s["weak"], s["base"]))[0])
-
-    return found.select("doc_id", *KINDS, *(free(k).alias(f"weak_{k}") for k in WEAK))
 
+    def free(kind: str) -> Column:
+        # bound, so that no lambda computes the arrays again
+        return bind(F.struct(F.col(f"weak_{kind}").alias("weak"), base.alias("base")), lambda s: measured(kind, apart(s["weak"], s["base"])))
 
-def vote_counts(docs: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """(kind, votes, count) over the whole corpus: at most 27 rows a kind."""
-    text = F.col("text")
+    return materialize(places.select("doc_id", *KINDS, *(free(k).alias(f"weak_{k}") for k in WEAK)))
 
-    def voted(kind: str) -> Column:
-        return F.transform(find_spans(text, WEAK[kind][0], context=24), lambda x: F.struct(F.lit(kind).alias("kind"), *(v.alias(f"v{i}") for i, v in enumerate(votes(kind, x)))))
 
-    every = F.concat(*(voted(k) for k in WEAK))
-    rows = texts(docs).select(F.explode(every).alias("s")).groupBy("s.kind", "s.v0", "s.v1", "s.v2").count().collect()
-    return sorted((r["kind"], (r["v0"], r["v1"], r["v2"]), r["count"]) for r in rows)
+def pattern_counts(found: DataFrame) -> dict[str, list[tuple[tuple[int, ...], tuple[int, ...], int]]]:
+    """(votes, features, count) by kind, over the candidates of the whole corpus."""
+    keys = [f"v{i}" for i in range(3)] + [f"f{i}" for i in range(len(FEATURES))]
+    rows = found.select(F.explode(F.concat(*(f"weak_{k}" for k in WEAK))).alias("s")).groupBy("s.kind", *(f"s.{k}" for k in keys)).count()
+    out: dict[str, list] = {}
+    for kind, *values, n in sorted(tuple(r) for r in rows.collect()):
+        out.setdefault(kind, []).append((tuple(values[:3]), tuple(values[3:]), n))
+    return out
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.5) -> tuple[dict[tuple[int, ...], float], list[float]]:
@@ -124,18 +150,20 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior:
     return post, [prior * true[i][1] + (1 - prior) * false[i][-1] for i in range(m)]
 
 
-def train(counts: list[tuple[tuple[int, ...], int]], post: dict[tuple[int, ...], float], steps: int = 400, rate: float = 0.5) -> list[float]:
-    """Logistic weights over the votes (constant last), fitted to the posteriors."""
-    total = sum(n for _, n in counts)
-    w = [0.0] * (len(counts[0][0]) + 1)
+def train(patterns: list[tuple[tuple[int, ...], tuple[int, ...], int]], post: dict[tuple[int, ...], float], steps: int = 400, rate: float = 0.5) -> list[float]:
+    """Logistic weights over the votes, then each value of each feature, constant last,
+    fitted to the posteriors; each vote is hidden in turn."""
+    values = [n for n, _ in FEATURES.values()]
+    votes_, feats = np.array([p[0] for p in patterns], float), np.array([p[1] for p in patterns])
+    weight, want = np.array([p[2] for p in patterns], float), np.array([post[p[0]] for p in patterns])
+    hot = np.concatenate([np.eye(n)[feats[:, i]] for i, n in enumerate(values)], axis=1)
+    seen = [votes_] + [np.where(np.arange(votes_.shape[1]) == i, 0, votes_) for i in range(votes_.shape[1])]
+    x = np.concatenate([np.column_stack([v, hot, np.ones(len(v))]) for v in seen])
+    y, weight = np.tile(want, len(seen)), np.tile(weight / weight.sum() / len(seen), len(seen))
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        g = [0.0] * len(w)
-        for v, n in counts:
-            x = (*v, 1)
-            d = post[v] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
-            g = [a + d * b * n / total for a, b in zip(g, x, strict=True)]
-        w = [a + rate * b - 1e-3 * rate * a for a, b in zip(w, g, strict=True)]
-    return w
+        w += rate * (x.T @ (weight * (y - 1 / (1 + np.exp(-x @ w)))) - 1e-3 * w)
+    return w.tolist()
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
@@ -143,17 +171,24 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
     base_sha256 covers the base spans by kind, then start; spans lists all, base kinds first,
     then added kinds by name."""
-    by_kind: dict[str, list] = {}
-    for kind, v, n in vote_counts(docs):
-        by_kind.setdefault(kind, []).append((v, n))
-    weights = {kind: train(counts, estimate(counts)[0]) for kind, counts in by_kind.items()}
     found = candidates(docs)
+    weights = {}
+    for kind, patterns in pattern_counts(found).items():
+        by_votes: dict[tuple[int, ...], int] = {}
+        for v, _, n in patterns:
+            by_votes[v] = by_votes.get(v, 0) + n
+        weights[kind] = train(patterns, estimate(sorted(by_votes.items()))[0])
 
     def accepted(kind: str) -> Column:
+        own = weights[kind]
+
         def sure(x: Column) -> Column:
-            z = F.lit(weights[kind][-1])
-            for w, v in zip(weights[kind], votes(kind, x), strict=False):
-                z = z + v * F.lit(w)
+            z, at = F.lit(own[-1]), 3
+            for i in range(3):
+                z = z + x[f"v{i}"] * F.lit(own[i])
+            for i, (n, _) in enumerate(FEATURES.values()):
+                z = z + F.get(F.array(*(F.lit(c) for c in own[at : at + n])), x[f"f{i}"])
+                at += n
             return z > 0
 
         return F.filter(F.col(f"weak_{kind}"), sure)

@@ -9,8 +9,8 @@ allow-list silences strings that look random and are not secret.
 
 Defined cases: null or empty text has no spans; base spans of different kinds may overlap,
 entropy spans never overlap a base span; rows that repeat a doc_id are searched each; a null
-doc_id is an ordinary row; an empty table gives an empty result. Columns other than doc_id
-and text are ignored.
+doc_id is an ordinary row; an empty table gives an empty result. A candidate may be as long
+as its text: time is linear in its length. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.native_spans import apart, find_spans
+from broadloom.llm.native_spans import apart, bind, find_spans
 from broadloom.llm.shared import texts
 
 KINDS = ("assign", "access", "hex")
@@ -40,38 +40,46 @@ ALLOWED = [
 ]
 
 
+#: Counts of 12 alphabet characters, 5 bits each, share one long.
+PACKED, BITS = 12, 5
+
+
 def window_entropy(candidate: Column, window: int) -> Column:
-    """The highest entropy (bits a character) of any ``window`` consecutive characters of a
-    string over ALPHABET, null for a shorter one.
+    """The highest entropy (bits a character) of any ``window`` (31 at most) consecutive
+    characters of a string over ALPHABET, null for a shorter one.
 
-    State: n, how often each alphabet character is in the window; total, the sum of
-    c log2 c over it; least, the smallest total of a full window, from which the highest
-    entropy follows."""
+    The string is split once into alphabet places. State: n, how often each alphabet
+    character is in the window, packed into six longs; total, the sum of c log2 c over it;
+    least, the smallest total of a full window, from which the highest entropy follows."""
+    if not 0 < window < 1 << BITS:
+        raise ValueError("a window has 1 to 31 characters")
 
     def weigh(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def bind(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+    def slide(places: Column) -> Column:
+        def change(a: Column, place: Column, by: int) -> Column:
+            slot, shift = F.floor(place / PACKED).cast("int"), (place % PACKED) * BITS
+            one = F.call_function("shiftleft", F.lit(by).cast("long"), shift)
 
-    def slide(s: Column) -> Column:
-        def place(i: Column) -> Column:
-            return F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
+            def moved(old: Column) -> Column:
+                counts = F.transform(a["n"], lambda c, k: F.when(k == slot, c + one).otherwise(c))
+                return F.struct(counts.alias("n"), (a["total"] - weigh(old) + weigh(old + by)).alias("total"), a["least"].alias("least"))
 
-        def change(a: Column, at: Column, by: int) -> Column:
-            old = F.element_at(a["n"], at)
-            counts = F.transform(a["n"], lambda c, k: c + F.when(k + 1 == at, F.lit(by)).otherwise(F.lit(0)))
-            return F.struct(counts.alias("n"), (a["total"] - weigh(old) + weigh(old + by)).alias("total"), a["least"].alias("least"))
+            count = F.call_function("shiftright", F.get(a["n"], slot), shift).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+            return bind(count, moved)
 
         def step(a: Column, i: Column) -> Column:
-            entered = change(a, place(i), 1)
-            moved = bind(entered, lambda b: F.when(i > window, change(b, place(i - window), -1)).otherwise(b))
-            return bind(moved, lambda d: F.struct(d["n"].alias("n"), d["total"].alias("total"), F.when(i >= window, F.least(d["least"], d["total"])).otherwise(d["least"]).alias("least")))
+            # the leaving character goes first, so that no count passes its five bits
+            left = F.when(i >= window, change(a, F.get(places, i - window), -1)).otherwise(a)
+            entered = bind(left, lambda b: change(b, F.get(places, i), 1))
+            return bind(entered, lambda d: F.struct(d["n"].alias("n"), d["total"].alias("total"), F.when(i >= window - 1, F.least(d["least"], d["total"])).otherwise(d["least"]).alias("least")))
 
-        zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
-        return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda a: F.log2(F.lit(float(window))) - a["least"] / window)
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PACKED)).alias("n"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), zero, step, lambda a: F.log2(F.lit(float(window))) - a["least"] / window)
 
-    return F.when(F.length(candidate) >= window, bind(candidate, slide))
+    places = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.when(F.length(candidate) >= window, bind(places, slide))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -102,7 +110,7 @@ def secret_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     text = F.col("text")
     found = texts(docs).select("doc_id", *(c.alias(k) for k, c in base_spans(text).items()), find_spans(text, CANDIDATE).alias("candidate"))
     base = F.concat(*KINDS)
-    free = F.transform(F.array(F.struct(F.col("candidate").alias("c"), base.alias("base"))), lambda s: apart(s["c"], s["base"]))[0]
+    free = bind(F.struct(F.col("candidate").alias("c"), base.alias("base")), lambda s: apart(s["c"], s["base"]))
     more = F.when(F.size("candidate") == 0, F.col("candidate")).otherwise(F.filter(free, lambda x: suspicious(x, window)))
     found = found.select("doc_id", *KINDS, more.alias("entropy"))
 

@@ -125,10 +125,26 @@ def test_em_finds_the_reliable_labeler():
     pairs = sorted(counts.items())
     post, reliability = estimate(pairs)
     assert reliability[0] > reliability[2] > reliability[1]
-    w = train(pairs, post)
+    w = train([(v, (0, 0, 0, 0, 0), n) for v, n in pairs], post)
     assert w[0] > w[1] and post[(1, 1, 1)] > 0.9 > 0.1 > post[(-1, -1, -1)]
 
 
+def test_span_features_stand_in_for_votes():
+    patterns = [((1, 1, 1), (0, 0, 1, 3, 2), 500), ((-1, 0, -1), (4, 0, 0, 4, 0), 500), ((1, 0, 1), (0, 0, 1, 3, 2), 300), ((-1, -1, -1), (4, 0, 0, 4, 0), 200)]
+    post, _ = estimate(sorted((v, n) for v, _, n in patterns))
+    w = train(patterns, post)
+    likely = lambda f: w[-1] + sum(w[3 + sum((5, 5, 2, 7, 3)[:i]) + x] for i, x in enumerate(f)) > 0  # noqa: E731  all votes hidden
+    assert likely((0, 0, 1, 3, 2)) and not likely((4, 0, 0, 4, 0))
+
+
+def test_pii_on_very_long_texts(spark):
+    long = ["a@" + "b." * 100_000 + "c", "x" * 1_000_000, "1" * 1_000_000, "1." * 100_000, "a@" * 100_000, "a@b.cd " * 100_000, "+1" + " " * 1_000_000, "a@b.c_d@e.f " * 50_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in personal_spans(df).collect())
+    plain = [base_pii(t) if i in (0, 3, 5, 7) else (0, 0, 0, 0, sha("")) for i, t in enumerate(long)]
+    assert [g[1:] for g in got] == plain
+
+
 def base_secrets(text):
     text = text or ""
     assign = [(m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
@@ -154,6 +170,16 @@ def test_secret_base_matches_brute_force(spark):
     assert got == sorted(((-1 if d is None else d), *base_secrets(t)) for d, t in rows)
 
 
+def test_secrets_in_very_long_texts(spark):
+    rng = random.Random(4)
+    candidate = "".join(rng.choice("ghijkQYZ0189+/") for _ in range(100_000))
+    long = [candidate, "a" * 1_000_000, "token=abcdefgh1 " * 100_000, "token" * 200_000, "token" + " " * 1_000_000, (candidate[:40] + " ") * 10_000, "AKIA" * 100_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.n_entropy) for r in secret_spans(df).collect())
+    assert [g[1:5] for g in got] == [base_secrets(t) for t in long]
+    assert got[0][5] == 1 and got[5][5] == 10_000
+
+
 def window_entropy(s, w=20):
     import math
 
