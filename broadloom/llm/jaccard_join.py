@@ -22,19 +22,17 @@ tables give an empty result. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.linkage import dealt_records, linked_classes, member_blocks, packed_vector, part_count, size_class
-from broadloom.llm.shared import materialize, texts
+from broadloom.llm.shared import STRIPS, count_strips, materialize, summed_counts, texts
 from broadloom.llm.tokens import U, WordHasher, mix, shingle_sets, text_slices, word_spans
 from broadloom.operators.graph import components
 
-BINS, STRIPS = 1 << 18, 16
+BINS = 1 << 18
 
 
 def _sets(batches, k: int):
@@ -63,28 +61,15 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
                 bins += np.bincount((np.concatenate(sets) >> U(46)).astype(np.int64), minlength=BINS)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([packed_vector(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(bins, STRIPS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(STRIPS, pa.int64())] * 3 + [pa.nulls(STRIPS, pa.binary()), pa.array(range(STRIPS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(STRIPS, pa.int64())] * 3 + [pa.nulls(STRIPS, pa.binary()), *count_strips(bins)], names=names)
 
     return materialize(texts(docs).mapInArrow(run, schema))
 
 
 def bin_counts(table: DataFrame) -> np.ndarray:
     """Shingles of the corpus in each bin: a table of fixed size."""
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for strip, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value = np.frombuffer(zlib.decompress(part), "<u4").astype(np.int64)
-                sums[strip] = sums[strip] + value if strip in sums else value
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["strip", "part"])
-
-    got = table.filter("strip IS NOT NULL").select("strip", "part").repartition("strip").mapInArrow(add, "strip int, part binary").collect()
-    out = np.zeros(BINS, np.int64)
-    for r in got:
-        out[r["strip"] * (BINS // STRIPS) :][: BINS // STRIPS] += np.frombuffer(r["part"], np.int64)
-    return out
+    found = summed_counts(table.filter("strip IS NOT NULL"))
+    return found if len(found) else np.zeros(BINS, np.int64)
 
 
 def rarest(items: np.ndarray, bins: np.ndarray, num: int, den: int) -> np.ndarray:

@@ -1,28 +1,46 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-A repeat of ``window`` words is a deep internal node of the suffix tree of the corpus: two
-suffixes or more that share their first ``window`` words. The tree is never built whole.
-Suffixes are taken where an anchor starts (the ``anchor``-word sequence with the smallest
-code among those of a window; equal windows have equal anchors at equal places), so a
-seventh of all positions stands for all windows. The code of the anchor's words is the
-prefix that partitions them: its leading bits name a group, and a group larger than
-``group_windows`` is split by as many further bits as it needs, so a subtree fits in memory.
-Within a group the leaves (windows) are sorted by content; equal neighbours are the leaves
-below one deep node, of which the earliest stays.
-
-Before the shuffle each slice of a partition sends one leaf for each distinct window, the
-earliest; later ones are repeats already. A passage in a third of all documents reaches its
-group once for each slice (4 MB), not once for each document.
-
-Defined cases: null or empty texts have no words; rows that repeat a doc_id and text are the
-same document, so neither removes the other's words, and both return; a null doc_id has no
-place in the order, so that row removes nothing and stays whole. Empty tables give an empty
+A repeat of ``window`` words is an internal node of the corpus' suffix tree at that depth:
+two suffixes or more that share their first ``window`` words. The tree is never built whole.
+
+Suffixes. A window is reached from its anchor, the ``anchor``-word sequence with the smallest
+code among those inside it (leftmost of equal ones), so equal windows have equal anchors at
+equal places. Its suffix is read from the anchor on to the window's end, then from the word
+before the anchor back to the window's start. About ten neighbouring windows share an
+anchor, so their suffixes travel as one stretch of words.
+
+Prefixes. Suffixes are dealt by a prefix of their words, of variable length. A first pass
+counts the suffixes below every prefix of each length in ``lengths`` (in bins of a table whose
+size follows the input's, within bounds); a suffix takes the shortest prefix that at most
+``group_windows`` suffixes share, and prefixes are dealt to so many groups that a group holds
+about half as many. A prefix that even whole windows share too often (a passage in a third
+of all documents) is no burden: its copies pass as they come, see below.
+
+Subtrees. A group's subtree grows from its root downwards: the suffixes below a node are told
+apart by their next two words, those left alone are leaves and go, until the depth of
+``window`` words is reached. What is left hangs below deep internal nodes: all suffixes of
+one node are the same words, the earliest stays and the others are repeats. Windows that
+follow one another merge into maximal repeats (``maximal_repeats``). A group that grows
+beyond ``group_windows`` is worked off in pieces, of which only the earliest window of each
+node is held on; the piece grows only with the distinct windows.
+
+Words travel as 24 bits of their hash, with eight bits of the window's hash as the last
+edge, so two windows that differ in a single word are taken for one with probability 2**-32.
+Before the shuffle each slice of a partition sends the earliest of equal windows; later ones
+are repeats already. A passage in a third of all documents reaches its group once for each
+slice (4 MB), not once for each document.
+
+Defined cases: null or empty texts have no words; rows that repeat a doc_id are one document:
+a window at the same start of another of them is not earlier, so equal rows lose the same
+words and both return; a null doc_id has no place in the order, so that row removes nothing
+and stays whole. Empty tables give an empty
 result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import compress
 
 import numpy as np
@@ -30,9 +48,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.shared import shuffle_width, texts
+from broadloom.llm.shared import count_strips, shuffle_width, summed_counts, texts
 from broadloom.llm.tokens import U, WordHasher, mix, text_slices, word_spans
 
+#: Bits of a mark: which windows of an anchor repeat, the anchor's word index, and a check of
+#: the text, for ids with several texts.
+OFFSETS, PLACES, TEXTS = 20, 31, 12
+
+
+def text_check(raw) -> int:
+    return zlib.crc32(raw) & (1 << TEXTS) - 1
+
 
 def rolling(hasher: WordHasher, h: np.ndarray, k: int) -> np.ndarray:
     """Code of each k consecutive word hashes, from prefix sums."""
@@ -58,186 +84,289 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return join(place[: len(place) - (width - have)], place[width - have :]) if have < width else place
 
 
-RUN = np.dtype([("code", "<u8"), ("row", "<u4"), ("at", "<u4"), ("mask", "<u2")])
+class Slice:
+    """The windows of some texts: which lie in one text, where their anchors are, and which
+    are the earliest of their content."""
+
+    def __init__(self, hasher: WordHasher, data, bounds, window: int, anchor: int) -> None:
+        self.hasher, self.window = hasher, window
+        starts, ends, self.ptr = word_spans(data, bounds)
+        self.h = h = hasher(data, starts, ends)
+        self.checks = np.array([text_check(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.int64)
+        self.full = rolling(hasher, h, window)
+        self.text = np.repeat(np.arange(len(bounds) - 1), np.diff(self.ptr))
+        self.inside = np.flatnonzero(self.text[: len(self.full)] == self.text[window - 1 :]) if len(self.full) else np.zeros(0, np.int64)
+        if len(self.inside):
+            self.place = sliding_least(rolling(hasher, h, anchor), window - anchor + 1)
+
+    def earliest(self, ids) -> tuple[np.ndarray, np.ndarray]:
+        """(sent, repeat): windows that are the earliest of their content, and windows whose
+        words also start earlier; a copy at the earliest one's own place in a repeated row
+        of its document is neither."""
+        inside, text = self.inside, self.text[self.inside]
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        order = np.lexsort((inside, rank[text], self.full[inside]))
+        first = np.append(True, np.diff(self.full[inside][order]) != 0)
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        at = inside - self.ptr[text]
+        same = (ids[text[order]] == ids[text[order[lead]]]) & (at[order] == at[order[lead]])
+        return inside[order[first]], inside[order[~same]]
+
+    def prefix(self, length: int, windows: np.ndarray) -> np.ndarray:
+        """Code of the first words of the windows' suffixes: those from the anchor on, then,
+        where the window ends, those before it; one stretch of words either way."""
+        return rolling(self.hasher, self.h, length)[np.minimum(self.place[windows], windows + self.window - length)]
 
 
-def _send(batches, window: int, anchor: int, groups: int):
-    """Rows (group, blob): the leaves of a slice, dealt by the prefix of their anchors."""
+def _slices(batches, window: int, anchor: int):
     hasher = WordHasher()
     for rows, data, bounds in text_slices(batches, budget=1 << 22):
-        ids = rows.column(rows.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-        starts, ends, ptr = word_spans(data, bounds)
-        h = hasher(data, starts, ends)
-        if len(h) < window:
-            continue
-        codes, full = rolling(hasher, h, anchor), rolling(hasher, h, window)
-        place = sliding_least(codes, window - anchor + 1)
-        text = np.repeat(np.arange(len(ids)), np.diff(ptr))
-        inside = np.flatnonzero(text[: len(full)] == text[window - 1 :])  # windows within one text
-        if not len(inside):
-            continue
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        order = np.lexsort((inside, rank[text[inside]], full[inside]))
-        first = np.append(True, np.diff(full[inside][order]) != 0)
-        # the earliest of its content, or the same place in a repeated row of the same document
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        at = inside - ptr[text[inside]]
-        same = (ids[text[inside[order]]] == ids[text[inside[order[lead]]]]) & (at[order] == at[order[lead]])
-        sent = np.zeros(len(inside), bool)
-        sent[order] = first
-        repeat = np.zeros(len(inside), bool)
-        repeat[order] = ~same
-        code, spot = codes[place[inside]], place[inside] - ptr[text[inside]]
-        offset = place[inside] - inside
-        group = ((code >> U(32)) * U(groups) >> U(32)).astype(np.int64)
+        part = Slice(hasher, data, bounds, window, anchor)
+        if len(part.inside):
+            yield rows.column(rows.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False), part
+
+
+def _count(batches, window: int, anchor: int, lengths, bits: int):
+    """Rows (strip, part): windows to be sent, by the bin of their prefix of each length."""
+    counts = np.zeros((len(lengths), 1 << bits), np.int64)
+    for ids, part in _slices(batches, window, anchor):
+        sent, _ = part.earliest(ids)
+        for level, length in enumerate(lengths):
+            counts[level] += np.bincount((part.prefix(length, sent) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    yield pa.RecordBatch.from_arrays(list(count_strips(counts.ravel())), names=["strip", "part"])
+
+
+HEAD = 5  # numbers before a section
+
+
+def _send(batches, window: int, anchor: int, lengths, heavy: np.ndarray, groups: int):
+    """Rows (group, blob): the suffixes of a slice, dealt by their prefixes. ``heavy`` says of
+    each length and bin whether too many suffixes share it."""
+    shift = U(64 - int(heavy.shape[1] - 1).bit_length())
+    for ids, part in _slices(batches, window, anchor):
         parts: dict[int, list[bytes]] = {}
-        for flag, chosen in ((0, np.flatnonzero(sent)), (1, np.flatnonzero(repeat))):
-            # a copy with the leader's own place is neither sent nor a repeat by itself
-            chosen = chosen[np.argsort(group[chosen], kind="stable")]
+        for flag, chosen in enumerate(part.earliest(ids)):
+            chosen = np.sort(chosen)[::-1]  # an anchor's windows one after another, the nearest first
+            code, todo = np.zeros(len(chosen), np.uint64), np.ones(len(chosen), bool)
+            for level, length in enumerate(lengths):
+                if not todo.any():
+                    break
+                code[todo] = part.prefix(length, chosen[todo])
+                todo[todo] = heavy[level][(code[todo] >> shift).astype(np.int64)]
+            group = ((mix(code) >> U(32)) * U(groups) >> U(32)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            chosen, group = chosen[order], group[order]
             if not len(chosen):
                 continue
-            key = place[inside[chosen]]
-            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            runs = np.zeros(len(head), RUN)
-            runs["code"], runs["row"], runs["at"] = code[chosen[head]], text[inside[chosen[head]]], spot[chosen[head]]
-            runs["mask"] = np.bitwise_or.reduceat((1 << offset[chosen]).astype(np.uint16), head)
-            size = np.diff(np.append(head, len(chosen)))
-            leaves = full[inside[chosen]].view(np.uint8).reshape(-1, 8)[:, :6]
-            own = group[chosen[head]]
+            place = part.place[chosen]
+            head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (group[1:] != group[:-1])))
+            after = np.append(head[1:], len(chosen))
+            mask = np.bitwise_or.reduceat(1 << (place - chosen), head)
+            text, own = part.text[chosen[head]], group[head]
+            first, n_words = chosen[after - 1], chosen[head] - chosen[after - 1] + window
+            at = place[head] - part.ptr[text]
+            mask |= part.checks[text] << OFFSETS
+            ends = np.cumsum(n_words)
+            words = part.h[np.repeat(first - ends + n_words, n_words) + np.arange(ends[-1])].view(np.uint8).reshape(-1, 8)[:, 5:]
+            check = (part.full[chosen] >> U(56)).astype(np.uint8)
             cut = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
-            ends_ = np.cumsum(size)
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                run = runs[a:b].copy()
-                who, run["row"] = np.unique(run["row"], return_inverse=True)
-                lo, hi = int(ends_[a - 1]) if a else 0, int(ends_[b - 1])
-                body = leaves[lo:hi].tobytes() if not flag else b""
-                head_ = np.array([flag, len(who), len(run), hi - lo], "<u4").tobytes()
-                parts.setdefault(int(own[a]), []).append(b"".join((head_, ids[who].astype("<i8").tobytes(), *(run[f].tobytes() for f in RUN.names), body)))
+                who, row = np.unique(text[a:b], return_inverse=True)
+                lo, hi = int(ends[a] - n_words[a]), int(ends[b - 1])
+                body = b"" if flag else words[lo:hi].tobytes() + check[head[a] : after[b - 1]].tobytes()
+                sizes = np.array([flag, len(who), b - a, 0 if flag else hi - lo, 0 if flag else after[b - 1] - head[a]], "<u4")
+                parts.setdefault(int(own[a]), []).append(b"".join((sizes.tobytes(), ids[who].astype("<i8").tobytes(), *(x.astype("<u4").tobytes() for x in (row, at[a:b], mask[a:b])), body)))
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([b"".join(p) for p in parts.values()], pa.binary())], names=["group", "blob"])
 
 
 def _read(blob: bytes):
-    """(flag, doc_id of each run, runs, leaves) of each section of a blob."""
+    """(flag, doc_id, anchor place (below the text's check) and mask of each run, words,
+    checks) of each section."""
     at = 0
     while at < len(blob):
-        flag, who, n, leaves = np.frombuffer(blob, "<u4", 4, at).tolist()
-        at += 16
+        flag, who, n, n_words, n_windows = np.frombuffer(blob, "<u4", HEAD, at).tolist()
+        at += 4 * HEAD
         ids = np.frombuffer(blob, "<i8", who, at)
         at += 8 * who
-        runs = np.zeros(n, RUN)
-        for f in RUN.names:
-            runs[f] = np.frombuffer(blob, RUN[f], n, at)
-            at += n * RUN[f].itemsize
-        body = None
-        if not flag:
-            body = np.zeros((leaves, 8), np.uint8)
-            body[:, :6] = np.frombuffer(blob, np.uint8, 6 * leaves, at).reshape(-1, 6)
-            body, at = body.view("<u8").ravel(), at + 6 * leaves
-        yield flag, ids[runs["row"]], runs, body
-
-
-def _deep_nodes(sections, bits: int, value: int) -> tuple[np.ndarray, np.ndarray]:
-    """Repeats (doc_id, packed place and mask) among the leaves of the subtree whose anchor
-    codes end in ``value`` (``bits`` bits: the further prefix of a split group)."""
-    ids, at, offset, leaf = [], [], [], []
-    for doc, runs, body in sections:
-        size = np.unpackbits(np.ascontiguousarray(runs["mask"]).view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
-        run, off = np.nonzero(size)
-        off = off.astype(np.int64)
-        # leaves of a run were written from its smallest place on, that is, the largest offset first
-        order = np.lexsort((-off, run))
-        run, off = run[order], off[order]
-        if bits:
-            chosen = (runs["code"][run] & U((1 << bits) - 1)) == U(value)
-            run, off, body = run[chosen], off[chosen], body[chosen]
-        ids.append(doc[run])
-        at.append(runs["at"][run].astype(np.int64))
-        offset.append(off)
-        leaf.append(mix(runs["code"][run] ^ mix(body + (off.astype(np.uint64) << U(50)))))
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, at, offset, leaf = (np.concatenate(x) for x in (ids, at, offset, leaf))
-    start = at - offset
-    order = np.lexsort((start, ids, leaf))
-    first = np.append(True, np.diff(leaf[order]) != 0)
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    again = order[(ids[order] != ids[order[lead]]) | (start[order] != start[order[lead]])]
-    again = again[np.lexsort((at[again], ids[again]))]
-    if not len(again):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    head = np.flatnonzero(np.append(True, (np.diff(ids[again]) != 0) | (np.diff(at[again]) != 0)))
-    mask = np.bitwise_or.reduceat(1 << offset[again], head)
-    return ids[again[head]], at[again[head]] << 16 | mask
-
-
-def _grow_trees(batches, group_windows: int):
-    def solve(blobs):
-        whole, n = [], 0
-        for blob in blobs:
-            for flag, doc, runs, body in _read(blob):
-                if flag:
-                    yield doc, runs["at"].astype(np.int64) << 16 | runs["mask"]
-                else:
-                    whole.append((doc, runs, body))
-                    n += len(body)
-        bits = max(0, (n - 1) // group_windows).bit_length() if n else 0
-        for value in range(1 << bits):
-            yield _deep_nodes(whole, bits, value)
-
-    now, blobs = None, []
-
-    def out(blobs):
-        for ids, marks in solve(blobs):
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "mark"])
-
+        row, place, mask = np.frombuffer(blob, "<u4", 3 * n, at).reshape(3, n)
+        at += 12 * n
+        words = np.zeros((n_words, 4), np.uint8)
+        words[:, :3] = np.frombuffer(blob, np.uint8, 3 * n_words, at).reshape(-1, 3)
+        at += 3 * n_words
+        checks = np.frombuffer(blob, np.uint8, n_windows, at)
+        at += n_windows
+        place = place.astype(np.int64) | (mask >> OFFSETS).astype(np.int64) << PLACES
+        yield flag, ids[row], place, (mask & (1 << OFFSETS) - 1).astype(np.int64), words.view("<u4").ravel(), checks
+
+
+def spread(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, offset) of every window, an anchor's nearest first."""
+    return np.nonzero(mask[:, None] >> np.arange(OFFSETS) & 1)
+
+
+def grow(words: np.ndarray, anchor: np.ndarray, off: np.ndarray, check: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix subtree, from the root down: (suffixes, node) of the suffixes that still
+    share a node at the depth of ``window`` words, node by node."""
+    left = np.arange(len(anchor))
+    node = off  # equal windows hold their anchor at the same place
+    ahead = window - off  # words from the anchor to the window's end
+    for depth in range(0, window + 1, 2):
+
+        def word(d: int) -> np.ndarray:
+            if d >= window:
+                return check[left].astype(np.uint64)
+            a, n = anchor[left], ahead[left]
+            return words[np.where(d < n, a + d, a - 1 - (d - n))].astype(np.uint64)
+
+        edge = word(depth) << U(32) | (word(depth + 1) if depth < window else U(0))
+        order = np.lexsort((edge, node))
+        edge, node, left = edge[order], node[order], left[order]
+        new = np.append(True, (edge[1:] != edge[:-1]) | (node[1:] != node[:-1]))[: len(left)]
+        node = np.cumsum(new)
+        alone = new & np.append(new[1:], True)[: len(left)]
+        node, left = node[~alone], left[~alone]
+        if not len(left):
+            break
+    return left, node
+
+
+class Subtree:
+    """The suffixes of one group: pieces are grown as they come, and of each deep node only
+    the earliest suffix is held on."""
+
+    def __init__(self, window: int, group_windows: int) -> None:
+        self.window, self.most, self.limit = window, group_windows, group_windows
+        self.held: list[tuple] = []  # (doc, place, top, mask, words, checks)
+        self.n = 0
+
+    def add(self, doc, place, mask, words, checks):
+        top = np.log2(mask).astype(np.int64) if len(mask) else mask
+        self.held.append((doc, place, top, mask, words, checks))
+        self.n += len(checks)
+        if self.n >= self.limit:
+            yield from self.solve()
+            self.limit = max(self.most, 2 * self.n)
+
+    def solve(self):
+        if not self.n:
+            return
+        doc, place, top, mask, words, checks = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        bottom = np.log2(mask & -mask).astype(np.int64)
+        length = top - bottom + self.window
+        begin = np.cumsum(length) - length
+        run, off = spread(mask)
+        left, node = grow(words, (begin + top)[run], off, checks, self.window)
+        start = (place[run] & (1 << PLACES) - 1) - off
+        order = np.lexsort((start[left], doc[run[left]], node))
+        left, node = left[order], node[order]
+        first = np.append(True, node[1:] != node[:-1])[: len(node)]
+        lead = left[np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))]
+        earlier = (doc[run[left]] != doc[run[lead]]) | (start[left] != start[lead])
+        again = np.sort(left[earlier])
+        if len(again):
+            head = np.flatnonzero(np.append(True, run[again][1:] != run[again][:-1]))
+            yield doc[run[again[head]]], place[run[again[head]]] << OFFSETS | np.bitwise_or.reduceat(1 << off[again], head)
+        # of each node the earliest stays; stretches shrink to the windows that are left
+        stay = np.ones(len(run), bool)
+        stay[left[~first]] = False
+        kept = np.flatnonzero(stay)
+        runs = np.flatnonzero(np.bincount(run[kept], minlength=len(doc)))
+        head = np.searchsorted(run[kept], runs)
+        mask_ = np.bitwise_or.reduceat(1 << off[kept], head) if len(runs) else mask[:0]
+        top_, bottom_ = np.log2(mask_).astype(np.int64), np.log2(mask_ & -mask_).astype(np.int64)
+        size = top_ - bottom_ + self.window
+        ends = np.cumsum(size)
+        own = words[np.repeat(begin[runs] + top[runs] - top_ - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.held, self.n = [(doc[runs], place[runs], top_, mask_, own, checks[kept])], len(kept)
+
+
+def _grow_trees(batches, window: int, group_windows: int):
+    def out(found):
+        for ids, marks in found:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "mark"])
+
+    now, tree = None, None
     for batch in batches:
         for group, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if group != now:
-                yield from out(blobs)
-                now, blobs = group, []
-            blobs.append(blob.as_py())
-    yield from out(blobs)
+                if tree:
+                    yield from out(tree.solve())
+                now, tree = group, Subtree(window, group_windows)
+            for flag, doc, place, mask, words, checks in _read(blob.as_py()):
+                yield from out([(doc, place << OFFSETS | mask)] if flag else tree.add(doc, place, mask, words, checks))
+    if tree:
+        yield from out(tree.solve())
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 8, groups: int | None = None, group_windows: int = 2_000_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 2, lengths=(2, 4, 8, 14, 20), group_windows: int = 400_000) -> DataFrame:
     """(doc_id, mark): windows whose words also start earlier. A mark packs an anchor's word
     index (upper bits) and a mask of the windows that begin so many words before it."""
-    if not 0 <= window - anchor < 16:
-        raise ValueError("a window may be at most 15 words longer than its anchor")
-    groups = groups or 8 * shuffle_width(docs.sparkSession)
+    if not 0 <= window - anchor < OFFSETS or sorted(lengths) != list(lengths) or lengths[0] < anchor or lengths[-1] > window:
+        raise ValueError("a window is at most 19 words longer than its anchor; prefixes grow from the anchor's length to the window's")
+    width = shuffle_width(docs.sparkSession)
     known = texts(docs).filter("doc_id IS NOT NULL")
-    leaves = known.mapInArrow(lambda b: _send(b, window, anchor, groups), "group int, blob binary")
-    dealt = leaves.repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(lambda b: _grow_trees(b, group_windows), "doc_id long, mark long")
-
-
-def keep_mask(n: int, marks, window: int, anchor_window: int = 16) -> np.ndarray:
-    """Which of n words stay, given a document's marks."""
-    change = np.zeros(n + 1, np.int64)
-    for m in marks:
-        at, mask = m >> 16, m & 0xFFFF
-        for off in range(anchor_window):
-            if mask >> off & 1:
-                change[at - off] += 1
-                change[min(n, at - off + window)] -= 1
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # an average bin holds an eighth of a group where 4 million bins are enough for it
+    bits = min(22, max(12, int(size / 5 / group_windows * 8).bit_length()))
+    counts = summed_counts(known.select("doc_id", "text").mapInArrow(lambda b: _count(b, window, anchor, lengths, bits), "strip int, part binary"))
+    counts = counts.reshape(len(lengths), -1) if len(counts) else np.zeros((len(lengths), 1 << bits), np.int64)
+    total, heavy = int(counts[0].sum()), counts > group_windows
+    parts = max(width, -(-total // 2_000_000))
+    groups = max(8 * parts, -(-2 * total // group_windows))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy)
+    leaves = known.mapInArrow(lambda b: _send(b, window, anchor, lengths, heavy.value, groups), "group int, blob binary")
+    dealt = leaves.repartition(parts, "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(lambda b: _grow_trees(b, window, group_windows), "doc_id long, mark long")
+
+
+def keep_mask(n: int, marks, window: int, check: int) -> np.ndarray:
+    """Which of n words of the text with this check stay, given its document's marks."""
+    marks = np.asarray(marks, np.int64)
+    marks = marks[marks >> (OFFSETS + PLACES) == check]
+    run, off = spread(marks & (1 << OFFSETS) - 1)
+    start = (marks >> OFFSETS & (1 << PLACES) - 1)[run] - off
+    start = start[start < n]
+    change = np.bincount(start, minlength=n + 1) - np.bincount(np.minimum(n, start + window), minlength=n + 1)
     return np.cumsum(change[:n]) == 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = 8, **options) -> DataFrame:
+def _marked(docs: DataFrame, window: int, options: dict) -> DataFrame:
+    marks = repeated_windows(docs, window, **options).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    return texts(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
+
+
+def maximal_repeats(docs: DataFrame, window: int = 20, **options) -> DataFrame:
+    """(doc_id, start, n_words): the stretches of a document, in words, that windows which
+    also start earlier cover; a row for each stretch."""
+
+    def stretches(batches):
+        for batch in batches:
+            ids, starts, sizes = [], [], []
+            for doc_id, text, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw = text.as_py().encode()
+                gone = ~keep_mask(len(raw.split()), m.values.to_numpy(), window, text_check(raw))
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                ids += [doc_id] * (len(edge) // 2)
+                starts += edge[::2].tolist()
+                sizes += (edge[1::2] - edge[::2]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes)], names=["doc_id", "start", "n_words"])
+
+    return _marked(docs, window, options).filter("marks IS NOT NULL").mapInArrow(stretches, "doc_id long, start long, n_words long")
+
+
+def dedup_substrings(docs: DataFrame, window: int = 20, **options) -> DataFrame:
     """doc_id, kept_text (kept words joined by one space), n_words, n_removed, kept_sha256."""
-    marks = repeated_windows(docs, window, anchor, **options).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    joined = texts(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
 
     def rewrite(batches):
         for batch in batches:
             ids, words, removed, kept, sha = [], [], [], [], []
             for doc_id, text, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                parts = text.as_py().encode().split()  # bytes split at 0x20 and 0x09-0x0D alone
+                raw = text.as_py().encode()
+                parts = raw.split()  # bytes split at 0x20 and 0x09-0x0D alone
                 n = len(parts)
                 if m.is_valid:
-                    parts = list(compress(parts, keep_mask(n, m.values.to_pylist(), window).tolist()))
+                    parts = list(compress(parts, keep_mask(n, m.values.to_numpy(), window, text_check(raw)).tolist()))
                 body = b" ".join(parts)
                 ids.append(doc_id)
                 words.append(n)
@@ -246,4 +375,4 @@ def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int = 8, **optio
                 sha.append(hashlib.sha256(body).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return joined.mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return _marked(docs, window, options).mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -78,14 +78,44 @@ def test_count_tree_returns_every_pair_that_may_link():
 
 
 def test_substring_dedup_matches_brute_force(spark):
-    for seed in (1, 3):
+    for seed, options in ((1, {"group_windows": 20}), (3, {"group_windows": 300}), (5, {"anchor": 8, "lengths": (8, 12, 20)}), (6, {})):
         rows = corpus(seed)
-        got = as_set(dedup_substrings(frame(spark, rows, 5), groups=7, group_windows=50).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+        got = as_set(dedup_substrings(frame(spark, rows, 5), **options).select("doc_id", "n_words", "n_removed", "kept_sha256"))
         want = brute.substring_dedup([(r[0], r[1]) for r in rows])
         assert sum(r[2] for r in want) > 300
         assert got == want
 
 
+def test_suffix_subtree_in_pieces(spark):
+    import numpy as np
+
+    from broadloom.llm.substrings import Subtree, grow
+
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2, 4000).astype(np.uint32)
+    anchor, off = np.arange(20, 3900), np.arange(20, 3900) % 5
+    path = [(o, *words[a : a + 9 - o], *words[a - o : a][::-1]) for a, o in zip(anchor.tolist(), off.tolist(), strict=True)]
+    left, node = grow(words, anchor, off, np.zeros(len(anchor), np.uint8), 9)
+    alike: dict = {}
+    for i, p in enumerate(path):
+        alike.setdefault(p, set()).add(i)
+    assert {frozenset(left[node == n].tolist()) for n in set(node.tolist())} == {frozenset(v) for v in alike.values() if len(v) > 1}
+    tree, found = Subtree(9, 50), []
+    for doc in range(300):  # each brings one window of ten, and one of its own
+        section = (np.array([doc, doc]), np.array([0, 50]), np.array([1, 1]), np.concatenate([np.arange(9) + doc % 10 * 9, np.full(9, 1000 + doc)]).astype(np.uint32), np.zeros(2, np.uint8))
+        found += list(tree.add(*section))
+    found += list(tree.solve())
+    assert sorted(d for ids, _ in found for d in ids.tolist()) == list(range(10, 300)) and tree.n == 310
+
+
+def test_maximal_repeats(spark):
+    from broadloom.llm.substrings import maximal_repeats
+
+    passage = " ".join(f"p{i}" for i in range(57))
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(30)) + " " + passage + f" end{i}") for i in range(3)]
+    assert as_set(maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == [(1, 30, 57), (2, 30, 57)]
+
+
 def test_substring_dedup_edges(spark):
     loop = " ".join("a b c".split() * 30)
     rows = [(5, loop), (5, loop), (8, loop), (None, loop), (1, None), (2, " \n"), (3, "x" * 100_000)]
@@ -94,6 +124,10 @@ def test_substring_dedup_edges(spark):
     inner = next(r[2] for r in brute.substring_dedup([(5, loop)]))
     assert got == [(0, 90, 0), (1, 0, 0), (2, 0, 0), (3, 1, 0), (5, 90, inner), (5, 90, inner), (8, 90, 90)]
     assert dedup_substrings(frame(spark, [])).count() == 0
+    own = " ".join(f"w{i}" for i in range(30))
+    mixed = [(1, own), (2, "x y"), (2, own + " " + own), (2, " ".join(f"v{i}" for i in range(70)))]
+    got = as_set(dedup_substrings(spark.createDataFrame(mixed, "doc_id long, text string")).select("doc_id", "n_words", "n_removed"))
+    assert got == [(1, 30, 0), (2, 2, 0), (2, 60, 60), (2, 70, 0)]
 
 
 def brute_lines(rows, k=8):
