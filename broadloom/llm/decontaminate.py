@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.shared import texts
+from broadloom.llm.shared import fresh, texts
 from broadloom.llm.tokens import U, WordHasher, mix, text_slices, word_spans
 
 #: Masks of 8 words, 6 of them hashed. Any 8 words with one substitution, and most with two,
@@ -191,5 +191,6 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that overlap with no benchmark item; all columns stay."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    leak = fresh("leak")
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(leak), "left_anti")

@@ -22,19 +22,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.linkage import dealt_records, linked_classes, member_blocks, part_count
-from broadloom.llm.shared import materialize, texts
+from broadloom.llm.shared import fresh, materialize, texts
 from broadloom.llm.tokens import U, WordHasher, byte_spans, mix, text_slices
 
 
+def without_word(line) -> Column:
+    return F.btrim(line, F.lit(" \t\x0b\x0c\r")) == ""
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, number, line, node) of every line with a word; node is the line's hash."""
     rows = texts(docs).filter("doc_id IS NOT NULL")
     lines = rows.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
-    return lines.filter(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("node", F.xxhash64("line"))
+    return lines.filter(~without_word(F.col("line"))).withColumn("node", F.xxhash64("line"))
 
 
 def shingle_codes(hasher: WordHasher, points: np.ndarray, k: int) -> np.ndarray:
@@ -153,9 +157,10 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
             # one size class: lines that agree on a band are alike in size as it is
             yield dealt_records(key.ravel().view(np.int64), 0, np.repeat(node, bands), parts)
 
-    parts = part_count(docs.sparkSession)
+    # a line is seldom shorter than 40 bytes on average
+    parts = part_count(docs.sparkSession, bands * (texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 40)
     records = lines.select("node", "line").mapInArrow(keys, "part int, blob binary")
-    blocks = member_blocks(records, num, den)
+    blocks = member_blocks(records, num, den, parts)
 
     def fetch(nodes: DataFrame) -> DataFrame:
         one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes.hint("shuffle_hash"), "node").dropDuplicates(["node"])
@@ -177,28 +182,39 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
     return linked_classes(blocks, fetch, num, den, decode=decode, overlaps=overlaps)
 
 
-def line_decisions(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, tie, gone): line numbers to remove from the rows of that id and text hash."""
-    classes = line_classes(docs, **options)
+def kept_lines(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, tie, kept): of the rows of that id and text hash, the numbers of the lines
+    that are the first of their class. Lines with a word that are not among them are copies.
 
-    seen = line_rows(docs).select("doc_id", "tie", F.col("number").alias("line"), "node")
-    seen = materialize(seen.join(classes, "node", "left").select("doc_id", "tie", "line", F.coalesce("component", "node").alias("c")))
-    first = seen.groupBy("c").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = seen.join(first, "c").filter(F.struct("doc_id", "tie", "line") != F.col("first"))
-    return later.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone"))
+    Occurrences are aggregated by line, then by class, so a line in a third of all documents
+    is one row of each task; no occurrence is joined with its class."""
+    classes = line_classes(docs, **options)
+    place = F.struct("doc_id", "tie", F.col("number").alias("line"))
+    lines = line_rows(docs).select("node", place.alias("at")).groupBy("node").agg(F.min("at").alias("at"))
+    lines = materialize(lines.join(classes, "node", "left").select("component", "at"))
+    classed = lines.filter("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("at"))
+    first = lines.filter("component IS NULL").select("at").unionByName(classed.select("at"))
+    return first.groupBy("at.doc_id", "at.tie").agg(F.collect_list("at.line").alias("kept"))
 
 
 def without_line_copies(docs: DataFrame, **options) -> DataFrame:
     """All rows and columns, ``text`` without the lines that repeat an earlier one (near
-    copies too), plus n_lines and n_removed. n_chars, if there, follows the text."""
-    gone = line_decisions(docs, **options).withColumnsRenamed({"doc_id": "_id", "tie": "_tie", "gone": "_gone"})
+    copies too), plus n_lines and n_removed (which replace columns of these names). n_chars,
+    if there, follows the text."""
+    own_id, own_tie, own_kept, parts = (fresh(c) for c in ("id", "tie", "kept", "parts"))
+    kept = kept_lines(docs, **options).withColumnsRenamed({"doc_id": own_id, "tie": own_tie, "kept": own_kept})
     body = F.coalesce("text", F.lit(""))
-    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(body) == F.col("_tie")), "left").drop("_id", "_tie")
-    parts = F.split(body, "\n", -1)
-    out = joined.withColumn("n_lines", F.size(parts).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    stay = F.transform(F.array(parts), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone").cast("array<int>")), lambda i: F.get(ls, i)))
-    kept = F.array_join(stay[0], "\n")  # the outer array binds the lines, so they are split once
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
+    joined = docs.join(kept.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(own_id)) & (F.xxhash64(body) == F.col(own_tie)), "left")
+    joined = joined.withColumn(parts, F.split(body, "\n", -1))
+    # the numbers of the lines that stay: first of their class, or without a word
+    empty = F.filter(F.transform(parts, lambda x, i: F.when(without_word(x), i)), lambda i: i.isNotNull())
+    stay = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.concat(empty, F.coalesce(own_kept, F.array().cast("array<int>"))))
+    joined = joined.withColumn(own_kept, stay)
+    n, out = F.size(parts).cast("long"), joined
+    gone = n - F.size(own_kept)
+    text = F.transform(F.array(F.struct(F.col(parts).alias("all"), F.array_sort(own_kept).alias("stay"))), lambda s: F.transform(s["stay"], lambda i: F.get(s["all"], i)))
+    out = out.withColumns({"text": F.when(gone == 0, F.col("text")).otherwise(F.array_join(text[0], "\n")), "n_lines": n, "n_removed": gone})
+    out = out.drop(own_id, own_tie, own_kept, parts)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

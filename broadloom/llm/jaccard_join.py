@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.linkage import dealt_records, linked_classes, member_blocks, packed_vector, part_count, size_class
-from broadloom.llm.shared import STRIPS, count_strips, materialize, summed_counts, texts
+from broadloom.llm.shared import STRIPS, count_strips, fresh, materialize, summed_counts, texts
 from broadloom.llm.tokens import U, WordHasher, mix, shingle_sets, text_slices, word_spans
 from broadloom.operators.graph import components
 
@@ -97,9 +97,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             node = np.repeat(np.array([set_name(s) for s in full], np.int64), each)
             yield dealt_records(key, cls, node, parts_)
 
-    parts_ = part_count(docs.sparkSession)
+    records = known.agg(F.coalesce(F.sum(F.floor(F.col("n") * (den - num) / den) + 1), F.lit(0)).cast("long")).first()[0]
+    parts_ = part_count(docs.sparkSession, records)
     records = texts(docs).filter("doc_id IS NOT NULL").mapInArrow(keys, "part int, blob binary")
-    blocks = member_blocks(records, num, den)
+    blocks = member_blocks(records, num, den, parts_)
 
     def payload(batches):
         for rows_, sets in _sets(batches, k):
@@ -134,6 +135,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose id is the smallest of their component; all columns stay. Of rows
     that repeat such an id one stays. A null doc_id stays."""
-    found = jaccard_components(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh("gone")
+    found = jaccard_components(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))

@@ -5,15 +5,17 @@ Two sets may be linked only if they meet under a common key. A group of n copies
 every key, so testing all its pairs would cost its square. Instead, each member of a block is
 first tested against the block's pivot; the links found make components. Then only blocks
 that still hold members of different components are searched, across components, in pieces
-of bounded size. A pair that is never tested lies in one component already or cannot overlap
-enough, so components are the same as if every pair had been tested.
+of bounded size: first for the likeliest pairs, at most one a member, whose links close most
+blocks, then for all pairs of what is still apart. A pair that is never tested lies in one
+component already or cannot overlap enough, so components are the same as if every pair had
+been tested.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.shared import materialize, shuffle_width
@@ -131,18 +133,20 @@ def _blocks(batches, reach: int):
     yield from solved(held)
 
 
-def member_blocks(records: DataFrame, num: int, den: int) -> DataFrame:
+def part_count(spark, records: int) -> int:
+    """Parts for ``dealt_records``: a few for each shuffle partition, and so many that an
+    average part has a quarter of the records that are held at once."""
+    return max(8 * shuffle_width(spark), -(-4 * records // HELD))
+
+
+def member_blocks(records: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """(block, node, pivot) from the rows (part, blob) of ``dealt_records``: long keys and
     nodes, cls the ``size_class`` of the node; repeats allowed."""
-    dealt = records.repartition(shuffle_width(records.sparkSession), "part").sortWithinPartitions("part")
+    tasks = max(shuffle_width(records.sparkSession), parts // 8)
+    dealt = records.repartition(tasks, "part").sortWithinPartitions("part")
     return materialize(dealt.mapInArrow(lambda it: _blocks(it, class_reach(num, den)), "block long, node long, pivot long").distinct())
 
 
-def part_count(spark) -> int:
-    """Parts for ``dealt_records``: a few for each shuffle partition."""
-    return 8 * shuffle_width(spark)
-
-
 GROUPS = 64
 
 
@@ -219,13 +223,17 @@ def as_hashes(items) -> np.ndarray:
 
 
 def _bounded(batches, num: int, den: int):
-    """Pairs that the sum of coordinate minima of their count vectors lets through."""
+    """Pairs that the sum of coordinate minima of their count vectors lets through, with its
+    share of the larger set."""
     for batch in batches:
-        keep = []
+        share, keep = [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             a, b = unpacked_vector(a.as_buffer()), unpacked_vector(b.as_buffer())
-            keep.append(bool(enough(vector_bound(a, b), a.sum(), b.sum(), num, den)))
-        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], names=["pivot", "node"])
+            bound, n, m = vector_bound(a, b), a.sum(), b.sum()
+            keep.append(bool(enough(bound, n, m, num, den)))
+            share.append(bound / max(n, m, 1))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([*batch.filter(keep).columns[:2], pa.array(share, pa.float64()).filter(keep)], names=["pivot", "node", "share"])
 
 
 def hash_overlaps(left, right) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,20 +278,31 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def _tree_pairs(batches, num: int, den: int):
-    """Pairs of different components that an R-tree of each piece lets through. In a piece of
-    two chunks only pairs across them count; the others are in a piece of their own."""
+def _tree_pairs(batches, num: int, den: int, likeliest: bool):
+    """Pairs of different components that an R-tree of each piece lets through; ``likeliest``:
+    for each member only the one with the highest bound, and none with a component that it
+    has been paired with already. In a piece of two chunks only pairs across them count; the
+    others are in a piece of their own."""
     for chunk, node, comp, payload in _pieces(batches):
         fine = [unpacked_vector(p) for p in payload]
         coarse = np.stack([v.reshape(GROUPS, -1).sum(1) for v in fine])
-        sizes, chunk, comp = coarse.sum(1), np.array(chunk), np.array(comp)
+        sizes, chunk, comp = coarse.sum(1), np.array(chunk), np.unique(np.array(comp), return_inverse=True)[1]
         tree, across, found = CountTree(coarse, sizes), len(set(chunk.tolist())) > 1, []
         for x in range(len(node)):
             near = tree.search(coarse[x], sizes[x], num, den)
             near = near[comp[near] != comp[x]]
             if across:
                 near = near[chunk[near] != chunk[x]]
-            found += [(node[x], node[y]) for y in near.tolist() if node[x] < node[y] and enough(vector_bound(fine[x], fine[y]), sizes[x], sizes[y], num, den)]
+            if not likeliest:
+                near = [y for y in near.tolist() if node[x] < node[y]]
+            bounds = [vector_bound(fine[x], fine[y]) for y in near]
+            passing = [(b / max(sizes[x], sizes[y]), node[y], y) for b, y in zip(bounds, near, strict=True) if enough(b, sizes[x], sizes[y], num, den)]
+            if likeliest and passing:
+                y = max(passing)[2]
+                comp[comp == comp[y]] = comp[x]
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+            elif passing:
+                found += [(node[x], other) for _, other, _ in passing]
         yield _pairs(found)
 
 
@@ -347,39 +366,72 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
         return df.join(named, node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
 
     def nodes_of(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.select("node").union(pairs.select("pivot")).distinct())
+        return pairs.select("node").union(pairs.select("pivot")).distinct()
+
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``sets`` and those of the pairs' other nodes."""
+        more = materialize(nodes_of(pairs).join(sets.select("node"), "node", "left_anti"))
+        return sets if more.isEmpty() else sets.unionByName(fetch(more))
 
     stars = blocks.filter("node <> pivot").select("pivot", "node").distinct()
-    if points is not None:
+    if points is None:
+        stars = stars.withColumn("share", F.lit(0.0))
+    else:
         near = stars.join(points, "node").withColumnRenamed("vector", "b").join(points.select(F.col("node").alias("pivot"), F.col("vector").alias("a")), "pivot")
-        stars = near.select("pivot", "node", "a", "b").mapInArrow(lambda it: _bounded(it, num, den), "pivot long, node long")
+        stars = near.select("pivot", "node", "a", "b").mapInArrow(lambda it: _bounded(it, num, den), "pivot long, node long, share double")
     stars = materialize(stars)
-    sets = fetch(nodes_of(stars))
+    sets = fetch(materialize(nodes_of(stars)))
     links = verified(stars.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"), sets)
     classes = materialize(components(links))
 
-    others = materialize(classed(classed(stars, classes, "node", "c"), classes, "pivot", "d").filter("c <> d").select("pivot", "node"))
-    if not others.isEmpty():
+    # of two components' pairs the likeliest first; where it fails, the others
+    for likeliest in (True, False):
+        others = classed(classed(stars, classes, "node", "c"), classes, "pivot", "d").filter("c <> d")
+        if likeliest:
+            best = F.max(F.struct("share", "pivot", "node"))
+            others = others.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(best.alias("best")).select("best.pivot", "best.node")
+        others = materialize(others.select("pivot", "node"))
+        if others.isEmpty():
+            break
+        if not likeliest:
+            others = materialize(others.join(tried, ["pivot", "node"], "left_anti"))
+        tried = others
         links = links.union(verified(others, sets))
         classes = materialize(components(links))
 
-    # a block of two with one pivot has had its pair tested
-    members = classed(blocks, classes, "node", "c")
-    open_ = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), (F.min("pivot") != F.max("pivot")).alias("mixed")).filter("lo <> hi AND (n > 2 OR mixed)").select("block", "n")
-    rest = materialize(members.drop("pivot").join(open_, "block"))
+    def open_members(classes: DataFrame) -> DataFrame:
+        # a block of two with one pivot has had its pair tested
+        members = classed(blocks, classes, "node", "c")
+        left = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), (F.min("pivot") != F.max("pivot")).alias("mixed"))
+        left = left.filter("lo <> hi AND (n > 2 OR mixed)").select("block", F.ceil(F.col("n") / piece).cast("long").alias("k"))
+        return materialize(members.drop("pivot").join(left, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k"))))
+
+    def pieces(rest: DataFrame, payload: DataFrame, other: Column) -> DataFrame:
+        """The members of each piece: of every two chunks, or of what ``other`` names."""
+        dealt = rest.withColumn("o", other)
+        dealt = dealt.select("block", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "c")
+        full = dealt.hint("merge").join(payload, "node").select("block", "i", "j", "chunk", "node", "c", payload.columns[1])
+        return full.repartition(shuffle_width(blocks.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j")
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    rest = open_members(classes)
     if rest.isEmpty():
         return classes
-    k = F.ceil(F.col("n") / piece).cast("long")
-    dealt = rest.withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.select("block", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "c")
-    payload = points if points is not None else sets
-    full = dealt.hint("merge").join(payload, "node").select("block", "i", "j", "chunk", "node", "c", payload.columns[1])
-    full = full.repartition(shuffle_width(blocks.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j")
     if points is None:
-        return components(links.union(full.mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")))
+        return components(links.union(pieces(rest, sets, every).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")))
     tested = stars.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
-    pairs = full.mapInArrow(lambda it: _tree_pairs(it, num, den), "u long, v long").distinct().select(F.col("u").alias("pivot"), F.col("v").alias("node"))
-    pairs = materialize(pairs.join(tested, ["pivot", "node"], "left_anti"))
-    if pairs.isEmpty():
-        return classes
-    return components(links.union(verified(pairs, fetch(nodes_of(pairs)))))
+    for likeliest in (True, False):
+        shared = pieces(rest, points, F.col("chunk") if likeliest else every)
+        pairs = shared.mapInArrow(lambda it, first=likeliest: _tree_pairs(it, num, den, first), "u long, v long").distinct()
+        pairs = materialize(pairs.select(F.col("u").alias("pivot"), F.col("v").alias("node")).join(tested, ["pivot", "node"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        sets = with_sets(pairs, sets)
+        links = links.union(verified(pairs, sets))
+        tested = tested.union(pairs)
+        classes = materialize(components(links))
+        if likeliest:
+            rest = open_members(classes)
+            if rest.isEmpty():
+                break
+    return classes

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadloom.llm.shared import materialize
+from broadloom.llm.shared import fresh, materialize
 from broadloom.llm.tokens import mix
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -178,11 +178,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: the input's columns, one row for each document that the mix
-    reads, with ``mix_words`` (words read, repeats counted). Documents without words, and
-    those whose blocks no slot reads, are not in the mix. Repeated rows of one doc_id and
-    text share their words evenly in order, so each gets the sum of its copies."""
+    reads, with ``mix_words`` (words read, repeats counted; replaces a column of that name).
+    Documents without words, and those whose blocks no slot reads, are not in the mix.
+    Repeated rows of one doc_id and text share their words evenly in order, so each gets the
+    sum of its copies."""
+    own_id, own_tie = fresh("id"), fresh("tie")
     pieces, _, _ = mix_blocks(docs, **options)
-    taken = pieces.groupBy("doc_id", "tie").agg(F.sum(F.col("words") * F.col("takes")).alias("mix_words")).filter("mix_words > 0")
-    keyed = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "tie": "_t"})
-    return keyed.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).drop("_tie", "_t", "_id")
+    taken = pieces.groupBy(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie)).agg(F.sum(F.col("words") * F.col("takes")).alias("mix_words")).filter("mix_words > 0")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own_tie))
+    return docs.drop("mix_words").join(taken, same).drop(own_id, own_tie)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadloom.llm.shared import texts
+from broadloom.llm.shared import fresh, texts
 from broadloom.llm.tokens import U, WordHasher, mix, text_slices, window_hashes, word_spans
 
 SHAPES = 512
@@ -196,11 +196,8 @@ def sampled_labels(labels: DataFrame, kind: str, folds: int, rest: int, sample:
     return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1_000_000)) < limit)
 
 
-SCORE = "_quality_score"
-
-
-def with_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int = 1 << 13, dims: int = 48, nonzero: int = 4) -> DataFrame:
-    """All rows and columns, and the score in ``_quality_score``; texts are not shuffled."""
+def with_scores(docs: DataFrame, labels: DataFrame, column: str, sample: int = 20_000, buckets: int = 1 << 13, dims: int = 48, nonzero: int = 4) -> DataFrame:
+    """All rows and columns, and the score in ``column``; texts are not shuffled."""
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(unit_vectors(word_table(docs, buckets, dims, nonzero), buckets, dims, nonzero))
 
@@ -210,6 +207,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bucket
 
     chosen = sampled_labels(labels, "quality", 5, 0, sample)
     got = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(features, "y int, x binary").collect()  # about ``sample`` rows
+    got.sort(key=lambda r: (r["y"], r["x"]))  # one order, so one net, however the rows are dealt
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) == 2:
         model = TwoLayerNet().fit(np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(float), y)
@@ -219,18 +217,18 @@ def with_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bucket
 
     def score(batches):
         for rows, x in pooled(batches, vectors.value, buckets):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model(x.astype(float)))], names=[*rows.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model(x.astype(float)))], names=[*rows.schema.names, column])
 
-    plain = docs.drop(SCORE)
-    return plain.mapInArrow(score, T.StructType([*plain.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted, a row per row."""
-    scored = with_scores(texts(docs), labels, **options)
-    return scored.select("doc_id", held_out(5, 0).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= cut).cast("int").alias("predicted"))
+    scored = with_scores(texts(docs), labels, "score", **options)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3, **options) -> DataFrame:
     """The rows that score ``cut`` or more; all columns stay."""
-    return with_scores(docs, labels, **options).filter(F.col(SCORE) >= cut).drop(SCORE)
+    score = fresh("score")
+    return with_scores(docs, labels, score, **options).filter(F.col(score) >= cut).drop(score)

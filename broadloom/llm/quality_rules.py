@@ -161,9 +161,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[dict]
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     limit = int(min(1.0, sample / max(1, known.count())) * 1_000_000)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < limit)
-    few = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # at most about ``sample`` ids
-    stats = statistics(few).join(chosen, "doc_id").orderBy("doc_id")
-    return [{f: r[f] for f in FEATURES} | {"bad": 1 - r["y"]} for r in stats.select("y", *(F.expr(e).alias(f) for f, e in FEATURES.items())).collect()]
+    few = texts(docs).join(F.broadcast(chosen), "doc_id")  # at most about ``sample`` ids
+    stats = statistics(few).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *(F.expr(e).alias(f) for f, e in FEATURES.items()))
+    rows = [{f: r[f] for f in FEATURES} | {"bad": 1 - r["y"], "id": r["doc_id"]} for r in stats.collect()]
+    return sorted(rows, key=lambda r: (r["id"], *(r[f] for f in FEATURES)))  # repeated ids too have one order
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
