@@ -2,19 +2,23 @@
 
 An entry can only join a game through an entry that it matches, so games lie within the
 connected components of the match graph. The graph is built by joins; the order-dependent
-rule (an entry may bridge games of one kind and must not bridge others) then runs exactly,
-per component, over a few entries at a time.
+rule (an entry may bridge games of one kind and must not bridge others) then runs exactly
+over partitions sorted by component and time, holding only the games that are still open.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.functions.names import similarity
+from broadloom.functions.names import forms as similarity_forms
+from broadloom.functions.names import similarity, word_ratio
 from broadloom.functions.text import category
 from broadloom.operators.graph import components
 from broadloom.operators.intervals import within
+from broadloom.sources.shared import materialize
 
 ENTRY = "entry_id long, start timestamp_ntz, home string, away string, sport string"
 
@@ -43,47 +47,125 @@ def scored_pairs(entries: DataFrame, key: list[str], minutes: int = 150, same: i
     return found.filter((F.col("score") >= same) & sport).select("a", "b", "score", "swapped")
 
 
-def merged_games(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+def alike_names(names: DataFrame, least: int = 85) -> DataFrame:
+    """(a, b, score), a < b: distinct names whose similarity is ``least`` (85 or more) or higher.
+
+    Alike names hold alike words, and two words of indel ratio 0.85 share most of their letter
+    pairs: of a word of n pairs fewer than 0.32 n + 1.4 are lost, so they meet under one of
+    their so many rarest pairs. Words are compared once per distinct pair of words, and only
+    names that hold a pair of alike words are scored. ``names``: one column, ``name``; nulls
+    are dropped."""
+    held = names.filter("name IS NOT NULL").distinct().select("name", F.explode(similarity_forms(F.col("name"))).alias("w"))
+    edged = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
+    pairs = held.select("w").distinct().withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2))))))
+    rarity = pairs.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = pairs.join(rarity, "g").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    keys = ranked.select("w", F.explode(F.slice("gs", 1, F.ceil(0.32 * F.size("gs") + 2.4).cast("int"))).alias("k")).select("w", "k.g")
+    near = keys.select(F.col("w").alias("x"), "g").join(keys.select(F.col("w").alias("y"), "g"), "g").filter("x <= y").select("x", "y").distinct()
+    # one letter stands for every word that it begins, so a name that holds one is found by its other words
+    alike = near.filter(word_ratio(F.col("x"), F.col("y")) >= least)
+    alike = alike.union(alike.filter("x <> y").select("y", "x"))
+    met = held.select(F.col("name").alias("a"), F.col("w").alias("x")).join(alike, "x").join(held.select(F.col("name").alias("b"), F.col("w").alias("y")), "y")
+    found = met.filter("a < b").select("a", "b").distinct()
+    return found.withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+
+
+def merged_games(entries: DataFrame, pairs: DataFrame, minutes: int = 150) -> DataFrame:
     """(entry_id, game_id, swapped): entries in order of start, then id. An entry joins the
     first game that it matches; further matching games are absorbed if their sport does not
     conflict. game_id is the game's smallest entry; ``swapped`` says whether the sides are
-    turned against the game's first entry."""
+    turned against the game's first entry. ``minutes``: how far apart the entries of a pair
+    are at most; a game none of whose entries is so near is closed and leaves memory."""
     classes = components(pairs.select("a", "b")).select(F.col("node").alias("entry_id"), F.col("component").alias("block"))
-    placed = entries.join(classes, "entry_id").select("block", "entry_id", "start", "sport")
+    placed = materialize(entries.join(classes, "entry_id").select("block", "entry_id", "start", "sport"))
     links = pairs.select("a", "b", "swapped").union(pairs.select("b", "a", "swapped")).groupBy("a").agg(F.collect_list(F.struct("b", "swapped")).alias("near"))
     rows = placed.join(links, placed["entry_id"] == links["a"]).select("block", "entry_id", "start", "sport", "near")
+    dealt = rows.repartition("block").sortWithinPartitions("block", "start", "entry_id")
 
-    def greedy(pdf):
+    def walk(frames):
         import pandas as pd
 
-        games: list[dict] = []
-        for r in pdf.sort_values(["start", "entry_id"]).itertuples():
-            near = {x["b"]: x["swapped"] for x in r.near}
-            hits = [g for g in games if any(e in near for e in g["members"])]
-            hits = [g for g in hits if not (g["sport"] and r.sport and g["sport"] != r.sport)] or hits[:1]
-            if not hits:
-                games.append({"members": {r.entry_id: False}, "sport": r.sport})
-                continue
-            game = hits[0]
-            turn = lambda g: next(g["members"][e] ^ near[e] for e in g["members"] if e in near)
-            mine = turn(game)
-            for other in hits[1:]:
-                if game["sport"] and other["sport"] and game["sport"] != other["sport"]:
-                    continue
-                flip = turn(other) ^ mine
-                game["members"].update({e: s ^ flip for e, s in other["members"].items()})
-                game["sport"] = game["sport"] or other["sport"]
-                games.remove(other)
-            game["members"][r.entry_id] = mine
-            game["sport"] = game["sport"] or r.sport
-        out = [(e, min(g["members"]), bool(s)) for g in games for e, s in g["members"].items()]
-        return pd.DataFrame(out, columns=["entry_id", "game_id", "swapped"])
-
-    merged = rows.groupBy("block").applyInPandas(greedy, "entry_id long, game_id long, swapped boolean")
+        state, now = None, None
+        for pdf in frames:
+            out: list[tuple] = []
+            for r in pdf.itertuples():
+                if r.block != now:
+                    out += state.closed(None) if state else []
+                    state, now = OpenGames(r.block, minutes), r.block
+                out += state.closed(r.start)
+                out.append(state.add(r.entry_id, r.start, r.sport, {x["b"]: x["swapped"] for x in r.near}))
+            yield pd.DataFrame(out, columns=["block", "number", "entry_id", "game_id", "swapped"]).astype({"entry_id": "Int64", "game_id": "Int64"})
+        if state:
+            yield pd.DataFrame(state.closed(None), columns=["block", "number", "entry_id", "game_id", "swapped"]).astype({"entry_id": "Int64", "game_id": "Int64"})
+
+    # members name the game that they joined, which may be absorbed later; closed games name what became of it
+    told = materialize(dealt.mapInPandas(walk, "block long, number long, entry_id long, game_id long, swapped boolean"))
+    members = told.filter("entry_id IS NOT NULL").select("block", "number", "entry_id", "swapped")
+    fates = told.filter("entry_id IS NULL").select("block", "number", "game_id", F.col("swapped").alias("turned"))
+    merged = members.join(fates, ["block", "number"]).select("entry_id", "game_id", (F.col("swapped") != F.col("turned")).alias("swapped"))
     alone = entries.join(merged, "entry_id", "left_anti").select("entry_id", F.col("entry_id").alias("game_id"), F.lit(False).alias("swapped"))
     return merged.union(alone)
 
 
+class OpenGames:
+    """The games of one component that later entries may still join."""
+
+    def __init__(self, block: int, minutes: int) -> None:
+        self.block, self.reach = block, minutes * 60
+        self.next = 0
+        self.recent: deque = deque()  # (start, entry) of entries within reach
+        self.where: dict = {}  # entry within reach: (number of the game it joined, turned against it, start)
+        self.root: dict = {}  # number of a game: (number of the game it is now, turned against that)
+        self.games: dict = {}  # number: sport, least entry, numbers it took in, entries within reach
+
+    def closed(self, start) -> list[tuple]:
+        """Rows of the games that no entry from ``start`` on can join (None: of all)."""
+        out = []
+        while self.recent and (start is None or (start - self.recent[0][0]).total_seconds() > self.reach):
+            entry = self.recent.popleft()[1]
+            number = self.root[self.where.pop(entry)[0]][0]
+            game = self.games[number]
+            game["near"] -= 1
+            if not game["near"]:
+                out += [(self.block, n, None, game["least"], self.root.pop(n)[1]) for n in game["numbers"]]
+                del self.games[number]
+        return out
+
+    def add(self, entry, start, sport, near) -> tuple:
+        hits: dict = {}  # game: whether the entry is turned against it, by its earliest member
+        for other in sorted((e for e in near if e in self.where), key=lambda e: (self.where[e][2], e)):
+            number, own, _ = self.where[other]
+            game, flip = self.root[number]
+            hits.setdefault(game, bool(own ^ flip ^ near[other]))
+        ordered = sorted(hits)
+        fitting = [g for g in ordered if not (self.games[g]["sport"] and sport and self.games[g]["sport"] != sport)] or ordered[:1]
+        if not fitting:
+            number, self.next = self.next, self.next + 1
+            self.root[number], turned = (number, False), False
+            self.games[number] = {"sport": sport, "least": entry, "numbers": [number], "near": 1}
+        else:
+            number, game = fitting[0], self.games[fitting[0]]
+            turned = hits[number]
+            for other in fitting[1:]:
+                theirs = self.games[other]
+                if game["sport"] and theirs["sport"] and game["sport"] != theirs["sport"]:
+                    continue
+                flip = hits[other] ^ turned
+                for n in theirs["numbers"]:
+                    self.root[n] = (number, self.root[n][1] ^ flip)
+                game["numbers"] += theirs["numbers"]
+                game["near"] += theirs["near"]
+                game["least"] = min(game["least"], theirs["least"])
+                game["sport"] = game["sport"] or theirs["sport"]
+                del self.games[other]
+            game["sport"] = game["sport"] or sport
+            game["least"] = min(game["least"], entry)
+            game["near"] += 1
+        self.where[entry] = (number, turned, start)
+        self.recent.append((start, entry))
+        return self.block, number, entry, None, turned
+
+
 def majority_sport(entries: DataFrame, game: str, sport: str, order: str) -> DataFrame:
     """A game's sport: the most frequent known one, of equals that of the earliest entry."""
     counted = entries.filter(F.col(sport) != "").groupBy(game, sport).agg(F.count("*").alias("n"), F.min(order).alias("first_at"))

@@ -8,13 +8,13 @@ from broadloom.functions import text as X
 from broadloom.functions import times as D
 from broadloom.operators import games as G
 from broadloom.operators.relational import ordered_distinct
-from broadloom.plans.catalog import ORACLES, query
+from broadloom.plans.catalog import query
 from broadloom.sources.files import purged
 from broadloom.sources.tables import table
 
 
 @query("bridge_pick", """
-WITH c AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS cand, l_suppkey % 2 = 0 AS same, CAST(l_quantity * 2 AS INTEGER) AS score, CAST(l_partkey % 101 AS INTEGER) AS side FROM lineitem WHERE l_orderkey % 3 = 0),
+WITH c AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS cand, l_suppkey % 2 = 0 AS same, CAST(l_quantity * 2 AS INTEGER) AS score, CAST(l_partkey % 101 AS INTEGER) AS side FROM lineitem),
 n AS (SELECT *, count(*) OVER g AS n, sum(CASE WHEN side >= 100 THEN 1 ELSE 0 END) OVER g AS perfect, sum(CASE WHEN side <= 75 THEN 1 ELSE 0 END) OVER g AS weak,
   score - coalesce(lead(score) OVER (PARTITION BY l_orderkey ORDER BY score DESC, cand), 0) AS lead, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, cand) AS rn, row_number() OVER (PARTITION BY l_orderkey ORDER BY side DESC, cand) AS rs
   FROM c WINDOW g AS (PARTITION BY l_orderkey)),
@@ -23,16 +23,7 @@ v AS (SELECT *, CASE WHEN n = 1 AND CASE WHEN same THEN score >= 45 ELSE score >
 p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY verdict = 'ask', rn) AS best FROM v WHERE verdict IS NOT NULL)
 SELECT c.l_orderkey, p.cand, coalesce(p.verdict, 'none') AS verdict FROM (SELECT DISTINCT l_orderkey FROM c) c LEFT JOIN p ON c.l_orderkey = p.l_orderkey AND best = 1""")
 def bridge_pick(spark: SparkSession, d: str) -> DataFrame:
-    return _picked(table(spark, d, "lineitem").filter("l_orderkey % 3 = 0"))
-
-
-@query("bridge_pick_all", ORACLES["bridge_pick"].replace(" WHERE l_orderkey % 3 = 0", ""))
-def bridge_pick_all(spark: SparkSession, d: str) -> DataFrame:
-    return _picked(table(spark, d, "lineitem"))
-
-
-def _picked(lines):
-    c = lines.withColumn("cand", F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey"))
+    c = table(spark, d, "lineitem").withColumn("cand", F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey"))
     return G.bridge_pick(c, "l_orderkey", F.col("l_suppkey") % 2 == 0, (F.col("l_quantity") * 2).cast("int"), (F.col("l_partkey") % 101).cast("int"), "cand")
 
 
@@ -70,23 +61,14 @@ def fold_unreadable(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("tie_members", """
-WITH w AS (SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) AS words, DATE '2024-01-01' + CAST(p_partkey % 6 AS INTEGER) AS day FROM part WHERE p_partkey % 2 = 0),
+WITH w AS (SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) AS words, DATE '2024-01-01' + CAST(p_partkey % 6 AS INTEGER) AS day FROM part),
 t AS (SELECT n_nationkey, list_distinct(string_split(p1.p_name || ' ' || p2.p_name, ' ')) AS words, DATE '2024-01-01' + CAST(n_nationkey % 3 AS INTEGER) AS day FROM nation JOIN part p1 ON p1.p_partkey = n_nationkey JOIN part p2 ON p2.p_partkey = n_nationkey + 30),
 m AS (SELECT w.p_partkey, t.n_nationkey FROM w JOIN t ON list_has_all(t.words, w.words) AND w.day - t.day BETWEEN 0 AND 3)
 SELECT p_partkey, min(n_nationkey) AS n_nationkey FROM m GROUP BY 1 HAVING count(DISTINCT n_nationkey) = 1""")
 def tie_members(spark: SparkSession, d: str) -> DataFrame:
-    return _tied(spark, d, table(spark, d, "part").filter("p_partkey % 2 = 0"))
-
-
-@query("tie_members_all", ORACLES["tie_members"].replace(" WHERE p_partkey % 2 = 0", ""))
-def tie_members_all(spark: SparkSession, d: str) -> DataFrame:
-    return _tied(spark, d, table(spark, d, "part"))
-
-
-def _tied(spark, d, members):
     part, nation = table(spark, d, "part"), table(spark, d, "nation")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
-    rows = members.select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("words"), day(F.col("p_partkey") % 6).alias("day"))
+    rows = part.select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("words"), day(F.col("p_partkey") % 6).alias("day"))
     one, two = part.select(F.col("p_partkey").alias("k1"), F.col("p_name").alias("n1")), part.select((F.col("p_partkey") - 30).alias("k2"), F.col("p_name").alias("n2"))
     ties = nation.join(one, F.col("k1") == F.col("n_nationkey")).join(two, F.col("k2") == F.col("n_nationkey"))
     ties = ties.select("n_nationkey", F.array_distinct(F.split(F.concat_ws(" ", "n1", "n2"), " ")).alias("tie_words"), day(F.col("n_nationkey") % 3).alias("tie_day"))

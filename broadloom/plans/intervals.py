@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators import intervals as I
-from broadloom.plans.catalog import ORACLES, query
+from broadloom.plans.catalog import query
 from broadloom.sources.tables import table
 
 
@@ -94,28 +94,14 @@ def contradicted_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("token_candidates", """
-WITH t AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), q AS (SELECT DISTINCT n_nationkey, p_partkey, w FROM nation JOIN t ON t.p_partkey % 25 = n_nationkey AND p_partkey < 200)
-SELECT q.n_nationkey, t.p_partkey, count(DISTINCT q.w) AS shared FROM q JOIN t ON q.w = t.w AND t.p_partkey < 500 GROUP BY 1, 2""")
+WITH t AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), q AS (SELECT DISTINCT n_nationkey, w FROM nation JOIN t ON t.p_partkey % 25 = n_nationkey)
+SELECT q.n_nationkey, t.p_partkey, count(DISTINCT q.w) AS shared FROM q JOIN t ON q.w = t.w GROUP BY 1, 2""")
 def token_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Inverted-index candidates: rows that share a word, with how many."""
-    words = _part_words(spark, d)
-    return _candidates(table(spark, d, "nation"), words.filter("p_partkey < 200"), words.filter("p_partkey < 500"))
-
-
-@query("token_candidates_all", ORACLES["token_candidates"].replace(" AND p_partkey < 200", "").replace(" AND t.p_partkey < 500", ""))
-def token_candidates_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all parts, frequent words included."""
-    words = _part_words(spark, d)
-    return _candidates(table(spark, d, "nation"), words, words)
-
-
-def _part_words(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
-
-
-def _candidates(nations, asking, searched):
-    asked = asking.join(nations, F.col("p_partkey") % 25 == F.col("n_nationkey")).select("n_nationkey", "w").distinct()
-    met = asked.join(searched.distinct(), "w")
+    """Inverted-index candidates over all parts, frequent words included: rows that share a
+    word, with how many."""
+    words = table(spark, d, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    asked = words.join(table(spark, d, "nation"), F.col("p_partkey") % 25 == F.col("n_nationkey")).select("n_nationkey", "w").distinct()
+    met = asked.join(words.distinct(), "w")
     return met.groupBy("n_nationkey", "p_partkey").agg(F.countDistinct("w").alias("shared"))
 
 

@@ -11,12 +11,8 @@ from broadloom.sources.tables import table
 
 @query("fuzzy_same_name")
 def fuzzy_same_name(spark: SparkSession, d: str) -> DataFrame:
-    """Parts whose distinct names are alike (85 or more), one row per pair of names that
-    share a first letter of some word."""
-    names = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
-    keyed = names.withColumn("k", F.explode(F.array_distinct(F.transform(F.split("name", " "), lambda w: F.substring(w, 1, 1)))))
-    pairs = keyed.select(F.col("name").alias("a"), "k").join(keyed.select(F.col("name").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
-    return pairs.withColumn("score", N.similarity(F.col("a"), F.col("b"))).filter("score >= 85")
+    """Pairs of distinct part names that are alike (85 or more)."""
+    return M.alike_names(table(spark, d, "part").select(F.lower("p_name").alias("name")))
 
 
 def _entries(spark, d):
@@ -52,19 +48,8 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     return M.rate_limited(e, "user_id", "ts", "event_id", limit=2, seconds=36000).select("event_id", "is_rejected")
 
 
-@query("bridge_components", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_orderkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_orderkey % 7 = 0),
-n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT x, x FROM n UNION SELECT n.y, r.root FROM r JOIN n ON r.node = n.x)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query("bridge_components")
 def bridge_components(spark: SparkSession, d: str) -> DataFrame:
-    from broadloom.operators.graph import components
-
-    e = table(spark, d, "lineitem").filter("l_quantity >= 50 AND l_orderkey % 7 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_orderkey") + 1000000).alias("b"))
-    return components(e)
-
-
-@query("bridge_components_all")
-def bridge_components_all(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers (even nodes) and orders (odd nodes) that any line ties; a recursive query is
     too slow for it, so tests hold a brute-force version."""
     from broadloom.operators.graph import components

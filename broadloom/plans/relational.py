@@ -103,11 +103,11 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b).union(c).distinct()
 
 
-@query("set_difference", "SELECT o_custkey AS custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+@query("set_difference", "SELECT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    o, cut = table(spark, d, "orders"), F.lit("1998-01-01").cast("timestamp_ntz")
-    before, after = o.filter(F.col("o_orderdate") < cut), o.filter(F.col("o_orderdate") >= cut)
-    return before.select(F.col("o_custkey").alias("custkey")).subtract(after.select("o_custkey"))
+    o = table(spark, d, "orders")
+    closed, urgent = o.filter("o_orderstatus = 'F'"), o.filter("o_orderpriority = '1-URGENT'")
+    return closed.select(F.col("o_custkey").alias("custkey")).subtract(urgent.select("o_custkey"))
 
 
 @query("set_intersection", "SELECT l_suppkey AS site FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 50")
@@ -148,19 +148,9 @@ def contested_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("listing_order", """
-SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'F', o_orderdate, o_orderkey) AS pos FROM orders WHERE o_custkey < 40""")
-def listing_order(spark: SparkSession, d: str) -> DataFrame:
-    """Multi-key order with a condition as the first key, numbered within one listing."""
-    from pyspark.sql import Window
-
-    listing = table(spark, d, "orders").filter("o_custkey < 40")
-    return listing.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")).cast("long").alias("pos"))
-
-
-@query("listing_order_all", """
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F', o_orderdate, o_orderkey) AS pos FROM orders""")
-def listing_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same order over all orders, numbered within each customer's listing."""
+def listing_order(spark: SparkSession, d: str) -> DataFrame:
+    """Multi-key order with a condition as the first key, numbered within each listing."""
     from pyspark.sql import Window
 
     listing = Window.partitionBy("o_custkey").orderBy(F.col("o_orderstatus") == "F", "o_orderdate", "o_orderkey")

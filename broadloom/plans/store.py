@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators import store as S
-from broadloom.plans.catalog import ORACLES, query
+from broadloom.plans.catalog import query
 from broadloom.sources.tables import table
 
 
@@ -121,41 +121,30 @@ def own_site_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("absent_proofs", """
-WITH m AS (SELECT DISTINCT l_orderkey AS game, l_suppkey AS site, strftime(l_shipdate, '%Y-%m') AS day FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'),
+WITH m AS (SELECT DISTINCT l_orderkey AS game, l_suppkey AS site, strftime(l_shipdate, '%Y-%m') AS day FROM lineitem),
 seen AS (SELECT DISTINCT game, site FROM m WHERE game % 4 <> 0), cov AS (SELECT s_suppkey AS site, x.day FROM supplier, (SELECT DISTINCT day FROM m) x WHERE s_suppkey % 5 <> 0 AND (s_suppkey + CAST(substr(x.day, 6, 2) AS BIGINT)) % 3 <> 0),
 g AS (SELECT m.site, m.day, count(*) AS live, count(seen.game) AS given FROM m LEFT JOIN seen ON m.game = seen.game AND m.site = seen.site GROUP BY 1, 2)
 SELECT m.game, m.site, m.day FROM m JOIN cov ON m.site = cov.site AND m.day = cov.day JOIN g ON m.site = g.site AND m.day = g.day
 WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.game = m.game AND seen.site = m.site) AND given > 0 AND given >= ceil(live * 0.5)""")
 def absent_proofs(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    m = li.select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("site"), F.date_format("l_shipdate", "yyyy-MM").alias("day")).distinct()
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("site"), F.date_format("l_shipdate", "yyyy-MM").alias("day")).distinct()
     cov = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site")).crossJoin(F.broadcast(m.select("day").distinct()))
     cov = cov.select("site", "day", (F.col("site") % 5 != 0).alias("answered"), ((F.col("site") + F.substring("day", 6, 2).cast("long")) % 3 != 0).alias("intact"))
     return S.absent_proofs(m, m.filter("game % 4 <> 0"), cov, ["game"], "site", "day")
 
 
 @query("alias_resolution", """
-WITH al AS (SELECT lower(p_name) AS alias, 'en' AS lang, substr(p_type, 1, 1) AS sport, '' AS category, p_partkey AS team, p_brand AS club, false AS is_canonical FROM part WHERE p_partkey < 400),
-ask AS (SELECT c_custkey, lower(p_name) AS alias, 'en' AS lang, substr(p_type, 1, 1) AS sport, '' AS category FROM customer JOIN part ON p_partkey = (c_custkey * 7) % 1000 + 300),
+WITH al AS (SELECT lower(p_name) AS alias, 'en' AS lang, substr(p_type, 1, 1) AS sport, '' AS category, p_partkey AS team, p_brand AS club, false AS is_canonical FROM part),
+ask AS (SELECT c_custkey, lower(p_name) AS alias, 'en' AS lang, substr(p_type, 1, 1) AS sport, '' AS category FROM customer JOIN part ON p_partkey = (c_custkey * 7) % (SELECT max(p_partkey) + 1 FROM part)),
 c AS (SELECT ask.c_custkey, ask.sport AS asked, al.* FROM ask LEFT JOIN al USING (alias)),
 n AS (SELECT *, bool_or(sport = asked) OVER (PARTITION BY c_custkey) AS any_sport FROM c), k AS (SELECT * FROM n WHERE NOT coalesce(any_sport, false) OR sport = asked)
 SELECT c_custkey, CASE WHEN max(team) IS NULL THEN 'unknown' WHEN count(DISTINCT club) > 1 THEN 'disputed' WHEN count(DISTINCT sport) = 1 AND max(sport) <> max(asked) THEN 'other sport' ELSE 'found' END AS how,
   CASE WHEN count(DISTINCT club) = 1 AND max(sport) = max(asked) THEN max(team) END AS team FROM k GROUP BY 1""")
 def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
-    return _resolved(spark, d, part.filter("p_partkey < 400"), part.withColumn("_slot", F.col("p_partkey") - 300), F.lit(1000))
-
-
-@query("alias_resolution_all", ORACLES["alias_resolution"].replace(" WHERE p_partkey < 400", "").replace("(c_custkey * 7) % 1000 + 300", "(c_custkey * 7) % (SELECT max(p_partkey) + 1 FROM part)"))
-def alias_resolution_all(spark: SparkSession, d: str) -> DataFrame:
     """Aliases of all parts; customers ask for part keys from the whole range."""
-    part = table(spark, d, "part")
-    return _resolved(spark, d, part, part.withColumn("_slot", F.col("p_partkey")), part.agg(F.max("p_partkey") + 1).scalar())
-
-
-def _resolved(spark, d, known, wanted, slots):
-    cust = table(spark, d, "customer")
-    named = lambda *extra: ("p_name", F.lit("en").alias("lang"), F.substring("p_type", 1, 1).alias("sport"), F.lit("").alias("category"), *extra)
-    aliases = known.select(*named(F.col("p_partkey").alias("team"), F.col("p_brand").alias("club"), F.lit(False).alias("is_canonical"))).withColumnRenamed("p_name", "alias")
-    asked = cust.withColumn("_slot", (F.col("c_custkey") * 7) % slots).join(wanted, "_slot").select("c_custkey", *named()).withColumnRenamed("p_name", "alias")
+    part, cust = table(spark, d, "part"), table(spark, d, "customer")
+    named = lambda *extra: (F.col("p_name").alias("alias"), F.lit("en").alias("lang"), F.substring("p_type", 1, 1).alias("sport"), F.lit("").alias("category"), *extra)
+    aliases = part.select(*named(F.col("p_partkey").alias("team"), F.col("p_brand").alias("club"), F.lit(False).alias("is_canonical")))
+    slot = (F.col("c_custkey") * 7) % (part.agg(F.max("p_partkey")).first()[0] + 1)
+    asked = cust.join(part, slot == F.col("p_partkey")).select("c_custkey", *named())
     return S.alias_ladder(asked, aliases, "c_custkey")

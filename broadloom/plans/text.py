@@ -186,13 +186,15 @@ def agent_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("now_flag_sites", """
-WITH e AS (SELECT user_id % 40 AS site, CAST(ts AS DATE) AS day, event_type = 'signup' AND (user_id % 40 < 35 OR CAST(ts AS DATE) = DATE '2024-01-10') AS flag FROM events)
+WITH e AS (SELECT user_id AS site, CAST(ts AS DATE) AS day, event_type = 'signup' AND (user_id % 4 = 0 OR CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type = 'signup' AND user_id % 4 <> 0)) AS flag FROM events)
 SELECT site, CAST(sum(CASE WHEN flag THEN 1 ELSE 0 END) AS BIGINT) AS flags FROM e GROUP BY site
-HAVING sum(CASE WHEN flag THEN 1 ELSE 0 END) >= 1 AND sum(CASE WHEN flag AND day <> DATE '2024-01-10' THEN 1 ELSE 0 END) = 0 AND count(DISTINCT day) > 1""")
+HAVING sum(CASE WHEN flag THEN 1 ELSE 0 END) >= 1 AND sum(CASE WHEN flag AND day <> (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type = 'signup' AND user_id % 4 <> 0) THEN 1 ELSE 0 END) = 0 AND count(DISTINCT day) > 1""")
 def now_flag_sites(spark: SparkSession, d: str) -> DataFrame:
-    crawl = F.lit("2024-01-10").cast("date")
-    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("site"), F.to_date("ts").alias("day"), "event_type")
-    e = e.withColumn("flag", (F.col("event_type") == "signup") & ((F.col("site") < 35) | (F.col("day") == crawl)))
+    """The crawl is on the last day with a flag; one site in four states its flag on any day."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("site"), F.to_date("ts").alias("day"), "event_type")
+    honest = F.col("site") % 4 == 0
+    crawl = e.filter((F.col("event_type") == "signup") & ~honest).agg(F.max("day")).scalar()
+    e = e.withColumn("flag", (F.col("event_type") == "signup") & (honest | (F.col("day") == crawl)))
     return C.now_flag_sites(e, "site", "day", "flag", crawl, least=1)
 
 

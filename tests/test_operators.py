@@ -110,7 +110,7 @@ def test_bridge_components_over_all_lines_match_brute_force(spark):
     for a, b in edges:
         p, q = sorted((find(a), find(b)))
         root[q] = p
-    got = [(r.node, r.component) for r in queries()["bridge_components_all"](spark, "/root/testdata/sf0.001").collect()]
+    got = [(r.node, r.component) for r in queries()["bridge_components"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted((x, find(x)) for x in root)
 
 
@@ -169,7 +169,7 @@ def test_similarity():
     assert N.name_score("Real Madrid U19", "Real Madrid") == 100
     assert N.name_score("J. Smith", "John Smith") >= 85
     assert N.name_score("Ajax", "Porto") < 60
-    assert N.tidy("FC 1900") == "fc 1900"
+    assert N.plain_name("FC 1900") == "fc 1900"
     assert N.to_latin("Ελλάδα") == "Ellada"
 
 
@@ -205,3 +205,64 @@ def test_page_readers(spark):
 def test_log_lines_of_other_lengths_are_dropped(spark):
     lines = spark.createDataFrame([("\t".join("abcdefgh"),), ("\t".join("abcdefghijkl"),), ("a\tb",), ("",)], "value string")
     assert sorted((r.at, r.lang) for r in P.split_log(lines).collect()) == [("a", ""), ("a", "l")]
+
+
+def merged_plainly(entries, pairs):
+    near = {}
+    for a, b, s in pairs:
+        near.setdefault(a, {})[b] = s
+        near.setdefault(b, {})[a] = s
+    games = []
+    for e, start, sport in sorted(entries, key=lambda x: (x[1], x[0])):
+        hits = [g for g in games if any(x in near.get(e, {}) for x in g["members"])]
+        hits = [g for g in hits if not (g["sport"] and sport and g["sport"] != sport)] or hits[:1]
+        if not hits:
+            games.append({"members": {e: (start, False)}, "sport": sport})
+            continue
+        turn = lambda g: next(s ^ near[e][x] for x, (_, s) in sorted(g["members"].items(), key=lambda m: (m[1][0], m[0])) if x in near[e])  # noqa: B023, E731
+        game, mine = hits[0], turn(hits[0])
+        for other in hits[1:]:
+            if game["sport"] and other["sport"] and game["sport"] != other["sport"]:
+                continue
+            flip = turn(other) ^ mine
+            game["members"].update({x: (t, s ^ flip) for x, (t, s) in other["members"].items()})
+            game["sport"] = game["sport"] or other["sport"]
+            games.remove(other)
+        game["members"][e] = (start, mine)
+        game["sport"] = game["sport"] or sport
+    return {e: (min(g["members"]), s) for g in games for e, (_, s) in g["members"].items()}
+
+
+def test_merge_of_long_chains_matches_brute_force(spark):
+    rng = random.Random(11)
+    day = dt.datetime(2024, 1, 1)
+    entries = [(i, day + dt.timedelta(minutes=rng.randrange(0, 6000)), rng.choice(["", "", "F", "B"])) for i in range(400)]
+    pairs = [(a[0], b[0], rng.random() < 0.3) for a in entries for b in entries if a[0] < b[0] and abs((a[1] - b[1]).total_seconds()) <= 9000 and rng.random() < 0.12]
+    e = spark.createDataFrame([(i, t, "x", "y", s) for i, t, s in entries], M.ENTRY)
+    got = {r.entry_id: (r.game_id, r.swapped) for r in M.merged_games(e, spark.createDataFrame(pairs, "a long, b long, swapped boolean")).collect()}
+    assert got == merged_plainly(entries, pairs)
+
+
+def test_alike_names_match_brute_force(spark):
+    rng = random.Random(12)
+    words = ["dynamo", "dinamo", "kyiv", "kiev", "real", "madrid", "madrit", "wisla", "visla", "krakow", "krakov", "j", "jose", "club", "atletico", "atletiko", "moscow", "moskva", "ab", "abc", "abcd"]
+    names = sorted({" ".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(90)} | {"דינמו קייב", "Динамо Киев", "Wisła Kraków", "Спартак Москва", "spartak moscow"})
+    want = {(a, b, N.name_score(a, b)) for a in names for b in names if a < b and N.name_score(a, b) >= 85}
+    got = {tuple(r) for r in M.alike_names(spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")).collect()}
+    assert len(want) > 40 and got == want
+
+
+def test_readings_and_scores():
+    assert N.name_score("Спартак Москва", "Spartak Moscow") == 100 and N.name_score("München", "Munich") == 100
+    assert N.name_score("J. Smith", "John Smith") == 100 and N.name_score("J. A. Smith", "John Smith") <= 50
+    assert N.name_score("Wisla", "Visla") == 100 and N.one_sound("chess") == "ches" and N.one_sound("c11q") == "k11k"
+    assert N.name_score("מכבי חיפה", "Maccabi Haifa") >= 85 > N.name_score("Ajax", "Porto")
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        assert N.indel_ratio(a, b) == 200 * row[-1] // (len(a) + len(b))
