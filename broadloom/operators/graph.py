@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from broadloom.sources.shared import materialize
 
 
-def _forest(batches):
-    """Union-find within each Arrow batch: leaves one edge to the smallest member for every
-    other member, so copies of a link go before the first shuffle."""
-    for batch in batches:
+#: Edges that one task contracts at once; what it holds is a few times as large.
+EDGES = 1 << 20
+
+
+def _forest(batches, most: int):
+    """Union-find over at most ``most`` edges at a time: leaves one edge to the smallest member
+    for every other member, so copies of a link go before the first shuffle."""
+
+    def contracted(held):
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -23,29 +28,43 @@ def _forest(batches):
                 parent[x], x = root, parent[x]
             return root
 
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a < b:
-                parent[b] = a
-            elif b < a:
-                parent[a] = b
+        for batch in held:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a < b:
+                    parent[b] = a
+                elif b < a:
+                    parent[a] = b
         pairs = [(x, find(x)) for x in list(parent) if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield contracted(held)
+            held, n = [], 0
+    yield contracted(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node.
 
     edges: two long columns, in any direction, repeats and loops allowed. Distributed
-    union-find: each batch is contracted by a local union-find, then large-star and
-    small-star rounds hang every node below the smallest one it can see until nothing
-    moves. A hub's neighbours are found by a partially aggregated minimum and a join that
-    adaptive execution can split, never gathered in one group.
+    union-find: pieces of bounded size are contracted by a local union-find, in so many tasks
+    that each has about one piece, then large-star and small-star rounds hang every node
+    below the smallest one it can see until nothing moves. A hub's neighbours are found by a
+    partially aggregated minimum and a join that adaptive execution can split, never gathered
+    in one group.
     """
     a, b = edges.columns[:2]
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    links = materialize(links.mapInArrow(_forest, "u long, v long").distinct())
-    while True:
+    links = materialize(links.mapInArrow(lambda it: _forest(it, EDGES // 8), "u long, v long"))
+    pieces = links.coalesce(max(1, -(-links.count() // EDGES)))
+    links = materialize(pieces.mapInArrow(lambda it: _forest(it, 2 * EDGES), "u long, v long").distinct())
+    # every component is a star once no parent has a parent
+    while not _stars(links):
         both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -54,10 +73,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = materialize(hung.filter("u <> v").distinct())
-        # every component is a star once no parent has a parent
-        roles = links.select(F.col("u").alias("n"), F.lit(1).alias("r")).union(links.select("v", F.lit(2)))
-        if roles.groupBy("n").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo <> hi").isEmpty():
-            break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def _stars(links: DataFrame) -> bool:
+    """Has no node a parent and a child, or two parents?"""
+    roles = links.select(F.col("u").alias("n"), F.lit(1).alias("r"), F.col("v").alias("p")).union(links.select("v", F.lit(2), F.lit(None).cast("long")))
+    mixed = roles.groupBy("n").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.min("p").alias("p"), F.max("p").alias("q"))
+    return mixed.filter("lo <> hi OR p <> q").isEmpty()
