@@ -274,8 +274,8 @@ def _pieces(batches):
         yield zip(*members, strict=True)
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+def _pairs(found: list[tuple[int, int]], names=("u", "v")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=list(names))
 
 
 def _tree_pairs(batches, num: int, den: int, likeliest: bool):
@@ -303,7 +303,7 @@ def _tree_pairs(batches, num: int, den: int, likeliest: bool):
                 found.append((min(node[x], node[y]), max(node[x], node[y])))
             elif passing:
                 found += [(node[x], other) for _, other, _ in passing]
-        yield _pairs(found)
+        yield _pairs(found, ("pivot", "node"))
 
 
 def _links_across(batches, num: int, den: int, decode, at_once: int = 1024, most_bytes: int = 4 << 20):
@@ -352,8 +352,8 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
     small enough to go where their blocks go, and ``decode`` turns a list of such bytes into
     arrays of distinct hashes.
 
-    A node is first tested against its smallest pivot, then against its others as far as
-    their components differ, then against the rest of its blocks, likewise.
+    A node is first tested against its likeliest pivot, then, as far as their components
+    differ, against its likeliest partner in each block, then against the rest of its blocks.
     """
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -380,27 +380,23 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
         near = stars.join(points, "node").withColumnRenamed("vector", "b").join(points.select(F.col("node").alias("pivot"), F.col("vector").alias("a")), "pivot")
         stars = near.select("pivot", "node", "a", "b").mapInArrow(lambda it: _bounded(it, num, den), "pivot long, node long, share double")
     stars = materialize(stars)
-    sets = fetch(materialize(nodes_of(stars)))
-    links = verified(stars.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"), sets)
-    classes = materialize(components(links))
-
-    # of two components' pairs the likeliest first; where it fails, the others
-    for likeliest in (True, False):
-        others = classed(classed(stars, classes, "node", "c"), classes, "pivot", "d").filter("c <> d")
+    tested = materialize(stars.groupBy("node").agg(F.max_by("pivot", F.struct("share", -F.col("pivot"))).alias("pivot")).select("pivot", "node"))
+    sets = fetch(materialize(nodes_of(stars if points is None else tested)))
+    links = verified(tested, sets)
+    classes = components(links)
+
+    def apart_stars(classes: DataFrame, likeliest: bool) -> DataFrame:
+        """Star pairs that are not tested and lie in different components; ``likeliest``: of
+        two components' pairs the one with the highest bound."""
+        left = stars.join(tested, ["pivot", "node"], "left_anti")
+        left = classed(classed(left, classes, "node", "c"), classes, "pivot", "d").filter("c <> d")
         if likeliest:
             best = F.max(F.struct("share", "pivot", "node"))
-            others = others.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(best.alias("best")).select("best.pivot", "best.node")
-        others = materialize(others.select("pivot", "node"))
-        if others.isEmpty():
-            break
-        if not likeliest:
-            others = materialize(others.join(tried, ["pivot", "node"], "left_anti"))
-        tried = others
-        links = links.union(verified(others, sets))
-        classes = materialize(components(links))
+            left = left.groupBy(F.least("c", "d"), F.greatest("c", "d")).agg(best.alias("best")).select("best.pivot", "best.node")
+        return left.select("pivot", "node")
 
     def open_members(classes: DataFrame) -> DataFrame:
-        # a block of two with one pivot has had its pair tested
+        # the pair of a block of two with one pivot is a star pair
         members = classed(blocks, classes, "node", "c")
         left = members.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), (F.min("pivot") != F.max("pivot")).alias("mixed"))
         left = left.filter("lo <> hi AND (n > 2 OR mixed)").select("block", F.ceil(F.col("n") / piece).cast("long").alias("k"))
@@ -415,23 +411,22 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
 
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     rest = open_members(classes)
-    if rest.isEmpty():
-        return classes
     if points is None:
-        return components(links.union(pieces(rest, sets, every).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")))
-    tested = stars.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
+        others = verified(materialize(apart_stars(classes, False)), sets)
+        across = pieces(rest, sets, every).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")
+        return components(links.union(others).union(across))
     for likeliest in (True, False):
         shared = pieces(rest, points, F.col("chunk") if likeliest else every)
-        pairs = shared.mapInArrow(lambda it, first=likeliest: _tree_pairs(it, num, den, first), "u long, v long").distinct()
-        pairs = materialize(pairs.select(F.col("u").alias("pivot"), F.col("v").alias("node")).join(tested, ["pivot", "node"], "left_anti"))
+        found = shared.mapInArrow(lambda it, first=likeliest: _tree_pairs(it, num, den, first), "pivot long, node long")
+        known = tested.union(tested.select("node", "pivot"))
+        pairs = apart_stars(classes, likeliest).union(found).distinct().join(known, ["pivot", "node"], "left_anti")
+        pairs = materialize(pairs)
         if pairs.isEmpty():
             continue
         sets = with_sets(pairs, sets)
         links = links.union(verified(pairs, sets))
         tested = tested.union(pairs)
-        classes = materialize(components(links))
+        classes = components(links)
         if likeliest:
             rest = open_members(classes)
-            if rest.isEmpty():
-                break
     return classes
