@@ -97,3 +97,19 @@ def foreign_words(side: Column, spellings: Column) -> Column:
     """Words of a side that no spelling of the team has, in order."""
     known = F.flatten(F.transform(spellings, lambda s: F.split(F.lower(s), r"\s+")))
     return F.filter(F.split(F.lower(F.trim(side)), r"\s+"), lambda w: ~F.array_contains(known, w))
+
+
+def names_in_json(value: Column) -> Column:
+    """Names of a JSON list, lower-cased, with single spaces, sorted, each once; broken or blank
+    values give none."""
+    words = F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))
+    clean = F.transform(words, lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & (x != ""))))
+
+
+def merged_state(known: DataFrame, fresh: DataFrame, key: str, lists: list[str]) -> DataFrame:
+    """Nested state with what is new added: no key and no entry of a list ever goes. ``is_new``
+    tells the keys that were not known. ``lists``: array columns of both sides."""
+    side = lambda df, new: df.filter(F.col(key).isNotNull()).select(key, *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists), F.lit(new).alias("_new"))
+    rows = side(known, 1).unionByName(side(fresh, 2))
+    return rows.groupBy(key).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists), (F.min("_new") == 2).alias("is_new"))

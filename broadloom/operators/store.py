@@ -153,3 +153,44 @@ def alias_ladder(asked: DataFrame, aliases: DataFrame, ask_id: str) -> DataFrame
     how = F.when(F.max("team").isNull(), "unknown").when(F.countDistinct("club") > 1, "disputed").when((F.countDistinct("sport") == 1) & (F.max("sport") != F.max("_sport")), "other sport").otherwise("found")
     out = cand.groupBy(ask_id).agg(how.alias("how"), F.max("team").alias("team"))
     return out.select(ask_id, F.when(F.col("how") == "found", F.col("team")).alias("team"), "how")
+
+
+def marks_appended(old: Column, new: Column) -> Column:
+    """Old marks and those that the new row adds, in that order."""
+    return F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))
+
+
+def specific_wins(generic: list[str]) -> Callable[[Column, Column], Column]:
+    """A league that only names the sport never overwrites a league of its own."""
+    def rule(old: Column, new: Column) -> Column:
+        bare = lambda c: F.coalesce(F.trim(F.lower(c)), F.lit("")).isin(["", *(g.lower() for g in generic)])
+        return F.when(bare(new) & ~bare(old), old).otherwise(F.coalesce(new, old))
+
+    return rule
+
+
+def count_misses(marks: DataFrame, absent: DataFrame, keys: list[str], count: str, limit: int) -> DataFrame:
+    """Marks with one more miss where they are absent; ``goes`` at the miss that reaches the
+    limit, and at no later one."""
+    missed = absent.select(*keys).distinct().withColumn("_absent", F.lit(1))
+    out = marks.join(missed, keys, "left").withColumn(count, F.coalesce(count, F.lit(0)) + F.coalesce("_absent", F.lit(0)))
+    return out.withColumn("goes", F.col("_absent").isNotNull() & (F.col(count) == limit)).drop("_absent")
+
+
+def learnt_aliases(seen: DataFrame, known: DataFrame, alias: str, team: str) -> DataFrame:
+    """(alias, team, fate) of new pairs: 'known', 'learnt' (the alias has one team, here and in
+    the dictionary), or 'quarantine' (teams differ; nothing is learnt from it)."""
+    new = seen.select(F.lower(alias).alias(alias), team).distinct()
+    own = known.select(F.lower(alias).alias(alias), F.col(team).alias("_team")).distinct()
+    teams = new.select(alias, F.col(team).alias("_any")).union(own).groupBy(alias).agg(F.countDistinct("_any").alias("_n"))
+    has = own.withColumnRenamed("_team", team).withColumn("_known", F.lit(True))
+    fate = F.when(F.col("_n") > 1, "quarantine").when(F.col("_known"), "known").otherwise("learnt")
+    return new.join(teams, alias).join(has, [alias, team], "left").select(alias, team, fate.alias("fate"))
+
+
+def retractable(marks: DataFrame, seen: DataFrame, coverage: DataFrame, game: list[str], site: str, day: str, start: Column, collected: Column, backfill: bool, new_file: bool, share: float = 0.5) -> DataFrame:
+    """Proof of absence by all its rules: the run is no backfill and its file is new, the game
+    has not started when the file was collected, and ``absent_proofs`` holds."""
+    if backfill or not new_file:
+        return marks.limit(0)
+    return absent_proofs(marks, seen, coverage, game, site, day, share).filter(start > collected)
