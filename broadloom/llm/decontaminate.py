@@ -7,8 +7,9 @@ hit fixes an alignment, along which the words of item and document are compared,
 overlap of enough words, most of them equal, convicts.
 
 Words are compared in lower case. Defined cases: null or empty texts match nothing;
-items of fewer words than ``least`` are no evidence and match nothing; items shorter than
-the masks are looked up as a whole; repeated items and items with one text each report;
+items shorter than the masks are looked up as a whole, word for word (one of a single word
+convicts every text that holds it; ``least`` sets a minimum for those who want one); repeated
+items and items with one text each report;
 rows that repeat a doc_id report once; rows with a null doc_id and items with a null
 item_id match nothing, so such rows stay. Empty tables give an empty result. Columns other than
 doc_id, item_id and text are ignored.
@@ -73,7 +74,7 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int, tolerance: floa
     return n, same
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, overlap: int = 13, tolerance: float = 0.25, broadcast_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1, overlap: int = 13, tolerance: float = 0.25, broadcast_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, overlap_words, equal_words, item_words), a row for each document and
     item whose best overlap has at least min(overlap, item length) words with at most
     ``tolerance`` of them different.
@@ -110,7 +111,7 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
     for r in items.collect():  # at most broadcast_words words, checked by the caller
         data = np.frombuffer(r["text"].encode(), np.uint8)
         starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-        if len(starts) >= least:
+        if len(starts) >= max(1, least):
             known.append((r["item_id"], hasher(data, starts, ends)))
     seeds = [(x, i, at) for i, (_, h) in enumerate(known) for x, at in item_seeds(h)]
     lengths = sorted({len(h) for _, h in known if len(h) < len(MASKS[0])})
@@ -147,6 +148,10 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
 
 
 def _by_shuffle(docs, items, least, overlap, tolerance):
+    # at most seven lengths: those of items shorter than the masks
+    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    lengths = sorted(r["n"] for r in items.select(n_words.alias("n")).filter((F.col("n") >= least) & (F.col("n") < len(MASKS[0])) & (F.col("n") > 0)).distinct().collect())
+
     def seeds(batches, key):
         hasher = WordHasher()
         for rows, data, bounds in text_slices(batches, budget=1 << 20):
@@ -156,8 +161,8 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
             seed, own, at = [], [], []
             for i, (a, b) in enumerate(zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)):
                 part = h[a:b]
-                short = ["1" * n for n in range(least, len(MASKS[0]))] if key == "doc_id" else ["1" * len(part)] if len(part) < len(MASKS[0]) else []
-                if key == "item_id" and len(part) < least:
+                short = ["1" * n for n in lengths] if key == "doc_id" else ["1" * len(part)] if len(part) < len(MASKS[0]) else []
+                if key == "item_id" and len(part) < max(1, least):
                     continue
                 for mask in [*MASKS, *short]:
                     s = seed_hashes(part, mask)

@@ -130,8 +130,8 @@ def test_substring_dedup_edges(spark):
     assert got == [(1, 30, 0), (2, 2, 0), (2, 60, 60), (2, 70, 0)]
 
 
-def brute_lines(rows, k=8):
-    """First line of each class of lines (single links by exact Jaccard) and the rest."""
+def line_classes_plainly(rows, k=8):
+    """{(doc_id, line number)} of the first line of each class (single links by exact Jaccard)."""
     lines = [(d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if brute.WORD.search(x)]
     distinct = sorted({x for _, _, x in lines})
     low = [x.translate({c: c + 32 for c in range(65, 91)}) for x in distinct]
@@ -149,11 +149,19 @@ def brute_lines(rows, k=8):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     first: dict = {}
-    gone = {}
+    number = {x: i for i, x in enumerate(distinct)}
     for d, i, x in sorted(lines):
-        c = find(distinct.index(x))
-        if first.setdefault(c, (d, i)) != (d, i):
-            gone[d] = gone.get(d, 0) + 1
+        first.setdefault(find(number[x]), (d, i))
+    return set(first.values())
+
+
+def brute_lines(rows, k=8):
+    """Lines of each document that are not the first of their class."""
+    first, gone = line_classes_plainly(rows, k), {}
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            if brute.WORD.search(x) and (d, i) not in first:
+                gone[d] = gone.get(d, 0) + 1
     return gone
 
 
