@@ -156,25 +156,56 @@ def count_vector(items: np.ndarray, bits: int = 6) -> np.ndarray:
 
 
 def packed_vector(items: np.ndarray) -> bytes:
-    """A point with about four hashes a group, in which unrelated sets lie far apart
-    whatever their size. Groups are leading bits, so neighbours add up to a coarser point."""
-    bits = min(20, max(6, int(np.log2(max(1, len(items)) / 4))))
-    while (v := count_vector(items, bits)).max(initial=0) >= 1 << 16:
+    """A point with one hash a group or fewer on average. Two sets of which a share is common
+    then fall apart in the rest of their groups, so the bound lies close to the overlap.
+    Groups are leading bits, so neighbours add up to a coarser point."""
+    bits = min(20, max(6, int(np.log2(2 * max(1, len(items))))))
+    while (v := count_vector(items, bits)).max(initial=0) >= 1 << 8:
         bits += 1
-    return v.astype("<u2").tobytes()
+    return v.astype(np.uint8).tobytes()
 
 
 def unpacked_vector(raw) -> np.ndarray:
-    return np.frombuffer(raw, "<u2").astype(np.int64)
+    return np.frombuffer(raw, np.uint8)
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    """The point in fewer groups."""
+    return v.reshape(groups, -1).sum(1, dtype=np.int64) if len(v) > groups else v
 
 
 def vector_bound(a: np.ndarray, b: np.ndarray) -> int:
     """The sum of coordinate minima, in the coarser point's groups."""
-    if len(a) > len(b):
-        a = a.reshape(len(b), -1).sum(1)
-    elif len(b) > len(a):
-        b = b.reshape(len(a), -1).sum(1)
-    return int(np.minimum(a, b).sum())
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum(dtype=np.int64))
+
+
+class PointTable:
+    """The points of a piece by their number of groups, and those of more groups folded to
+    each number that others have, so that a point meets many at once."""
+
+    def __init__(self, points: list[np.ndarray]) -> None:
+        self.points = points
+        self.groups = np.array([len(p) for p in points])
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for g in sorted(set(self.groups.tolist())):
+            rows = np.flatnonzero((self.groups >= g) & (self.groups <= 2 * g))
+            place = np.full(len(points), -1)
+            place[rows] = np.arange(len(rows))
+            self.tables[g] = place, np.stack([folded(points[i], g).astype(np.uint16) for i in rows.tolist()])
+
+    def bounds(self, x: int, near: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(near), np.int64)
+        level = np.minimum(self.groups[near], self.groups[x])
+        for g in np.unique(level).tolist():
+            chosen = np.flatnonzero(level == g)
+            place, table = self.tables[g]
+            at = place[near[chosen]]
+            if place[x] >= 0 and (at >= 0).all():
+                out[chosen] = np.minimum(table[place[x]], table[at]).sum(1, dtype=np.int64)
+            else:  # unlike in size by more than the double: never linked at usual thresholds
+                out[chosen] = [vector_bound(self.points[x], self.points[y]) for y in near[chosen].tolist()]
+        return out
 
 
 def enough(shared, a, b, num: int, den: int):
@@ -229,7 +260,7 @@ def _bounded(batches, num: int, den: int):
         share, keep = [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             a, b = unpacked_vector(a.as_buffer()), unpacked_vector(b.as_buffer())
-            bound, n, m = vector_bound(a, b), a.sum(), b.sum()
+            bound, n, m = vector_bound(a, b), a.sum(dtype=np.int64), b.sum(dtype=np.int64)
             keep.append(bool(enough(bound, n, m, num, den)))
             share.append(bound / max(n, m, 1))
         keep = pa.array(keep, pa.bool_())
@@ -285,8 +316,8 @@ def _tree_pairs(batches, num: int, den: int, likeliest: bool):
     others are in a piece of their own."""
     for chunk, node, comp, payload in _pieces(batches):
         fine = [unpacked_vector(p) for p in payload]
-        coarse = np.stack([v.reshape(GROUPS, -1).sum(1) for v in fine])
-        sizes, chunk, comp = coarse.sum(1), np.array(chunk), np.unique(np.array(comp), return_inverse=True)[1]
+        coarse, table = np.stack([folded(v, GROUPS).astype(np.int64) for v in fine]), PointTable(fine)
+        sizes, chunk, node, comp = coarse.sum(1), np.array(chunk), np.array(node), np.unique(np.array(comp), return_inverse=True)[1]
         tree, across, found = CountTree(coarse, sizes), len(set(chunk.tolist())) > 1, []
         for x in range(len(node)):
             near = tree.search(coarse[x], sizes[x], num, den)
@@ -294,15 +325,18 @@ def _tree_pairs(batches, num: int, den: int, likeliest: bool):
             if across:
                 near = near[chunk[near] != chunk[x]]
             if not likeliest:
-                near = [y for y in near.tolist() if node[x] < node[y]]
-            bounds = [vector_bound(fine[x], fine[y]) for y in near]
-            passing = [(b / max(sizes[x], sizes[y]), node[y], y) for b, y in zip(bounds, near, strict=True) if enough(b, sizes[x], sizes[y], num, den)]
-            if likeliest and passing:
-                y = max(passing)[2]
+                near = near[node[near] > node[x]]
+            if not len(near):
+                continue
+            bounds = table.bounds(x, near)
+            passing = enough(bounds, sizes[x], sizes[near], num, den)
+            near, bounds = near[passing], bounds[passing]
+            if likeliest and len(near):
+                y = near[np.lexsort((node[near], bounds / np.maximum(sizes[x], sizes[near])))[-1]]
                 comp[comp == comp[y]] = comp[x]
                 found.append((min(node[x], node[y]), max(node[x], node[y])))
-            elif passing:
-                found += [(node[x], other) for _, other, _ in passing]
+            elif len(near):
+                found += [(node[x], other) for other in node[near].tolist()]
         yield _pairs(found, ("pivot", "node"))
 
 
