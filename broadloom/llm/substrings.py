@@ -17,15 +17,15 @@ about half as many. A prefix that even whole windows share too often (a passage
 of all documents) is no burden: its copies pass as they come, see below.
 
 Subtrees. A group's subtree grows from its root downwards: the suffixes below a node are told
-apart by their next two words, those left alone are leaves and go, until the depth of
+apart by their next four words, those left alone are leaves and go, until the depth of
 ``window`` words is reached. What is left hangs below deep internal nodes: all suffixes of
 one node are the same words, the earliest stays and the others are repeats. Windows that
 follow one another merge into maximal repeats (``maximal_repeats``). A group that grows
 beyond ``group_windows`` is worked off in pieces, of which only the earliest window of each
 node is held on; the piece grows only with the distinct windows.
 
-Words travel as 24 bits of their hash, with eight bits of the window's hash as the last
-edge, so two windows that differ in a single word are taken for one with probability 2**-32.
+Words travel as 16 bits of their hash, with 16 bits of the window's hash as the last edge,
+so two windows that differ in a single word are taken for one with probability 2**-32.
 Before the shuffle each slice of a partition sends the earliest of equal windows; later ones
 are repeats already. A passage in a third of all documents reaches its group once for each
 slice (4 MB), not once for each document.
@@ -138,6 +138,7 @@ def _count(batches, window: int, anchor: int, lengths, bits: int):
 
 
 HEAD = 5  # numbers before a section
+EDGE = 4  # words by which the suffixes below a node are told apart at once
 
 
 def _send(batches, window: int, anchor: int, lengths, heavy: np.ndarray, groups: int):
@@ -168,15 +169,17 @@ def _send(batches, window: int, anchor: int, lengths, heavy: np.ndarray, groups:
             at = place[head] - part.ptr[text]
             mask |= part.checks[text] << OFFSETS
             ends = np.cumsum(n_words)
-            words = part.h[np.repeat(first - ends + n_words, n_words) + np.arange(ends[-1])].view(np.uint8).reshape(-1, 8)[:, 5:]
-            check = (part.full[chosen] >> U(56)).astype(np.uint8)
+            words = part.h[np.repeat(first - ends + n_words, n_words) + np.arange(ends[-1])].view("<u2")[3::4]
+            check = part.full[chosen].view("<u2")[3::4]
             cut = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 who, row = np.unique(text[a:b], return_inverse=True)
                 lo, hi = int(ends[a] - n_words[a]), int(ends[b - 1])
-                body = b"" if flag else words[lo:hi].tobytes() + check[head[a] : after[b - 1]].tobytes()
-                sizes = np.array([flag, len(who), b - a, 0 if flag else hi - lo, 0 if flag else after[b - 1] - head[a]], "<u4")
-                parts.setdefault(int(own[a]), []).append(b"".join((sizes.tobytes(), ids[who].astype("<i8").tobytes(), *(x.astype("<u4").tobytes() for x in (row, at[a:b], mask[a:b])), body)))
+                body = [] if flag else [words[lo:hi], check[head[a] : after[b - 1]]]
+                wide = int(max(len(who), at[a:b].max()) >= 1 << 16)
+                own_rows = [x.astype("<u4" if wide else "<u2") for x in (row, at[a:b])]
+                sizes = np.array([flag + 2 * wide, len(who), b - a, *(map(len, body) if body else (0, 0))], "<u4")
+                parts.setdefault(int(own[a]), []).append(b"".join(x.tobytes() for x in (sizes, ids[who].astype("<i8"), *own_rows, mask[a:b].astype("<u4"), *body)))
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([b"".join(p) for p in parts.values()], pa.binary())], names=["group", "blob"])
 
 
@@ -184,20 +187,20 @@ def _read(blob: bytes):
     """(flag, doc_id, anchor place (below the text's check) and mask of each run, words,
     checks) of each section."""
     at = 0
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(blob, kind, n, at)
+        at += found.nbytes
+        return found
+
     while at < len(blob):
-        flag, who, n, n_words, n_windows = np.frombuffer(blob, "<u4", HEAD, at).tolist()
-        at += 4 * HEAD
-        ids = np.frombuffer(blob, "<i8", who, at)
-        at += 8 * who
-        row, place, mask = np.frombuffer(blob, "<u4", 3 * n, at).reshape(3, n)
-        at += 12 * n
-        words = np.zeros((n_words, 4), np.uint8)
-        words[:, :3] = np.frombuffer(blob, np.uint8, 3 * n_words, at).reshape(-1, 3)
-        at += 3 * n_words
-        checks = np.frombuffer(blob, np.uint8, n_windows, at)
-        at += n_windows
-        place = place.astype(np.int64) | (mask >> OFFSETS).astype(np.int64) << PLACES
-        yield flag, ids[row], place, (mask & (1 << OFFSETS) - 1).astype(np.int64), words.view("<u4").ravel(), checks
+        flag, who, n, n_words, n_windows = take("<u4", HEAD).tolist()
+        ids = take("<i8", who)
+        row, place = (take("<u4" if flag & 2 else "<u2", n).astype(np.int64) for _ in range(2))
+        mask = take("<u4", n).astype(np.int64)
+        words, checks = take("<u2", n_words), take("<u2", n_windows)
+        yield flag & 1, ids[row], place | mask >> OFFSETS << PLACES, mask & (1 << OFFSETS) - 1, words, checks
 
 
 def spread(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,15 +214,14 @@ def grow(words: np.ndarray, anchor: np.ndarray, off: np.ndarray, check: np.ndarr
     left = np.arange(len(anchor))
     node = off  # equal windows hold their anchor at the same place
     ahead = window - off  # words from the anchor to the window's end
-    for depth in range(0, window + 1, 2):
-
-        def word(d: int) -> np.ndarray:
-            if d >= window:
-                return check[left].astype(np.uint64)
-            a, n = anchor[left], ahead[left]
-            return words[np.where(d < n, a + d, a - 1 - (d - n))].astype(np.uint64)
-
-        edge = word(depth) << U(32) | (word(depth + 1) if depth < window else U(0))
+    for depth in range(0, window + 1, EDGE):
+        edge, a, n = np.zeros(len(left), np.uint64), anchor[left], ahead[left]
+        for d in range(depth, depth + EDGE):
+            edge <<= U(16)
+            if d < window:
+                edge |= words[np.where(d < n, a + d, a - 1 - (d - n))]
+            elif d == window:
+                edge |= check[left]
         order = np.lexsort((edge, node))
         edge, node, left = edge[order], node[order], left[order]
         new = np.append(True, (edge[1:] != edge[:-1]) | (node[1:] != node[:-1]))[: len(left)]
