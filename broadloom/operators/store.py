@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadloom.sources.shared import materialize
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """Stored and incoming by key. Where both have a row, each column follows its rule of
@@ -83,15 +85,17 @@ def streaks(days: DataFrame, key: str, day: str, silent: str, read: str) -> Data
     return rows.withColumn("streak", F.sum(F.when(F.col(read) & F.col(silent), 1).otherwise(0)).over(inside).cast("long")).drop("_run")
 
 
-def survivors(pointers: DataFrame, node: str, merged_into: str, most_hops: int = 64) -> DataFrame:
-    """(node, survivor): follows merge pointers to their end by doubling, so a chain of n hops
-    takes log2 n joins. A pointer that leads nowhere ends where it points; a node in a cycle
-    survives as the smallest of the cycle."""
-    hop = pointers.select(F.col(node).alias("node"), F.coalesce(F.col(merged_into), F.col(node)).alias("to"), F.least(F.col(node), F.coalesce(F.col(merged_into), F.col(node))).alias("low"))
-    step = 1
-    while step < most_hops:
+def survivors(pointers: DataFrame, node: str, merged_into: str) -> DataFrame:
+    """(node, survivor): follows merge pointers to their end by doubling, so a chain of n hops,
+    however long, takes log2 n joins. A pointer that leads nowhere ends where it points; a
+    node in a cycle survives as the smallest of the cycle."""
+    to = F.coalesce(F.col(merged_into), F.col(node))
+    hop = materialize(pointers.select(F.col(node).alias("node"), to.alias("to"), F.least(F.col(node), to).alias("low"), (to != F.col(node)).alias("went")))
+    step, longest = 1, hop.filter("went").count()
+    while step <= longest and not hop.filter("went").isEmpty():
         nxt = hop.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        hop = hop.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), F.least(F.col("low"), F.coalesce("low2", "low")).alias("low"))
+        joined = hop.join(nxt, "to", "left")
+        hop = materialize(joined.select("node", F.coalesce("to2", "to").alias("to"), F.least(F.col("low"), F.coalesce("low2", "low")).alias("low"), (F.coalesce("to2", "to") != F.col("to")).alias("went")))
         step *= 2
     end = hop.select(F.col("node").alias("to"), F.col("to").alias("end"), F.col("low").alias("end_low"))
     ended = hop.join(end, "to", "left")
