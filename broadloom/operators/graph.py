@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,34 +10,35 @@ from pyspark.sql import functions as F
 from broadloom.sources.shared import materialize
 
 
-#: Edges that one task contracts at once; what it holds is a few times as large.
-EDGES = 1 << 20
+#: Edges that one task contracts at once.
+EDGES = 1 << 19
+
+
+def smallest_members(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that it hangs together with): larger roots hook to smaller ones and
+    paths are halved until every edge lies within one root."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
 
 
 def _forest(batches, most: int):
-    """Union-find over at most ``most`` edges at a time: leaves one edge to the smallest member
-    for every other member, so copies of a link go before the first shuffle."""
+    """Contracts at most ``most`` edges at a time: leaves one edge to the smallest member for
+    every other member, so copies of a link go before the first shuffle."""
 
     def contracted(held):
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.setdefault(root, root)) != root:
-                root = up
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
-
-        for batch in held:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = find(a), find(b)
-                if a < b:
-                    parent[b] = a
-                elif b < a:
-                    parent[a] = b
-        pairs = [(x, find(x)) for x in list(parent) if find(x) != x]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in held] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        node, least = smallest_members(u, v)
+        below = node != least
+        return pa.RecordBatch.from_arrays([pa.array(node[below]), pa.array(least[below])], names=["u", "v"])
 
     held, n = [], 0
     for batch in batches:
@@ -60,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    links = materialize(links.mapInArrow(lambda it: _forest(it, EDGES // 8), "u long, v long"))
+    links = materialize(links.mapInArrow(lambda it: _forest(it, EDGES // 4), "u long, v long"))
     pieces = links.coalesce(max(1, -(-links.count() // EDGES)))
     links = materialize(pieces.mapInArrow(lambda it: _forest(it, 2 * EDGES), "u long, v long").distinct())
     # every component is a star once no parent has a parent
