@@ -163,7 +163,8 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
     blocks = member_blocks(records, num, den, parts)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes.hint("shuffle_hash"), "node").dropDuplicates(["node"])
+        # nodes are read from a file, so Spark sees their size and broadcasts them if they are few
+        one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes, "node").dropDuplicates(["node"])
         return materialize(one)
 
     hasher: list[WordHasher] = []  # one for each task

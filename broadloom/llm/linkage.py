@@ -25,7 +25,7 @@ from broadloom.operators.graph import components
 #: A block with more members than this is never held as one; its members stream by.
 LARGE = 4096
 #: Records of a part that are held before the large blocks among them are let go.
-HELD = 1 << 21
+HELD = 1 << 20
 RECORD = np.dtype([("key", "<i8"), ("node", "<i8"), ("cls", "<i4")])
 #: Size classes an octave.
 OCTAVE = 8
