@@ -78,9 +78,10 @@ def daily_rollup(visits: DataFrame, visitor: str, by: list[str]) -> DataFrame:
 
 
 def daily_sets(visits: DataFrame, visitor: str, by: list[str], salt: str) -> DataFrame:
-    """The daily fact with hashed visitor sets, whose unions give uniques of any period."""
+    """The daily fact with hashed visitors, whose unions give uniques of any period: a row for
+    each day, group and visitor with the number of visits, so that no set is one value."""
     hashed = F.substring(F.sha2(F.concat(F.lit(salt), F.col(visitor).cast("string")), 256), 1, 10)
-    return visits.withColumn("_id", hashed).groupBy("day", *by).agg(F.count("*").alias("visits"), F.sort_array(F.collect_set("_id")).alias("ids"))
+    return visits.groupBy("day", *by, hashed.alias("id")).agg(F.count("*").alias("visits"))
 
 
 def period_uniques(daily: DataFrame, today: str, by: list[str], days: tuple[int, ...] = (1, 7, 30, 365)) -> DataFrame:
@@ -91,7 +92,7 @@ def period_uniques(daily: DataFrame, today: str, by: list[str], days: tuple[int,
     spans = F.filter(F.array(*(F.lit(d) for d in days)), lambda d: (ago >= 0) & (ago < d))
     rows = daily.withColumn("period", F.explode(spans))
     visits = rows.groupingSets([["period", *by], ["period"]], "period", *by).agg(F.sum("visits").alias("visits"))
-    people = rows.withColumn("id", F.explode("ids")).groupingSets([["period", *by], ["period"]], "period", *by).agg(F.countDistinct("id").alias("visitors"))
+    people = rows.groupingSets([["period", *by], ["period"]], "period", *by).agg(F.countDistinct("id").alias("visitors"))
     on = visits["period"] == people["period"]
     for b in by:
         on = on & visits[b].eqNullSafe(people[b])

@@ -36,13 +36,28 @@ def majority_sport(spark: SparkSession, d: str) -> DataFrame:
     return M.majority_sport(e, "user_id", "event_type", "event_id")
 
 
-@query("late_repeats")
+#: Events of a visitor one after another, and the recursion that carries what was kept so far.
+WALK_SQL = "WITH RECURSIVE o AS (SELECT event_id, user_id, event_type <> 'purchase' AS guessed, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+@query("late_repeats", WALK_SQL + """,
+r AS (SELECT event_id, user_id, rn, [t] AS kept, false AS is_repeat FROM o WHERE rn = 1 UNION ALL
+  SELECT o.event_id, o.user_id, o.rn, CASE WHEN o.guessed AND len(list_filter(r.kept, lambda x: o.t - x > 9000 AND o.t - x <= 108000)) > 0 THEN list_filter(r.kept, lambda x: o.t - x <= 108000) ELSE list_append(list_filter(r.kept, lambda x: o.t - x <= 108000), o.t) END,
+    o.guessed AND len(list_filter(r.kept, lambda x: o.t - x > 9000 AND o.t - x <= 108000)) > 0 FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT event_id, is_repeat FROM r""")
 def late_repeats(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") != "purchase").alias("guessed"))
     return M.late_repeats(e, ["user_id"], "ts", "event_id", "guessed").select("event_id", "is_repeat")
 
 
-@query("rate_limited")
+RATE_SQL = WALK_SQL + """,
+r AS (SELECT event_id, user_id, rn, [t] AS kept, false AS is_rejected FROM o WHERE rn = 1 UNION ALL
+  SELECT o.event_id, o.user_id, o.rn, CASE WHEN len(list_filter(r.kept, lambda x: o.t - x <= {span})) >= 2 THEN list_filter(r.kept, lambda x: o.t - x <= {span}) ELSE list_append(list_filter(r.kept, lambda x: o.t - x <= {span}), o.t) END,
+    len(list_filter(r.kept, lambda x: o.t - x <= {span})) >= 2 FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT event_id{name}, is_rejected FROM r"""
+
+
+@query("rate_limited", RATE_SQL.format(span=36000, name=""))
 def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
     return M.rate_limited(e, "user_id", "ts", "event_id", limit=2, seconds=36000).select("event_id", "is_rejected")

@@ -88,7 +88,7 @@ s AS (SELECT node, min(at_node) AS survivor FROM r GROUP BY node)
 def _survivors(spark, d):
     k = F.col("p_partkey")
     up = F.when((k % 4 != 0) & (k >= 4), k - k % 4).when((k % 16 == 4) & (k > 4), k - 4)
-    return S.survivors(table(spark, d, "part").select(k.alias("node"), up.alias("up")), "node", "up", most_hops=8)
+    return S.survivors(table(spark, d, "part").select(k.alias("node"), up.alias("up")), "node", "up")
 
 
 @query("pointer_chase", POINTER_SQL + "SELECT node, survivor FROM s")

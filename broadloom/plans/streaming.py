@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.plans.catalog import query
+from broadloom.plans.names import RATE_SQL
 from broadloom.sources.tables import table
 from broadloom.streaming import visits as T
 
@@ -31,7 +32,7 @@ def late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
     return T.run_to_table(T.first_rows(_stream(spark, d), ["user_id", "event_type"], "ts", late="400 days"), "append").select("user_id", "event_type")
 
 
-@query("rate_limit_stream")
+@query("rate_limit_stream", RATE_SQL.format(span=36000, name=""))
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     out = T.run_to_table(T.rate_limit_stream(_stream(spark, d), "user_id", "event_id", "ts", limit=2, seconds=36000), "append")
     return out.select(F.col("row_id").alias("event_id"), "is_rejected")
