@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.llm.shared import texts
+from broadloom.llm.shared import materialize, texts
 
 GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -99,48 +100,60 @@ def matches(rule: Rule, row: dict) -> bool:
 
 def learn_rules(rows: list[dict], most_rules: int = 12, most_terms: int = 4, cuts: int = 24, precision: float = 0.9, least: int = 5) -> list[Rule]:
     """Sequential covering over rows with the features and ``bad``. Rules in order."""
+    names = list(FEATURES)
+    x = np.array([[r[f] for f in names] for r in rows], float).reshape(-1, len(names))
+    bad = np.array([r["bad"] for r in rows], bool)
+
+    def holds(term: tuple[str, str, float], at: np.ndarray) -> np.ndarray:
+        f, op, cut = term
+        value = x[at, names.index(f)]
+        return value <= cut if op == "<=" else value > cut
+
+    def covered(rule: Rule, at: np.ndarray) -> np.ndarray:
+        inside = np.ones(len(at), bool)
+        for term in rule:
+            inside &= holds(term, at)
+        return inside
+
     rules: list[Rule] = []
-    left = list(rows)
-    while len(rules) < most_rules and sum(r["bad"] for r in left) >= least:
-        grow, prune = [r for i, r in enumerate(left) if i % 3], left[::3]
+    left = np.arange(len(rows))
+    while len(rules) < most_rules and bad[left].sum() >= least:
+        apart = np.arange(len(left)) % 3 == 0
+        grow, prune = left[~apart], left[apart]
         terms = []
-        for f in FEATURES:
-            values = sorted({r[f] for r in grow})
+        for j, f in enumerate(names):
+            values = np.unique(x[grow, j])
             for i in range(1, min(cuts, len(values))):
                 at = i * len(values) // min(cuts, len(values))
-                cut = (values[at - 1] + values[at]) / 2
+                cut = float((values[at - 1] + values[at]) / 2)
                 terms += [(f, "<=", cut), (f, ">", cut)]
         rule: Rule = []
         inside = grow
-        while len(rule) < most_terms and any(not r["bad"] for r in inside):
-            p0 = sum(r["bad"] for r in inside)
+        while len(rule) < most_terms and not bad[inside].all() and terms:
+            p0 = bad[inside].sum()
             if not p0:
                 break
-            base, best = math.log2(p0 / len(inside)), (1e-9, None)
-            for f, op, cut in terms:
-                p = n = 0
-                for r in inside:
-                    if (r[f] <= cut) == (op == "<="):
-                        n += 1
-                        p += r["bad"]
-                if p:
-                    best = max(best, (p * (math.log2(p / n) - base), (f, op, cut)), key=lambda x: x[0])
-            if best[1] is None:
+            masks = np.stack([holds(t, inside) for t in terms])
+            n, p = masks.sum(1), masks[:, bad[inside]].sum(1)
+            gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(n, 1)) - math.log2(p0 / len(inside))), 0.0)
+            best = int(np.argmax(gain))
+            if gain[best] <= 1e-9:
                 break
-            rule.append(best[1])
-            inside = [r for r in inside if matches([best[1]], r)]
+            rule.append(terms[best])
+            inside = inside[masks[best]]
 
         def worth(r: Rule) -> float:
-            got = [x["bad"] for x in prune if matches(r, x)]
-            return (2 * sum(got) - len(got)) / (len(got) + 2)
+            got = bad[prune[covered(r, prune)]]
+            return (2 * int(got.sum()) - len(got)) / (len(got) + 2)
 
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
-        got = [r["bad"] for r in left if matches(rule, r)] if rule else []
-        if len(got) < least or sum(got) < precision * len(got):
+        caught = covered(rule, left) if rule else np.zeros(len(left), bool)
+        n, p = int(caught.sum()), int(bad[left[caught]].sum())
+        if n < least or p < precision * n:
             break
         rules.append(rule)
-        left = [r for r in left if not matches(rule, r)]
+        left = left[~caught]
     return rules
 
 
@@ -156,22 +169,22 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[dict]:
+def labelled_rows(stats: DataFrame, labels: DataFrame, sample: int) -> list[dict]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     limit = int(min(1.0, sample / max(1, known.count())) * 1_000_000)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < limit)
-    few = texts(docs).join(F.broadcast(chosen), "doc_id")  # at most about ``sample`` ids
-    stats = statistics(few).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *(F.expr(e).alias(f) for f, e in FEATURES.items()))
-    rows = [{f: r[f] for f in FEATURES} | {"bad": 1 - r["y"], "id": r["doc_id"]} for r in stats.collect()]
+    few = stats.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *(F.expr(e).alias(f) for f, e in FEATURES.items()))  # at most about ``sample`` ids
+    rows = [{f: r[f] for f in FEATURES} | {"bad": 1 - r["y"], "id": r["doc_id"]} for r in few.collect()]
     return sorted(rows, key=lambda r: (r["id"], *(r[f] for f in FEATURES)))  # repeated ids too have one order
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, rule (0: none), a row per row. Rules
-    are learnt from at most about ``sample`` labelled rows, chosen by a hash."""
-    rules = learn_rules(labelled_rows(docs, labels, sample))
-    stats = statistics(docs)
+    are learnt from at most about ``sample`` labelled rows, chosen by a hash. Statistics are
+    computed once and written to the shared folder, for learning and for judging."""
+    stats = materialize(statistics(docs))
+    rules = learn_rules(labelled_rows(stats, labels, sample))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = stats.withColumn("base_failed", failed).withColumn("rule", verdict(rules))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")

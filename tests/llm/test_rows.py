@@ -371,3 +371,12 @@ def test_pipeline_runs_and_each_stage_keeps_the_columns(spark):
 
 
 SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_quality_rules_on_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 0)], LABELS)
+    rows = [(1, "w " * 100_000), (2, None), (2, "# $ % " * 30), (None, "x"), (3, "y" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"y": F.lit("own"), "rule": F.lit("own"), "n_words": F.lit(-1)})
+    got = sorted(((r.doc_id or 0), r.n_words, r.base_failed) for r in quality_verdicts(df, labels).collect())
+    assert got == [(0, 1, True), (1, 100_000, True), (2, 0, True), (2, 90, True), (3, 1, True)]
+    assert quality_verdicts(df.limit(0), labels).count() == 0 and quality_verdicts(df, labels.limit(0)).count() == 5
