@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.quality_net import held_out, sampled_labels
-from broadloom.llm.shared import texts
+from broadloom.llm.shared import materialize, texts
 
 #: Insults that start the lexicon.
 SEED_WORDS = ["idiot", "moron", "stupid", "scum", "trash", "worthless", "pathetic", "loser", "clown", "disgusting", "imbecile", "vermin", "filth", "retard", "bastard", "dumbass", "subhuman"]
@@ -132,7 +132,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, se
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted, a row per row.
     Learns from at most about ``sample`` labelled rows outside the held-out fold."""
     chosen = sampled_labels(labels, "toxic", 3, 1, sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = materialize(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "y"))  # the sample, read several times
     count = rows.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = int(count["t"] or 0), int(count["n"] - (count["t"] or 0))
     weights = {fold(w, folding()): 5.0 for w in seeds}
