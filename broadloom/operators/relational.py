@@ -38,7 +38,7 @@ def conflicting_keys(df: DataFrame, key: str, value: str, out: str = "values") -
     return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(out)).filter(F.size(out) > 1)
 
 
-def page_of(df: DataFrame, order: list[Column], offset: int, limit: int, most: int = 500) -> DataFrame:
-    """A page of an ordered result; ``limit`` is held to ``most``. Spark turns this into a
+def page_of(df: DataFrame, order: list[Column], offset: int, limit: int, most: int | None = 500) -> DataFrame:
+    """A page of an ordered result; ``limit`` is held to ``most``, if any. Spark turns this into a
     top-(offset+limit) of each partition before one small merge."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(0, min(limit, most)))
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(0, limit if most is None else min(limit, most)))

@@ -43,23 +43,26 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return rows.select("url", F.col("pos").cast("long").alias("pos"), part(1).alias("href"), F.trim(F.regexp_replace(part(2), r"<[^>]*>", "")).alias("label"))
 
 
-def json_records(pages: DataFrame, body: str, start_keys: list[str], title_keys: list[str], depth: int = 12, most: int = 5000) -> DataFrame:
+def json_records(pages: DataFrame, body: str, start_keys: list[str], title_keys: list[str], depth: int | None = 12, most: int | None = 5000) -> DataFrame:
     """The fallback JSON reader: (url, title, start) of every object, at most ``depth`` deep,
     that has a start and a title. A page gives at most ``most`` rows: longer ones are not
-    schedules. Bodies that are not JSON give none."""
-
-    def walk(value, left, out):
-        if left < 0 or len(out) >= most:
-            return
-        if isinstance(value, dict):
-            start = next((value[k] for k in start_keys if isinstance(value.get(k), str | int | float)), None)
-            title = next((value[k] for k in title_keys if isinstance(value.get(k), str)), None)
-            if start is not None and title:
-                out.append((title, str(start)))
-            value = list(value.values())
-        if isinstance(value, list):
-            for x in value:
-                walk(x, left - 1, out)
+    schedules; with None for either bound everything is read. Bodies that are not JSON give
+    none."""
+
+    def walk(value, out):
+        todo = [(value, 0)]
+        while todo and (most is None or len(out) < most):
+            value, level = todo.pop()
+            if depth is not None and level > depth:
+                continue
+            if isinstance(value, dict):
+                start = next((value[k] for k in start_keys if isinstance(value.get(k), str | int | float)), None)
+                title = next((value[k] for k in title_keys if isinstance(value.get(k), str)), None)
+                if start is not None and title:
+                    out.append((title, str(start)))
+                value = list(value.values())
+            if isinstance(value, list):
+                todo += [(x, level + 1) for x in reversed(value)]
 
     def read(frames):
         import pandas as pd
@@ -69,9 +72,9 @@ def json_records(pages: DataFrame, body: str, start_keys: list[str], title_keys:
             for url, text in zip(pdf["url"], pdf["body"], strict=True):
                 try:
                     found: list = []
-                    walk(json.loads(text), depth, found)
+                    walk(json.loads(text), found)
                     rows += [(url, *x) for x in found]
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=["url", "title", "start"])
 
