@@ -157,14 +157,13 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
             # one size class: lines that agree on a band are alike in size as it is
             yield dealt_records(key.ravel().view(np.int64), 0, np.repeat(node, bands), parts)
 
-    # a line is seldom shorter than 40 bytes on average
-    parts = part_count(docs.sparkSession, bands * (texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 40)
+    # parts have room for four times as many records: lines of 25 bytes on average
+    parts = part_count(docs.sparkSession, bands * (texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 100)
     records = lines.select("node", "line").mapInArrow(keys, "part int, blob binary")
     blocks = member_blocks(records, num, den, parts)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        # nodes are read from a file, so Spark sees their size and broadcasts them if they are few
-        one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes, "node").dropDuplicates(["node"])
+        one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes.hint("shuffle_hash"), "node").dropDuplicates(["node"])
         return materialize(one)
 
     hasher: list[WordHasher] = []  # one for each task

@@ -25,7 +25,7 @@ from broadloom.operators.graph import components
 #: A block with more members than this is never held as one; its members stream by.
 LARGE = 4096
 #: Records of a part that are held before the large blocks among them are let go.
-HELD = 1 << 20
+HELD = 1 << 21
 RECORD = np.dtype([("key", "<i8"), ("node", "<i8"), ("cls", "<i4")])
 #: Size classes an octave.
 OCTAVE = 8
@@ -364,9 +364,20 @@ def _links_across(batches, num: int, den: int, decode, at_once: int = 1024, most
 
 
 def _piece_links(chunk, node, comp, sets, num: int, den: int) -> list[tuple[int, int]]:
+    across, found = len(set(chunk)) > 1, []
+    if len(sets) <= 8:  # most pieces: too few for arrays to pay
+        comp, sizes = list(comp), [len(s) for s in sets]
+        for x in range(len(sets)):
+            for y in range(x):
+                if comp[x] == comp[y] or across and chunk[x] == chunk[y] or not enough(min(sizes[x], sizes[y]), sizes[x], sizes[y], num, den):
+                    continue
+                if enough(overlap(sets[x], sets[y]), sizes[x], sizes[y], num, den):
+                    old, new = comp[y], comp[x]
+                    comp = [new if c == old else c for c in comp]
+                    found.append((node[x], node[y]))
+        return found
     sizes, chunk = np.array([len(s) for s in sets]), np.array(chunk)
     comp = np.unique(np.array(comp), return_inverse=True)[1]
-    across, found = len(set(chunk.tolist())) > 1, []
     for x in np.argsort(sizes, kind="stable").tolist():
         near = np.flatnonzero(enough(np.minimum(sizes[x], sizes), sizes[x], sizes, num, den) & (comp != comp[x]) & ((chunk != chunk[x]) | (not across)))
         for y in near.tolist():
@@ -444,11 +455,12 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
         return full.repartition(shuffle_width(blocks.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j")
 
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    rest = open_members(classes)
     if points is None:
-        others = verified(materialize(apart_stars(classes, False)), sets)
-        across = pieces(rest, sets, every).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")
-        return components(links.union(others).union(across))
+        links = links.union(verified(materialize(apart_stars(classes, False)), sets))
+        classes = components(links)
+        across = pieces(open_members(classes), sets, every).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")
+        return components(links.union(across))
+    rest = open_members(classes)
     for likeliest in (True, False):
         shared = pieces(rest, points, F.col("chunk") if likeliest else every)
         found = shared.mapInArrow(lambda it, first=likeliest: _tree_pairs(it, num, den, first), "pivot long, node long")
