@@ -380,3 +380,11 @@ def test_quality_rules_on_odd_tables(spark):
     got = sorted(((r.doc_id or 0), r.n_words, r.base_failed) for r in quality_verdicts(df, labels).collect())
     assert got == [(0, 1, True), (1, 100_000, True), (2, 0, True), (2, 90, True), (3, 1, True)]
     assert quality_verdicts(df.limit(0), labels).count() == 0 and quality_verdicts(df, labels.limit(0)).count() == 5
+
+
+def test_span_operators_on_odd_tables(spark):
+    rows = [(1, "token=abcdefgh1 mail a@b.cd"), (1, "token=abcdefgh1 mail a@b.cd"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("assign", "email", "candidate", "entropy", "weak_tel", "spans")})
+    assert sorted(((r.doc_id or 0), r.n_assign, r.spans) for r in secret_spans(df).collect()) == [(0, 0, ""), (1, 1, "assign:0:15"), (1, 1, "assign:0:15"), (2, 0, "")]
+    assert sorted(((r.doc_id or 0), r.n_email, r.spans) for r in personal_spans(df).collect()) == [(0, 0, ""), (1, 1, "email:21:27"), (1, 1, "email:21:27"), (2, 0, "")]
+    assert secret_spans(df.limit(0)).count() == 0 and personal_spans(df.limit(0)).count() == 0
