@@ -112,10 +112,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     # a set is read from the smallest document that has it
     homes = materialize(known.join(blocks.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("vector").alias("vector")))
 
-    def fetch(nodes: DataFrame) -> DataFrame:
+    def fetch(nodes: DataFrame, more: bool = False) -> DataFrame:
         one = materialize(homes.select("node", "doc_id").join(nodes, "node"))
-        # equal rows of one id give the set once; both keys lie where the join left them
-        chosen = texts(docs).join(one.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "node", "text"])
+        # later fetches ask for few; Spark sees the size of their table and broadcasts it if small;
+        # equal rows of one id give the set once
+        chosen = texts(docs).join(one if more else one.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "node", "text"])
         return materialize(chosen.select("node", "text").mapInArrow(payload, "node long, items binary"))
 
     classes = linked_classes(blocks, fetch, num, den, points=homes.select("node", "vector"))

@@ -13,6 +13,8 @@ been tested.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -162,11 +164,11 @@ def packed_vector(items: np.ndarray) -> bytes:
     bits = min(20, max(6, int(np.log2(2 * max(1, len(items))))))
     while (v := count_vector(items, bits)).max(initial=0) >= 1 << 8:
         bits += 1
-    return v.astype(np.uint8).tobytes()
+    return zlib.compress(v.astype(np.uint8).tobytes(), 1)  # most counts are 0 or 1
 
 
 def unpacked_vector(raw) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8)
+    return np.frombuffer(zlib.decompress(raw), np.uint8)
 
 
 def folded(v: np.ndarray, groups: int) -> np.ndarray:
@@ -391,7 +393,7 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
     """(node, component) for every node with a link.
 
     blocks: (block, node, pivot). fetch: from a table of nodes to (node, items), items the
-    bytes of the node's set; ``overlaps`` measures many pairs of such bytes at once.
+    bytes of the node's set (``more``: nodes beyond those of an earlier call); ``overlaps`` measures many pairs of such bytes at once.
     points: (node, vector), the count vectors of the nodes; with them bounds decide which
     pairs are worth their sets, and only those sets are fetched; without them sets are
     small enough to go where their blocks go, and ``decode`` turns a list of such bytes into
@@ -416,7 +418,7 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
     def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """``sets`` and those of the pairs' other nodes."""
         more = materialize(nodes_of(pairs).join(sets.select("node"), "node", "left_anti"))
-        return sets if more.isEmpty() else sets.unionByName(fetch(more))
+        return sets if more.isEmpty() else sets.unionByName(fetch(more, more=True))
 
     stars = blocks.filter("node <> pivot").select("pivot", "node").distinct()
     if points is None:
