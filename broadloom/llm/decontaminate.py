@@ -7,9 +7,9 @@ hit fixes an alignment, along which the words of item and document are compared,
 overlap of enough words, most of them equal, convicts.
 
 Words are compared in lower case. Defined cases: null or empty texts match nothing;
-items shorter than the masks are looked up as a whole, word for word (one of a single word
-convicts every text that holds it; ``least`` sets a minimum for those who want one); repeated
-items and items with one text each report;
+items of fewer words than ``least`` are no evidence and match nothing (with ``least`` 1 every
+item with a word counts); items shorter than the masks are looked up as a whole, word for
+word; repeated items and items with one text each report;
 rows that repeat a doc_id report once; rows with a null doc_id and items with a null
 item_id match nothing, so such rows stay. Empty tables give an empty result. Columns other than
 doc_id, item_id and text are ignored.
@@ -74,7 +74,7 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, offset: int, tolerance: floa
     return n, same
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1, overlap: int = 13, tolerance: float = 0.25, broadcast_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 8, overlap: int = 13, tolerance: float = 0.25, broadcast_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, overlap_words, equal_words, item_words), a row for each document and
     item whose best overlap has at least min(overlap, item length) words with at most
     ``tolerance`` of them different.
