@@ -87,3 +87,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadloom.llm.secrets import secret_spans
 
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from broadloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.conversations import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadloom.llm.runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), damage=True)
