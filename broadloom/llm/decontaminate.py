@@ -8,8 +8,8 @@ overlap of enough words, most of them equal, convicts.
 
 Words are compared in lower case. Defined cases: null or empty texts match nothing;
 items of fewer words than ``least`` are no evidence and match nothing (with ``least`` 1 every
-item with a word counts); items shorter than the masks are looked up as a whole, word for
-word; repeated items and items with one text each report;
+item with a word counts); items of 4 to 12 words have shorter masks, those below 4 words are
+looked up word for word; very long texts are scanned whole, in slices; repeated items and items with one text each report;
 rows that repeat a doc_id report once; rows with a null doc_id and items with a null
 item_id match nothing, so such rows stay. Empty tables give an empty result. Columns other than
 doc_id, item_id and text are ignored.
@@ -27,9 +27,22 @@ from pyspark.sql import functions as F
 from broadloom.llm.shared import fresh, texts
 from broadloom.llm.tokens import U, WordHasher, mix, text_slices, word_spans
 
-#: Masks of 8 words, 6 of them hashed. Any 8 words with one substitution, and most with two,
-#: leave some mask whole at some of the places of a passage.
-MASKS = ("11011011", "11100111", "10111101")
+#: With a tolerance of a quarter no overlap is lost: wherever 3 of 13 words are changed, 4 of
+#: 16, 5 of 20 and so on, one of these masks is whole at some place (tests try all placements).
+MASKS = ("110111", "101001011", "111010001", "111011")
+#: The same for items of 4 to 12 words, whichever quarter of them is changed.
+SHORT_MASKS = ("111", "1101", "1011")
+LONG, SHORT = 13, 4
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words."""
+    return MASKS if n >= LONG else SHORT_MASKS if n >= SHORT else ("1" * n,)
+
+
+def masks_for(lengths) -> list[str]:
+    """All masks of items of these lengths."""
+    return sorted({m for n in lengths for m in masks_of(n)})
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
@@ -43,11 +56,9 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return s
 
 
-def item_seeds(h: np.ndarray, masks=MASKS):
-    """(hash, place) of all seeds of an item; a short item is one seed over all its words."""
-    if len(h) < len(masks[0]):
-        masks = ("1" * len(h),)
-    for m in masks:
+def item_seeds(h: np.ndarray):
+    """(hash, place) of all seeds of an item."""
+    for m in masks_of(len(h)):
         yield from ((int(x), i) for i, x in enumerate(seed_hashes(h, m)))
 
 
@@ -114,8 +125,7 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
         if len(starts) >= max(1, least):
             known.append((r["item_id"], hasher(data, starts, ends)))
     seeds = [(x, i, at) for i, (_, h) in enumerate(known) for x, at in item_seeds(h)]
-    lengths = sorted({len(h) for _, h in known if len(h) < len(MASKS[0])})
-    masks = [*MASKS, *("1" * n for n in lengths)]
+    masks = masks_for({len(h) for _, h in known})
     seeds.sort()
     keys = np.array([s[0] for s in seeds], np.uint64)
     owner, place = np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
@@ -148,9 +158,9 @@ def _by_broadcast(docs, items, least, overlap, tolerance):
 
 
 def _by_shuffle(docs, items, least, overlap, tolerance):
-    # at most seven lengths: those of items shorter than the masks
-    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-    lengths = sorted(r["n"] for r in items.select(n_words.alias("n")).filter((F.col("n") >= least) & (F.col("n") < len(MASKS[0])) & (F.col("n") > 0)).distinct().collect())
+    n_words = F.least(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")), F.lit(LONG))
+    lengths = [r["n"] for r in items.select(n_words.alias("n")).filter((F.col("n") >= least) & (F.col("n") > 0)).distinct().collect()]  # 13 at most
+    masks = masks_for(lengths)
 
     def seeds(batches, key):
         hasher = WordHasher()
@@ -161,10 +171,9 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
             seed, own, at = [], [], []
             for i, (a, b) in enumerate(zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)):
                 part = h[a:b]
-                short = ["1" * n for n in lengths] if key == "doc_id" else ["1" * len(part)] if len(part) < len(MASKS[0]) else []
                 if key == "item_id" and len(part) < max(1, least):
                     continue
-                for mask in [*MASKS, *short]:
+                for mask in masks if key == "doc_id" else masks_of(len(part)):
                     s = seed_hashes(part, mask)
                     seed.append(s)
                     own.append(np.full(len(s), i))
@@ -174,7 +183,7 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
 
     d = docs.mapInArrow(lambda b: seeds(b, "doc_id"), "seed long, doc_id long, at long")
     i = items.mapInArrow(lambda b: seeds(b, "item_id"), "seed long, item_id long, at long")
-    tries = d.join(i.withColumnRenamed("at", "place"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("offset")).distinct()
+    tries = d.join(i.withColumnRenamed("at", "place"), "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
     pairs = tries.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id")
 
     def verify(batches):
@@ -187,11 +196,13 @@ def _by_shuffle(docs, items, least, overlap, tolerance):
 
         for batch in batches:
             found = []
-            for doc_id, item_id, offset, item, doc in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                found += _judge((doc_id, item_id), words(doc), words(item), offset, least, overlap, tolerance)
+            for doc_id, item_id, offsets, item, doc in zip(*(batch.column(c) for c in range(5)), strict=True):
+                d, i = words(doc.as_py()), words(item.as_py())
+                for offset in offsets.as_py():
+                    found += _judge((doc_id.as_py(), item_id.as_py()), d, i, offset, least, overlap, tolerance)
             yield _rows(found)
 
-    return pairs.select("doc_id", "item_id", "offset", "item_text", "text").mapInArrow(verify, SCHEMA)
+    return pairs.select("doc_id", "item_id", "offsets", "item_text", "text").mapInArrow(verify, SCHEMA)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

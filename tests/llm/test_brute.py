@@ -2,12 +2,14 @@
 
 import math
 import random
+import time
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from broadloom.llm import mixing, quality_net, toxicity
-from broadloom.llm.decontaminate import MASKS, contaminated
+from broadloom.llm.decontaminate import MASKS, SHORT_MASKS, contaminated
 from broadloom.llm.fuzzy_lines import without_line_copies
 from broadloom.llm.tokens import WordHasher
 from tests.llm import brute
@@ -24,7 +26,7 @@ def with_clashes(df):
 
 
 def leaks_plainly(docs, items, overlap=13, tolerance=0.25):
-    """Every alignment of every document and item that holds a whole seed."""
+    """Every alignment of every document and item."""
     low = lambda t: brute.WORD.findall((t or "").lower())
     found = set()
     for d, text in docs:
@@ -34,8 +36,7 @@ def leaks_plainly(docs, items, overlap=13, tolerance=0.25):
             for offset in range(1 - len(p), len(w)):
                 a, b = max(0, -offset), min(len(p), len(w) - offset)
                 same = [p[k] == w[offset + k] for k in range(a, b)]
-                masks = MASKS if len(p) >= len(MASKS[0]) else ["1" * len(p)]
-                if not p or not any(all(same[k + j] for j, c in enumerate(m) if c == "1") for m in masks for k in range(len(same) - len(m) + 1)):
+                if not any(same):
                     continue
                 n, equal = (len(same), sum(same)) if sum(same) >= (1 - tolerance) * len(p) else longest_overlap(same, tolerance)
                 if n >= min(overlap, len(p)) and n - equal <= tolerance * n:
@@ -67,6 +68,22 @@ def test_leaks_match_all_alignments(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(d, i).collect()} == leaks_plainly(docs, [x for x in items if len((x[1] or "").split()) >= 8])
 
 
+def test_no_placement_of_changed_words_hides_all_seeds():
+    def lost(masks, n, k):
+        seeds = [sum(1 << (at + j) for j, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)]
+        return sum(all(gone & s for s in seeds) for gone in (sum(1 << i for i in c) for c in combinations(range(n), k)))
+
+    assert [lost(MASKS, n, n // 4) for n in range(13, 22)] == [0] * 9
+    assert [lost(SHORT_MASKS, n, n // 4) for n in range(4, 13)] == [0] * 9
+
+
+def test_a_text_full_of_exception_phrases():
+    measure = toxicity.matcher({"idiot": 5.0, "trash": 5.0}, ["trash can"], toxicity.folding())
+    began = time.perf_counter()
+    total, words, top, hits = measure("trash can idiot " * 100_000)
+    assert (total, top, hits) == (500_000.0, 5.0, 100_000) and time.perf_counter() - began < 20
+
+
 def mix_plainly(docs, block, weights=(3, 1, 2), share=1.5, most=2.0, seed=17):
     """(doc_id, taken): each source's stream, its quota of slots and the blocks that they read."""
     sizes, streams = {}, {}
