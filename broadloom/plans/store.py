@@ -71,11 +71,15 @@ r AS (SELECT x.*, n IS NULL OR n < 2 AS silent, (x.user_id + extract(day FROM x.
 g AS (SELECT *, sum(CASE WHEN was_read AND NOT silent THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM r)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, CAST(sum(CASE WHEN was_read AND silent THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM g""")
 def streak_state(spark: SparkSession, d: str) -> DataFrame:
+    return S.streaks(silent_days(spark, d), "user_id", "day", "silent", "was_read").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "streak")
+
+
+def silent_days(spark: SparkSession, d: str) -> DataFrame:
+    """Every visitor on every day of the log: silent below two events, not read by a rule."""
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
     every = e.select("user_id").distinct().crossJoin(F.broadcast(e.select("day").distinct()))  # a calendar of days
     n = e.groupBy("user_id", "day").agg(F.count("*").alias("n"))
-    rows = every.join(n, ["user_id", "day"], "left").withColumn("silent", F.col("n").isNull() | (F.col("n") < 2)).withColumn("was_read", (F.col("user_id") + F.dayofmonth("day")) % 6 != 0)
-    return S.streaks(rows, "user_id", "day", "silent", "was_read").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "streak")
+    return every.join(n, ["user_id", "day"], "left").withColumn("silent", F.col("n").isNull() | (F.col("n") < 2)).withColumn("was_read", (F.col("user_id") + F.dayofmonth("day")) % 6 != 0)
 
 
 POINTER_SQL = """

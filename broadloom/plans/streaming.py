@@ -3,9 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadloom.plans.catalog import query
+from broadloom.plans import store, visits  # noqa: F401  (the SQL of their batch forms)
+from broadloom.plans.catalog import ORACLES, query
 from broadloom.plans.names import RATE_SQL
+from broadloom.plans.store import silent_days
+from broadloom.sources.shared import new_path
 from broadloom.sources.tables import table
+from broadloom.streaming import states as T2
 from broadloom.streaming import visits as T
 
 
@@ -36,3 +40,36 @@ def late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     out = T.run_to_table(T.rate_limit_stream(_stream(spark, d), "user_id", "event_id", "ts", limit=2, seconds=36000), "append")
     return out.select(F.col("row_id").alias("event_id"), "is_rejected")
+
+
+def _run(stream: DataFrame) -> DataFrame:
+    spark = stream.sparkSession
+    out = new_path(spark)
+    T2.run(stream, out, new_path(spark))
+    return spark.read.schema(stream.schema).parquet(f"{out}/*")
+
+
+@query("forged_stream", ORACLES["forged_sliding_distinct"])
+def forged_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The sliding distinct count with state: the last row of a visitor has its most labels."""
+    out = _run(T2.sliding_labels(_stream(spark, d), "user_id", "ts", "event_type", seconds=21600, late="400 days"))
+    return out.groupBy(F.col("visitor").alias("user_id")).agg(F.max("most_labels").alias("most_labels")).filter("most_labels >= 3")
+
+
+@query("moved_stream", """
+WITH v AS (SELECT user_id, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+m AS (SELECT user_id, max(CASE WHEN rn = n THEN sec END) AS now_at, max(CASE WHEN rn = 1 THEN sec END) AS first_at FROM v GROUP BY 1)
+SELECT user_id, now_at, CASE WHEN now_at - first_at >= 3600 * 24 * 25 THEN first_at END AS moved_from FROM m""")
+def moved_stream(spark: SparkSession, d: str) -> DataFrame:
+    out = _run(T2.moved_stream(_stream(spark, d), "user_id", "ts", "event_id", "ts", least_hours=24 * 25, days=400))
+    return out.groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("now_at", "moved_from"), "versions").alias("x")).select("user_id", "x.*")
+
+
+@query("streak_stream", ORACLES["streak_state"])
+def streak_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Silent days of every visitor, written as a table and read as a stream."""
+    days = silent_days(spark, d)
+    path = new_path(spark)
+    days.write.parquet(path)
+    out = _run(T2.streak_stream(T.file_stream(spark, path, "*.parquet", days.schema), "user_id", "day", "silent", "was_read"))
+    return out.select(F.col("key").alias("user_id"), F.date_format("day", "yyyy-MM-dd").alias("day"), "streak")
