@@ -42,3 +42,28 @@ def page_of(df: DataFrame, order: list[Column], offset: int, limit: int, most: i
     """A page of an ordered result; ``limit`` is held to ``most``, if any. Spark turns this into a
     top-(offset+limit) of each partition before one small merge."""
     return df.orderBy(*order).offset(max(0, offset)).limit(max(0, limit if most is None else min(limit, most)))
+
+
+def event_page(
+    games: DataFrame, links: DataFrame, channels: DataFrame, order: list[Column], date_from: str | None = None, date_to: str | None = None, sport: str | None = None, league: int | None = None,
+    channel: int | None = None, has_channels: bool = False, q: str | None = None, offset: int = 0, limit: int = 200, most: int | None = 500,
+) -> DataFrame:
+    """A page of the listing under the filters that are given, each row with the ``total`` of all
+    that pass. games: game, date, sport, league_id, home, away, league; links: game, channel;
+    channels: channel, name. Plain filters come first and reach the scan; a channel or any is a
+    semi join; ``q`` is searched, whatever its case, in home, away, league and the names of the
+    channels (by id), which are gathered only if it is asked for."""
+    found = games
+    for test, value in ((F.col("date").cast("string") >= date_from, date_from), (F.col("date").cast("string") <= date_to, date_to), (F.col("sport") == sport, sport), (F.col("league_id") == league, league)):
+        found = found.filter(test) if value is not None else found
+    if channel is not None:
+        found = found.join(links.filter(F.col("channel") == channel).select("game").distinct(), "game", "left_semi")
+    elif has_channels:
+        found = found.join(links.select("game").distinct(), "game", "left_semi")
+    if q:
+        text = lambda c: F.coalesce(c, F.lit(""))
+        asked = links.join(found.select("game"), "game", "left_semi").join(channels, "channel").groupBy("game").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("channel", "name"))), lambda c: text(c["name"])), " ").alias("_names"))
+        body = F.concat_ws(" ", text(F.col("home")), text(F.col("away")), text(F.col("league")), F.col("_names"))
+        found = found.join(asked, "game", "left").filter(F.contains(F.lower(body), F.lit(q.lower()))).drop("_names")
+    total = found.agg(F.count("*").alias("total"))
+    return page_of(found, order, offset, limit, most).crossJoin(F.broadcast(total))  # the total is one row
