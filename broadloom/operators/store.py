@@ -198,3 +198,27 @@ def retractable(marks: DataFrame, seen: DataFrame, coverage: DataFrame, game: li
     if backfill or not new_file:
         return marks.limit(0)
     return absent_proofs(marks, seen, coverage, game, site, day, share).filter(start > collected)
+
+
+def guarded_ladder(asked: DataFrame, aliases: DataFrame, quarantine: DataFrame, ask_id: str) -> DataFrame:
+    """``alias_ladder`` over the dictionary without what is in quarantine (alias, team): a
+    spelling all of whose teams are there is answered 'quarantine', not 'unknown'."""
+    held = quarantine.select(F.lower("alias").alias("_q"), F.col("team").alias("_qt")).filter("_q IS NOT NULL").distinct()
+    on = (F.lower("alias") == F.col("_q")) & (F.col("team") == F.col("_qt"))
+    out = alias_ladder(asked, aliases.join(held, on, "left_anti"), ask_id)
+    known = aliases.join(held, on, "left_semi").select(F.lower("alias").alias("_q")).distinct()
+    caught = asked.join(known, F.lower("alias") == F.col("_q"), "left_semi").select(ask_id, F.lit(True).alias("_caught"))
+    how = F.when((F.col("how") == "unknown") & F.col("_caught"), "quarantine").otherwise(F.col("how"))
+    return out.join(caught.distinct(), ask_id, "left").select(ask_id, "team", how.alias("how"))
+
+
+def lifted(quarantine: DataFrame, told: DataFrame) -> DataFrame:
+    """(alias, team, fate) of the quarantine after new evidence, the pairs that a match id has
+    told: where these name exactly one of an alias' teams, that one is 'lifted' and the others
+    are 'dropped'; else all stay 'held'."""
+    q = quarantine.select(F.lower("alias").alias("alias"), "team").filter("alias IS NOT NULL").distinct()
+    t = told.select(F.lower("alias").alias("alias"), "team").distinct().withColumn("_told", F.lit(True))
+    rows = q.join(t, ["alias", "team"], "left")
+    n = rows.groupBy("alias").agg(F.count("_told").alias("_n"))
+    fate = F.when(F.col("_n") != 1, "held").when(F.col("_told"), "lifted").otherwise("dropped")
+    return rows.join(n, "alias").select("alias", "team", fate.alias("fate"))

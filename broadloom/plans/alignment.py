@@ -77,3 +77,22 @@ def learnt_spellings(spark: SparkSession, d: str) -> DataFrame:
     """What alignment learns, from names, times and some ids."""
     games, reference, known = _sides(spark, d)
     return A.judged_facts(A.materialize(A.candidates(games, reference)), reference, known).drop("score")
+
+
+@query("late_marks", """
+WITH o AS (SELECT o_orderkey AS k, substr(o_orderpriority, 1, 1) AS sport, epoch_us(o_orderdate) // 1000000 AS t, translate(substr(md5(CAST(o_custkey % 60 AS VARCHAR)), 1, 12), '0123456789abcdef', 'aeioubdfgklmnprt') AS h, translate(substr(md5(CAST(60 + o_orderkey % 60 AS VARCHAR)), 1, 12), '0123456789abcdef', 'aeioubdfgklmnprt') AS a FROM orders),
+r AS (SELECT k AS ref, sport, t, h, a, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'W' WHEN 2 THEN 'U19' END AS marks FROM o),
+m AS (SELECT g.k AS row, r.ref, r.marks, NOT (r.h = g.h AND r.a = g.a) AS turned FROM o g JOIN r ON g.sport = r.sport AND abs(g.t - r.t) <= 10800 AND (r.h = g.h AND r.a = g.a OR r.h = g.a AND r.a = g.h)),
+j AS (SELECT row, bool_or(coalesce(marks = '', false)) AS plain, count(*) FILTER (marks <> '') AS n, max(CASE WHEN marks <> '' THEN ref END) AS ref, max(CASE WHEN marks <> '' THEN marks END) AS marks, bool_or(turned) FILTER (marks <> '') AS turned FROM m GROUP BY 1)
+SELECT row, ref, marks, turned <> (row % 5 = 0) AS turned FROM j WHERE NOT plain AND n = 1""")
+def late_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders without marks against orders of which three in four carry some."""
+    k = F.col("o_orderkey")
+    name = lambda i: F.translate(F.substring(F.md5(i.cast("string")), 1, 12), *LETTERS)
+    o = table(spark, d, "orders").select(k.alias("k"), F.substring("o_orderpriority", 1, 1).alias("sport"), F.col("o_orderdate").alias("start"), name(F.col("o_custkey") % 60).alias("h"), name(60 + k % 60).alias("a"))
+    k = F.col("k")
+    mark = lambda c, other: F.when(k % 4 == 0, F.col(c)).when(k % 4 == 1, F.concat(c, F.lit(" (W)"))).when(k % 4 == 2, F.concat(c, F.lit(" U19"))).otherwise(F.concat(c, F.lit(other)))
+    reference = o.select(k.alias("ref"), "sport", "start", mark("h", " (W)").alias("home"), mark("a", " U19").alias("away"))
+    turn = k % 5 == 0
+    rows = o.select(k.alias("row"), "sport", "start", F.when(turn, F.col("a")).otherwise(F.col("h")).alias("home"), F.when(turn, F.col("h")).otherwise(F.col("a")).alias("away"))
+    return A.late_marks(rows, reference)

@@ -152,3 +152,37 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     slot = (F.col("c_custkey") * 7) % (part.agg(F.max("p_partkey")).first()[0] + 1)
     asked = cust.join(part, slot == F.col("p_partkey")).select("c_custkey", *named())
     return S.alias_ladder(asked, aliases, "c_custkey")
+
+
+QUARANTINE_SQL = """
+WITH al AS (SELECT lower(p_name || ' ' || p_size % 9) AS alias, substr(p_type, 1, 1) AS sport, p_partkey AS team, p_brand AS club FROM part),
+qu AS (SELECT alias, team FROM al JOIN part ON p_partkey = team WHERE p_size % 3 > 0)"""
+
+
+def _quarantine(spark: SparkSession, d: str):
+    alias = F.concat("p_name", F.lit(" "), (F.col("p_size") % 9).cast("string"))
+    part = table(spark, d, "part").select("p_partkey", "p_size", alias.alias("alias"), F.lit("en").alias("lang"), F.substring("p_type", 1, 1).alias("sport"), F.lit("").alias("category"), F.col("p_partkey").alias("team"), F.col("p_brand").alias("club"), F.lit(False).alias("is_canonical"))
+    return part, part.filter("p_size % 3 > 0").select(F.upper("alias").alias("alias"), "team")
+
+
+@query("alias_quarantine", QUARANTINE_SQL + """,
+ask AS (SELECT l_orderkey AS ask, l_linenumber AS line, alias, sport FROM lineitem JOIN al ON team = l_partkey), f AS (SELECT * FROM al WHERE team NOT IN (SELECT team FROM qu)),
+c AS (SELECT ask, line, ask.sport AS asked, ask.alias AS said, f.* FROM ask LEFT JOIN f USING (alias)), n AS (SELECT *, bool_or(sport = asked) OVER (PARTITION BY ask, line, said, asked) AS any_sport FROM c), k AS (SELECT * FROM n WHERE NOT coalesce(any_sport, false) OR sport = asked),
+h AS (SELECT ask, line, said, asked, CASE WHEN max(team) IS NULL THEN 'unknown' WHEN count(DISTINCT club) > 1 THEN 'disputed' WHEN count(DISTINCT sport) = 1 AND max(sport) <> asked THEN 'other sport' ELSE 'found' END AS how, max(team) AS team FROM k GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT said AS alias, asked AS sport, CASE WHEN how = 'unknown' AND said IN (SELECT alias FROM qu) THEN 'quarantine' ELSE how END AS how, CASE WHEN how = 'found' THEN team END AS team FROM h""")
+def alias_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Every line asks for its part; two thirds of the aliases are in quarantine."""
+    part, held = _quarantine(spark, d)
+    asked = table(spark, d, "lineitem").join(part.select("p_partkey", "alias", "sport", "lang", "category"), F.col("l_partkey") == F.col("p_partkey")).select("alias", "sport", "lang", "category").distinct()
+    asked = asked.withColumn("ask", F.struct("alias", "sport"))
+    return S.guarded_ladder(asked, part, held, "ask").select(F.lower("ask.alias").alias("alias"), "ask.sport", "how", "team")
+
+
+@query("lifted_aliases", QUARANTINE_SQL + """,
+t AS (SELECT DISTINCT alias, team FROM lineitem JOIN al ON team = l_partkey WHERE l_orderkey % 40 = 0), r AS (SELECT qu.alias, qu.team, t.team IS NOT NULL AS told FROM qu LEFT JOIN t ON qu.alias = t.alias AND qu.team = t.team)
+SELECT alias, team, CASE WHEN n <> 1 THEN 'held' WHEN told THEN 'lifted' ELSE 'dropped' END AS fate FROM (SELECT *, count(*) FILTER (told) OVER (PARTITION BY alias) AS n FROM r)""")
+def lifted_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Some lines come with a match id, which tells whose the alias is."""
+    part, held = _quarantine(spark, d)
+    told = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0").join(part, F.col("l_partkey") == F.col("team")).select("alias", "team")
+    return S.lifted(held, told)

@@ -125,3 +125,30 @@ def test_alignment_of_nothing(spark):
     rungs, facts = A.align(spark.createDataFrame(games, GAMES), empty, spark.createDataFrame([], KNOWN))
     assert {r.rung for r in rungs.collect()} == {"missed"} and facts.count() == 0
     assert A.align(spark.createDataFrame([], GAMES), empty, spark.createDataFrame([], KNOWN))[0].count() == 0
+
+
+def test_late_marks(spark):
+    hour = lambda h: DAY + dt.timedelta(hours=h)
+    rows = [
+        (1, "B", hour(1), "Golden State", "Atlanta"), (2, "B", hour(1), "Atlanta", "Golden State"), (3, "F", hour(1), "Golden State", "Atlanta"), (4, "B", hour(9), "Golden State", "Atlanta"),
+        (5, "B", hour(1), "Golden State W", "Atlanta"), (6, "B", hour(1), "Brodano", "Kuziev"), (7, "B", hour(1), "Selig", "Parnorth"), (8, None, hour(1), "Golden State", "Atlanta"), (9, "B", None, "Golden State", None),
+    ]
+    reference = [
+        (10, "B", hour(0), "Golden State (W)", "Atlanta (W)"), (11, "B", hour(0), "Brodano U19", "Kuziev U19"), (12, "B", hour(2), "Brodano", "Kuziev"), (13, "B", hour(0), "Selig U19", "Parnorth U19"), (14, "B", hour(2), "Selig (W)", "Parnorth (W)"), (15, "B", hour(0), "Selig (W)", "Other"),
+    ]
+    got = A.late_marks(spark.createDataFrame(rows, "row long, sport string, start timestamp_ntz, home string, away string"), spark.createDataFrame(reference, "ref long, sport string, start timestamp_ntz, home string, away string"))
+    assert {tuple(r) for r in got.select("row", "ref", "marks", "turned").collect()} == {(1, 10, "W", False), (2, 10, "W", True)}
+
+
+def test_quarantine_and_its_end(spark):
+    from broadloom.operators import store as S
+
+    aliases = spark.createDataFrame([("Ajax", "en", "F", "", 1, 1, False), ("AJAX", "en", "F", "", 2, 2, False), ("Real", "en", "F", "", 3, 3, False)], "alias string, lang string, sport string, category string, team long, club long, is_canonical boolean")
+    asked = spark.createDataFrame([(1, "ajax", "en", "F", ""), (2, "real", "en", "F", ""), (3, "porto", "en", "F", ""), (4, None, "en", "F", "")], "ask long, alias string, lang string, sport string, category string")
+    held = lambda *rows: spark.createDataFrame(rows, "alias string, team long")
+    answers = lambda q: {r.ask: (r.team, r.how) for r in S.guarded_ladder(asked, aliases, q, "ask").collect()}
+    assert answers(held(("x", 1))) == {1: (None, "disputed"), 2: (3, "found"), 3: (None, "unknown"), 4: (None, "unknown")}
+    assert answers(held(("ajax", 2)))[1] == (1, "found")
+    assert answers(held(("Ajax", 1), ("ajax", 2), (None, 3)))[1] == (None, "quarantine")
+    fates = S.lifted(held(("Ajax", 1), ("ajax", 2), ("b", 1), ("b", 2), ("c", 1), (None, 1)), held(("AJAX", 2), ("b", 1), ("b", 2), ("c", 9)))
+    assert {tuple(r) for r in fates.collect()} == {("ajax", 1, "dropped"), ("ajax", 2, "lifted"), ("b", 1, "held"), ("b", 2, "held"), ("c", 1, "held")}
