@@ -114,8 +114,8 @@ g AS (SELECT site, bool_or(s > reach) AS hole, max(e) AS e, max(high) AS high FR
 def covered_days(spark: SparkSession, d: str) -> DataFrame:
     day = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400)
     w = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), day.alias("s"), (day + 4).alias("e"))
-    first = w.agg(F.min("s")).first()[0]
-    return M.covered_days(w, "site", "s", "e", F.lit(first + 400), F.lit(first + 430))
+    w = w.crossJoin(F.broadcast(w.agg(F.min("s").alias("first"))))  # one row
+    return M.covered_days(w, "site", "s", "e", F.col("first") + 400, F.col("first") + 430)
 
 
 @query("dictionary_faults", """

@@ -149,8 +149,9 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     part, cust = table(spark, d, "part"), table(spark, d, "customer")
     named = lambda *extra: (F.col("p_name").alias("alias"), F.lit("en").alias("lang"), F.substring("p_type", 1, 1).alias("sport"), F.lit("").alias("category"), *extra)
     aliases = part.select(*named(F.col("p_partkey").alias("team"), F.col("p_brand").alias("club"), F.lit(False).alias("is_canonical")))
-    slot = (F.col("c_custkey") * 7) % (part.agg(F.max("p_partkey")).first()[0] + 1)
-    asked = cust.join(part, slot == F.col("p_partkey")).select("c_custkey", *named())
+    slots = part.agg((F.max("p_partkey") + 1).alias("slots"))  # one row
+    turned = cust.crossJoin(F.broadcast(slots)).select("c_custkey", (F.col("c_custkey") * 7 % F.col("slots")).alias("slot"))
+    asked = turned.join(part, F.col("slot") == F.col("p_partkey")).select("c_custkey", *named())
     return S.alias_ladder(asked, aliases, "c_custkey")
 
 
