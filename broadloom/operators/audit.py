@@ -82,3 +82,18 @@ def single_valued(previous: DataFrame, new: DataFrame, key: str, value: str) ->
     """Two memories joined; keys that end with more than one value are forgotten."""
     both = previous.select(key, value).union(new.select(key, value))
     return both.groupBy(key).agg(F.collect_set(value).alias("_v")).filter(F.size("_v") == 1).select(key, F.col("_v")[0].alias(value))
+
+
+def silent_watchers(limits: DataFrame, beats: DataFrame, missing: DataFrame, now: Column, uptime: Column | None = None) -> DataFrame:
+    """(name, minutes, seen, silent): for how long each watcher has sent no beat: since its last
+    one, else since it was first missed, else 0; never longer than the machine is up.
+
+    limits: name, most (minutes it may be silent). beats: name, at. missing: name, first_at.
+    ``now``: the instant of the question; beats of the future count as now."""
+    last = beats.groupBy("name").agg(F.max("at").alias("_at"))
+    first = missing.groupBy("name").agg(F.min("first_at").alias("_first"))
+    rows = limits.join(last, "name", "left").join(first, "name", "left")
+    since = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.coalesce("_at", "_first").cast("timestamp"))
+    minutes = F.greatest(F.lit(0), F.coalesce(F.floor(since / 60), F.lit(0)))
+    minutes = minutes if uptime is None else F.least(minutes, uptime)
+    return rows.select("name", minutes.cast("long").alias("minutes"), F.col("_at").isNotNull().alias("seen"), (minutes > F.col("most")).alias("silent"))

@@ -103,3 +103,18 @@ def retimed(games: DataFrame, reference: DataFrame, key: str, at: str) -> DataFr
     r = reference.select(key, F.col(at).alias("_r"))
     j = games.join(r, key, "left")
     return j.withColumn("was", F.when(F.col("_r") != F.col(at), F.col(at))).withColumn(at, F.coalesce("_r", at)).drop("_r")
+
+
+def title_twins(sessions: DataFrame, titles: DataFrame, marks: DataFrame, seen: DataFrame) -> DataFrame:
+    """(twin, into): titles without players that are a merged session under an older title: they
+    start in its minute, and every channel that they still have was confirmed for it. Titles
+    without a channel stay; of several sessions the smallest takes the twin.
+
+    sessions: into, start; titles: twin, start; marks: twin, channel (the live ones); seen:
+    into, channel. Null starts meet nothing."""
+    minute = lambda df: df.withColumn("_m", F.date_trunc("minute", "start")).drop("start")
+    near = minute(titles).join(minute(sessions), "_m").filter("twin <> into").select("twin", "into").distinct()
+    own = marks.select("twin", "channel").distinct()
+    n = own.groupBy("twin").agg(F.count("*").alias("_n"))
+    shared = near.join(own, "twin").join(seen.select("into", "channel").distinct(), ["into", "channel"]).groupBy("twin", "into").agg(F.count("*").alias("_c"))
+    return shared.join(n, "twin").filter("_c = _n").groupBy("twin").agg(F.min("into").alias("into"))

@@ -73,3 +73,31 @@ def record_diff(spark: SparkSession, d: str) -> DataFrame:
     a = old.filter("old_id % 17 <> 0").select(F.col("old_id").alias("game"), *fields)
     out = B.record_diff(a, new.select((F.col("new_id") - 1000000).alias("game"), *fields), ["game"])
     return out.select("game", "state", F.array_join("fields", ",").alias("fields"))
+
+
+@query("title_twins", """
+WITH o AS (SELECT o_orderkey AS k, o_orderdate AS start FROM orders), m AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 6 AS channel FROM lineitem),
+s AS (SELECT k AS into_, start FROM o WHERE k % 3 = 0), t AS (SELECT k AS twin, start FROM o WHERE k % 3 <> 0), p AS (SELECT twin, into_ FROM t JOIN s USING (start)),
+c AS (SELECT twin, into_, count(*) AS c FROM p JOIN m ON m.k = twin JOIN m x ON x.k = into_ AND x.channel = m.channel GROUP BY 1, 2), n AS (SELECT k, count(*) AS n FROM m GROUP BY 1)
+SELECT twin, min(into_) AS into FROM c JOIN n ON n.k = twin AND c = n GROUP BY 1""")
+def title_twins(spark: SparkSession, d: str) -> DataFrame:
+    from broadloom.operators.games import title_twins as twins
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("start"))
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 6).alias("channel"))
+    named = lambda df, name: df.withColumnRenamed("k", name)
+    return twins(named(o.filter("k % 3 = 0"), "into"), named(o.filter("k % 3 <> 0"), "twin"), named(m, "twin"), named(m, "into"))
+
+
+@query("silent_watchers", """
+WITH w AS (SELECT DISTINCT user_id AS name, 60 * (user_id % 50) AS most FROM events), b AS (SELECT user_id AS name, max(epoch_us(ts) // 1000000) AS at FROM events WHERE event_type = 'purchase' AND user_id % 4 > 0 GROUP BY 1),
+f AS (SELECT user_id AS name, min(epoch_us(ts) // 1000000) AS at FROM events WHERE user_id % 8 = 0 GROUP BY 1), z AS (SELECT max(epoch_us(ts) // 1000000) AS now FROM events)
+SELECT w.name, least(coalesce((now - coalesce(b.at, f.at)) // 60, 0), 20000) AS minutes, b.at IS NOT NULL AS seen, least(coalesce((now - coalesce(b.at, f.at)) // 60, 0), 20000) > most AS silent FROM w LEFT JOIN b USING (name) LEFT JOIN f USING (name), z""")
+def silent_watchers(spark: SparkSession, d: str) -> DataFrame:
+    """Visitors as watchers, purchases as beats; asked at the end of the log."""
+    from broadloom.operators.audit import silent_watchers as report
+
+    e = table(spark, d, "events").select(F.col("user_id").alias("name"), "ts", "event_type")
+    limits = e.select("name", (60 * (F.col("name") % 50)).alias("most")).distinct().crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    beats = e.filter("event_type = 'purchase' AND name % 4 > 0").select("name", F.col("ts").alias("at"))
+    return report(limits, beats, e.filter("name % 8 = 0").select("name", F.col("ts").alias("first_at")), F.col("now"), F.lit(20000))

@@ -30,3 +30,28 @@ def test_trim_over_pair(spark):
     df = spark.createDataFrame(rows, "id int, h string, a string, at timestamp_ntz")
     got = {r.id: (r.ref, r.home, r.away, r.cut) for r in T.trim_over_pair(df, spark.createDataFrame(pairs, "ref int, home string, away string, start timestamp_ntz"), "id", "h", "a", "at").collect()}
     assert got == {1: (10, "Ajax", "PSV", 1), 3: (10, "Ajax", "PSV", 2)}
+
+
+def test_silent_watchers(spark):
+    from pyspark.sql import functions as F
+
+    from broadloom.operators.audit import silent_watchers
+
+    limits = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("d", 10), ("e", 10)], "name string, most int")
+    minutes = lambda n: NOON - dt.timedelta(minutes=n)
+    beats = spark.createDataFrame([("a", minutes(50)), ("a", minutes(5)), ("b", minutes(30)), ("e", minutes(-9))], "name string, at timestamp_ntz")
+    missing = spark.createDataFrame([("c", minutes(11)), ("b", minutes(99))], "name string, first_at timestamp_ntz")
+    ask = lambda **k: {r.name: (r.minutes, r.seen, r.silent) for r in silent_watchers(limits, beats, missing, F.lit(NOON), **k).collect()}
+    assert ask() == {"a": (5, True, False), "b": (30, True, True), "c": (11, False, True), "d": (0, False, False), "e": (0, True, False)}
+    assert ask(uptime=F.lit(8)) == {"a": (5, True, False), "b": (8, True, False), "c": (8, False, False), "d": (0, False, False), "e": (0, True, False)}
+
+
+def test_title_twins(spark):
+    from broadloom.operators.games import title_twins
+
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sessions = make([(1, NOON), (2, NOON), (3, None)], "into int, start timestamp_ntz")
+    titles = make([(10, NOON), (11, NOON), (12, NOON + dt.timedelta(minutes=1)), (13, NOON), (14, None), (1, NOON)], "twin int, start timestamp_ntz")
+    marks = make([(10, "x"), (10, "y"), (10, "x"), (11, "x"), (11, "z"), (12, "x"), (1, "x")], "twin int, channel string")
+    seen = make([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (2, "w")], "into int, channel string")
+    assert {(r.twin, r["into"]) for r in title_twins(sessions, titles, marks, seen).collect()} == {(10, 1), (1, 2)}
