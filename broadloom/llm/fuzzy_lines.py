@@ -163,8 +163,9 @@ def line_classes(docs: DataFrame, k: int = 8, num: int = 75, den: int = 100, ban
     blocks = member_blocks(records, num, den, parts)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        one = lines.select("node", F.col("line").cast("binary").alias("items")).join(nodes.hint("shuffle_hash"), "node").dropDuplicates(["node"])
-        return materialize(one)
+        # each task lets copies of a line go before they meet, so a common line is a row a task
+        one = lines.select("node", F.col("line").cast("binary").alias("items")).dropDuplicates(["node"])
+        return materialize(one.join(nodes.hint("shuffle_hash"), "node"))
 
     hasher: list[WordHasher] = []  # one for each task
 
