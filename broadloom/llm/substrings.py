@@ -17,15 +17,16 @@ about half as many. A prefix that even whole windows share too often (a passage
 of all documents) is no burden: its copies pass as they come, see below.
 
 Subtrees. A group's subtree grows from its root downwards: the suffixes below a node are told
-apart by their next four words, those left alone are leaves and go, until the depth of
+apart by their next eight words, those left alone are leaves and go, until the depth of
 ``window`` words is reached. What is left hangs below deep internal nodes: all suffixes of
 one node are the same words, the earliest stays and the others are repeats. Windows that
 follow one another merge into maximal repeats (``maximal_repeats``). A group that grows
 beyond ``group_windows`` is worked off in pieces, of which only the earliest window of each
 node is held on; the piece grows only with the distinct windows.
 
-Words travel as 16 bits of their hash, with 16 bits of the window's hash as the last edge,
-so two windows that differ in a single word are taken for one with probability 2**-32.
+Words travel as 8 bits of their hash, with 40 bits of the window's hash as the last edge, so
+two windows that differ in a single word are taken for one with probability 2**-48, in more
+words with less; no text is compared afterwards.
 Before the shuffle each slice of a partition sends the earliest of equal windows; later ones
 are repeats already. A passage in a third of all documents reaches its group once for each
 slice (4 MB), not once for each document.
@@ -138,7 +139,17 @@ def _count(batches, window: int, anchor: int, lengths, bits: int):
 
 
 HEAD = 5  # numbers before a section
-EDGE = 4  # words by which the suffixes below a node are told apart at once
+EDGE = 8  # words by which the suffixes below a node are told apart at once
+
+
+def word_letters(h: np.ndarray) -> np.ndarray:
+    """The 8 bits of each word's hash that edges are made of."""
+    return h.view("<u1")[7::8]
+
+
+def last_edges(full: np.ndarray) -> np.ndarray:
+    """The 40 bits of each window's hash that close its path."""
+    return full >> U(24)
 
 
 def _send(batches, window: int, anchor: int, lengths, heavy: np.ndarray, groups: int):
@@ -169,16 +180,18 @@ def _send(batches, window: int, anchor: int, lengths, heavy: np.ndarray, groups:
             at = place[head] - part.ptr[text]
             mask |= part.checks[text] << OFFSETS
             ends = np.cumsum(n_words)
-            words = part.h[np.repeat(first - ends + n_words, n_words) + np.arange(ends[-1])].view("<u2")[3::4]
-            check = part.full[chosen].view("<u2")[3::4]
+            words = word_letters(part.h[np.repeat(first - ends + n_words, n_words) + np.arange(ends[-1])])
+            check = last_edges(part.full[chosen])
+            low, high = check.astype("<u4"), (check >> U(32)).astype("u1")
             cut = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 who, row = np.unique(text[a:b], return_inverse=True)
                 lo, hi = int(ends[a] - n_words[a]), int(ends[b - 1])
-                body = [] if flag else [words[lo:hi], check[head[a] : after[b - 1]]]
+                some = slice(head[a], after[b - 1])
+                body = [] if flag else [words[lo:hi], low[some], high[some]]
                 wide = int(max(len(who), at[a:b].max()) >= 1 << 16)
                 own_rows = [x.astype("<u4" if wide else "<u2") for x in (row, at[a:b])]
-                sizes = np.array([flag + 2 * wide, len(who), b - a, *(map(len, body) if body else (0, 0))], "<u4")
+                sizes = np.array([flag + 2 * wide, len(who), b - a, *(map(len, body[:2]) if body else (0, 0))], "<u4")
                 parts.setdefault(int(own[a]), []).append(b"".join(x.tobytes() for x in (sizes, ids[who].astype("<i8"), *own_rows, mask[a:b].astype("<u4"), *body)))
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([b"".join(p) for p in parts.values()], pa.binary())], names=["group", "blob"])
 
@@ -199,7 +212,8 @@ def _read(blob: bytes):
         ids = take("<i8", who)
         row, place = (take("<u4" if flag & 2 else "<u2", n).astype(np.int64) for _ in range(2))
         mask = take("<u4", n).astype(np.int64)
-        words, checks = take("<u2", n_words), take("<u2", n_windows)
+        words, low, high = take("u1", n_words), take("<u4", n_windows), take("u1", n_windows)
+        checks = high.astype(np.uint64) << U(32) | low
         yield flag & 1, ids[row], place | mask >> OFFSETS << PLACES, mask & (1 << OFFSETS) - 1, words, checks
 
 
@@ -214,14 +228,12 @@ def grow(words: np.ndarray, anchor: np.ndarray, off: np.ndarray, check: np.ndarr
     left = np.arange(len(anchor))
     node = off  # equal windows hold their anchor at the same place
     ahead = window - off  # words from the anchor to the window's end
-    for depth in range(0, window + 1, EDGE):
+    for depth in [*range(0, window, EDGE), window]:
         edge, a, n = np.zeros(len(left), np.uint64), anchor[left], ahead[left]
-        for d in range(depth, depth + EDGE):
-            edge <<= U(16)
-            if d < window:
-                edge |= words[np.where(d < n, a + d, a - 1 - (d - n))]
-            elif d == window:
-                edge |= check[left]
+        for d in range(depth, min(depth + EDGE, window)):
+            edge = edge << U(8) | words[np.where(d < n, a + d, a - 1 - (d - n))]
+        if depth == window:
+            edge = check[left]
         order = np.lexsort((edge, node))
         edge, node, left = edge[order], node[order], left[order]
         new = np.append(True, (edge[1:] != edge[:-1]) | (node[1:] != node[:-1]))[: len(left)]

@@ -92,22 +92,33 @@ def test_suffix_subtree_in_pieces(spark):
     from broadloom.llm.substrings import Subtree, grow
 
     rng = np.random.default_rng(3)
-    words = rng.integers(0, 2, 4000).astype(np.uint16)
+    words = rng.integers(0, 2, 4000).astype(np.uint8)
     anchor, off = np.arange(20, 3900), np.arange(20, 3900) % 5
     path = [(o, *words[a : a + 9 - o], *words[a - o : a][::-1]) for a, o in zip(anchor.tolist(), off.tolist(), strict=True)]
-    left, node = grow(words, anchor, off, np.zeros(len(anchor), np.uint16), 9)
+    left, node = grow(words, anchor, off, np.zeros(len(anchor), np.uint64), 9)
     alike: dict = {}
     for i, p in enumerate(path):
         alike.setdefault(p, set()).add(i)
     assert {frozenset(left[node == n].tolist()) for n in set(node.tolist())} == {frozenset(v) for v in alike.values() if len(v) > 1}
     tree, found = Subtree(9, 50), []
     for doc in range(300):  # each brings one window of ten, and one of its own
-        section = (np.array([doc, doc]), np.array([0, 50]), np.array([1, 1]), np.concatenate([np.arange(9) + doc % 10 * 9, np.full(9, 1000 + doc)]).astype(np.uint16), np.zeros(2, np.uint16))
+        section = (np.array([doc, doc]), np.array([0, 50]), np.array([1, 1]), np.concatenate([np.arange(9) + doc % 10 * 9, np.full(9, 100 + doc)]).astype(np.uint8), np.array([0, 1 + doc], np.uint64))
         found += list(tree.add(*section))
     found += list(tree.solve())
     assert sorted(d for ids, _ in found for d in ids.tolist()) == list(range(10, 300)) and tree.n == 310
 
 
+def test_windows_whose_words_share_all_letters_are_told_apart_by_the_last_edge():
+    import numpy as np
+
+    from broadloom.llm.substrings import grow
+
+    anchor, off = np.arange(20, 420, 20), np.zeros(20, np.int64)
+    last = np.arange(20, dtype=np.uint64) // np.uint64(2) << np.uint64(32)  # only the uppermost bits differ
+    left, node = grow(np.zeros(440, np.uint8), anchor, off, last, 20)
+    assert sorted(map(sorted, (left[node == n].tolist() for n in set(node.tolist())))) == [[i, i + 1] for i in range(0, 20, 2)]
+
+
 def test_maximal_repeats(spark):
     from broadloom.llm.substrings import maximal_repeats
 
