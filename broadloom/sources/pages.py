@@ -144,12 +144,46 @@ def split_beacons(lines: DataFrame, most_secs: int = 60, most_acts: int = 100) -
     return rows.select(*(F.get("c", F.lit(i)).alias(f) for i, f in enumerate(BEACON_FIELDS[:3])), number(3, most_secs).alias("secs"), number(4, most_acts).alias("acts"))
 
 
+def filled(template: Column, day: Column) -> Column:
+    """An address template with the marks of a day filled; without a day they are empty."""
+    marks = {"{date}": F.date_format(day, "yyyy-MM-dd"), "{dmy}": F.date_format(day, "dd.MM.yyyy"), "{unix}": F.unix_timestamp(day.cast("timestamp")).cast("string"), "{weekday}": F.lower(F.date_format(day, "EEEE"))}
+    for mark, value in marks.items():
+        template = F.replace(template, F.lit(mark), F.coalesce(value, F.lit("")))
+    return template
+
+
 def crawl_plan(sources: DataFrame, first_day: Column, days: int, url: str = "url") -> DataFrame:
     """A row for each source and day, with the address template filled: {date}, {dmy},
     {unix}, {weekday}."""
     plan = sources.withColumn("day", F.explode(F.sequence(first_day, F.date_add(first_day, days - 1))))
-    out = F.col(url)
-    marks = {"{date}": F.date_format("day", "yyyy-MM-dd"), "{dmy}": F.date_format("day", "dd.MM.yyyy"), "{unix}": F.unix_timestamp(F.col("day").cast("timestamp")).cast("string"), "{weekday}": F.lower(F.date_format("day", "EEEE"))}
-    for mark, value in marks.items():
-        out = F.replace(out, F.lit(mark), value)
-    return plan.withColumn("target", out)
+    return plan.withColumn("target", filled(F.col(url), F.col("day")))
+
+
+def crawl_depth(days: Column, own: Column, cap: Column, reference: Column, most: int = 7) -> Column:
+    """How many days of a site are fetched: the same for all, at most ``most``; a reference site
+    takes its own number if that is more; a site's cap holds for both."""
+    deep = F.least(F.lit(most), F.when(F.coalesce(reference, F.lit(False)), F.greatest(F.coalesce(own, F.lit(0)), days)).otherwise(days))
+    return F.greatest(F.lit(1), F.when(F.coalesce(cap, F.lit(0)) > 0, F.least(deep, cap)).otherwise(deep))
+
+
+def crawl_targets(sources: DataFrame, channels: DataFrame, days: int) -> DataFrame:
+    """(source_id, channel, day, target): every page to fetch.
+
+    sources: source_id, kind, url (template), today (the site's own date), pages (of a list, a
+    day), own_days, max_days, reference. channels: source_id, channel, url (null: the source's).
+    By kind: 'grid' one page; 'channels' one for each channel; 'days' one a day; 'paged' the
+    pages 1 to days times ``pages`` of one list; any other, each channel on each day, a source
+    without channels by its own address. Templates take the marks of ``crawl_plan`` and {n},
+    the number of a page or day from 1, and {daynum}, that of a day from 0."""
+    by_channel = ~F.col("kind").isin("grid", "days", "paged")
+    depth = crawl_depth(F.lit(days), F.col("own_days"), F.col("max_days"), F.col("reference"))
+    s = sources.filter(F.col("source_id").isNotNull()).withColumns({"kind": F.coalesce("kind", F.lit("")), "_depth": depth})
+    c = channels.select("source_id", "channel", F.col("url").alias("_own"))
+    met = s.filter(by_channel).join(c, "source_id", "left").filter((F.col("kind") != "channels") | F.col("channel").isNotNull())
+    rows = met.unionByName(s.filter(~by_channel), allowMissingColumns=True)
+    n = F.when(F.col("kind").isin("grid", "channels"), 1).when(F.col("kind") == "paged", F.col("_depth") * F.coalesce("pages", F.lit(1))).otherwise(F.col("_depth"))
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), n.cast("int"))))
+    day = F.when(F.col("kind").isin("grid", "channels"), None).when(F.col("kind") == "paged", F.col("today")).otherwise(F.date_add("today", F.col("_n") - 1))
+    rows = rows.withColumns({"day": day, "channel": F.coalesce("channel", F.lit("")), "url": F.coalesce("_own", "url")})
+    target = F.replace(F.replace(filled(F.col("url"), F.col("day")), F.lit("{n}"), F.col("_n").cast("string")), F.lit("{daynum}"), (F.col("_n") - 1).cast("string"))
+    return rows.select("source_id", "channel", "day", target.alias("target"))
