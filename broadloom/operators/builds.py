@@ -5,7 +5,7 @@ in both; a digest over all fields says whether, the list of fields says which),
 same time under other names, or the same pair beside it), 'retimed' (the same pair, nearer to
 the reference's time), 'absorbed' (its channels or its pair went into a game that was matched
 already), 'explained' (the book of cases excuses all its channels), 'lost'. Games meet by pair
-or by channel and time bucket; a new game is taken by one old game.
+or by rare channel and time bucket; a new game is taken by one old game.
 """
 
 from __future__ import annotations
@@ -35,26 +35,52 @@ def record_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, state.alias("state"), F.coalesce(differ, F.array().cast("array<string>")).alias("fields"))
 
 
-def _met(old: DataFrame, new: DataFrame, minutes: int) -> DataFrame:
-    """(old_id, new_id, gap, same_pair, common, n): games at most so many minutes apart that
-    share the pair or a channel, with the number of common channels and of the old ones."""
-    o = old.select("old_id", "pair", F.col("start").alias("_os"), "channels")
-    n = new.select("new_id", "pair", F.col("start").alias("_ns"), "channels")
-    reach = 60 * minutes
-    by_pair = within(o.drop("channels"), n.drop("channels"), ["pair"], "_os", "_ns", -reach, reach).select("old_id", "new_id", "_os", "_ns", F.lit(True).alias("_p"), F.lit(0).alias("_c"))
-    each = lambda df: df.drop("pair").withColumn("_k", F.explode(F.array_distinct("channels"))).drop("channels")
-    by_channel = within(each(o), each(n), ["_k"], "_os", "_ns", -reach, reach).select("old_id", "new_id", "_os", "_ns", F.lit(False).alias("_p"), F.lit(1).alias("_c"))
-    met = by_pair.union(by_channel).groupBy("old_id", "new_id").agg(F.max("_p").alias("same_pair"), F.sum("_c").alias("common"), F.min(seconds("_ns")).alias("new_at"), F.min(seconds("_os")).alias("old_at"))
-    sizes = old.select("old_id", F.size(F.array_distinct("channels")).alias("n"), "ref_start")
-    return met.join(sizes, "old_id").withColumn("gap", F.abs(F.col("new_at") - F.col("old_at")))
+def _by_pair(old: DataFrame, new: DataFrame, minutes: int) -> DataFrame:
+    """(old_id, new_id, gap, old_at, new_at, ref_start): games of one pair, so many minutes
+    apart at most."""
+    o = old.select("old_id", "pair", F.col("start").alias("_os"), "ref_start")
+    n = new.select("new_id", "pair", F.col("start").alias("_ns"))
+    met = within(o, n, ["pair"], "_os", "_ns", -60 * minutes, 60 * minutes)
+    return met.select("old_id", "new_id", F.abs(seconds("_ns") - seconds("_os")).alias("gap"), seconds("_os").alias("old_at"), seconds("_ns").alias("new_at"), "ref_start")
+
+
+def _by_channels(old: DataFrame, new: DataFrame, minutes: int, need: Column) -> DataFrame:
+    """(old_id, new_id, gap): games so many minutes apart at most that share at least ``need``
+    (over ``_n``, how many channels the old one has) of the old one's channels. All but
+    ``need - 1`` of these, the rarest among the new games, must hold a common one, so games meet
+    under them alone and are judged where they meet: what travels grows with the games, not with
+    how many are on air at once. A pair may come more than once."""
+    held = lambda c: F.filter(F.array_distinct(c), lambda x: x.isNotNull())
+    n = new.select("new_id", F.col("start").alias("_ns"), held("channels").alias("_nc"))
+    of_new = n.withColumn("_k", F.explode("_nc"))
+    rarity = of_new.groupBy("_k").agg(F.count("*").alias("_f"))
+    o = old.select("old_id", F.col("start").alias("_os"), held("channels").alias("_oc"), F.size(F.array_distinct("channels")).alias("_n")).withColumn("_need", need)
+    each = o.select("old_id", "_os", "_oc", "_need", F.explode("_oc").alias("_k")).join(rarity, "_k")
+    known = each.groupBy("old_id").agg(F.first("_os").alias("_os"), F.first("_oc").alias("_oc"), F.first("_need").alias("_need"), F.array_sort(F.collect_list(F.struct("_f", "_k"))).alias("_ks"))
+    # channels that no new game has cannot be common ones, so only the others count
+    keyed = known.select("old_id", "_os", "_oc", "_need", F.explode(F.slice("_ks", 1, F.greatest(F.lit(0), F.size("_ks") - F.col("_need") + 1).cast("int"))).alias("_k")).withColumn("_k", F.col("_k._k"))
+    met = within(keyed, of_new, ["_k"], "_os", "_ns", -60 * minutes, 60 * minutes, extra=F.size(F.array_intersect("_oc", "_nc")) >= F.col("_need"))
+    return _leading(met.select("old_id", "new_id", F.abs(seconds("_ns") - seconds("_os")).alias("gap")))
+
+
+def _leading(pairs: DataFrame) -> DataFrame:
+    """Pairs without those that, in their own batch of rows, are neither the nearest (then
+    smallest) of their old game nor of their new one: each game's first pair stays, and what
+    travels on is some rows a game."""
+    def pick(frames):
+        for pdf in frames:
+            by_new = pdf.sort_values(["gap", "new_id"]).drop_duplicates("old_id").index
+            by_old = pdf.sort_values(["gap", "old_id"]).drop_duplicates("new_id").index
+            yield pdf.loc[by_new.union(by_old)]
+
+    return pairs.mapInPandas(pick, pairs.schema)
 
 
 def _mutual(pairs: DataFrame) -> DataFrame:
-    """(old_id, new_id) of those that are each other's nearest, then smallest."""
-    o = Window.partitionBy("old_id").orderBy("gap", "new_id")
-    n = Window.partitionBy("new_id").orderBy("gap", "old_id")
-    ranked = pairs.withColumns({"_a": F.row_number().over(o), "_b": F.row_number().over(n)})
-    return ranked.filter("_a = 1 AND _b = 1").select("old_id", "new_id")
+    """(old_id, new_id) of those that are each other's nearest, then smallest. A pair may come
+    more than once."""
+    best = lambda mine, other: pairs.groupBy(mine).agg(F.min(F.struct("gap", other)).alias("_b")).select(mine, F.col(f"_b.{other}").alias(other))
+    return best("old_id", "new_id").join(best("new_id", "old_id"), ["old_id", "new_id"])
 
 
 def fates(old: DataFrame, new: DataFrame, cases: DataFrame, fields: list[str], same_minutes: int = 10, far_minutes: int = 180) -> DataFrame:
@@ -76,18 +102,19 @@ def fates(old: DataFrame, new: DataFrame, cases: DataFrame, fields: list[str], s
     none = F.array().cast("array<string>").alias("fields")
     left = materialize(old.select("old_id", "pair", "start", "channels", "ref_start").join(kept.select("old_id"), "old_id", "left_anti"))
     fresh = new.select("new_id", "pair", "start", "channels").join(kept.select("new_id"), "new_id", "left_anti")
-    met = materialize(_met(left, fresh, far_minutes))
-    near = met.filter((F.col("gap") <= 60 * same_minutes) & (F.col("same_pair") | (2 * F.col("common") > F.col("n"))))
-    renamed = materialize(_mutual(near).select("old_id", F.lit("renamed").alias("fate"), "new_id", none))
+    paired = materialize(_by_pair(left, fresh, far_minutes))
+    most = F.floor(F.col("_n") / 2) + 1
+    near = paired.filter(F.col("gap") <= 60 * same_minutes).select("old_id", "new_id", "gap").union(_by_channels(left, fresh, min(same_minutes, far_minutes), most))
+    renamed = materialize(_mutual(materialize(near)).select("old_id", F.lit("renamed").alias("fate"), "new_id", none))
     ref = seconds("ref_start")
-    closer = met.filter(F.col("same_pair") & (F.abs(F.col("new_at") - ref) < F.abs(F.col("old_at") - ref)))
+    closer = paired.filter(F.abs(F.col("new_at") - ref) < F.abs(F.col("old_at") - ref))
     free = closer.join(renamed.select("old_id"), "old_id", "left_anti").join(renamed.select("new_id"), "new_id", "left_anti")
     retimed = materialize(_mutual(free).select("old_id", F.lit("retimed").alias("fate"), "new_id", none))
     moved = renamed.union(retimed)
     rest = left.join(moved.select("old_id"), "old_id", "left_anti")
     taken = kept.select("new_id").union(moved.select("new_id")).distinct()
-    hosts = _met(rest, new.select("new_id", "pair", "start", "channels").join(taken, "new_id", "left_semi"), far_minutes)
-    hosts = hosts.filter(F.col("same_pair") | ((F.col("n") > 0) & (F.col("common") == F.col("n"))))
+    matched = new.select("new_id", "pair", "start", "channels").join(taken, "new_id", "left_semi")
+    hosts = _by_pair(rest, matched, far_minutes).select("old_id", "new_id", "gap").union(_by_channels(rest, matched, far_minutes, F.col("_n")))
     absorbed = hosts.groupBy("old_id").agg(F.min_by("new_id", F.struct("gap", "new_id")).alias("new_id")).select("old_id", F.lit("absorbed").alias("fate"), "new_id", none)
     absorbed = materialize(absorbed)
     gone = rest.join(absorbed.select("old_id"), "old_id", "left_anti").select("old_id", "channels")

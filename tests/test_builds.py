@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from broadloom.operators import builds as B
 
 NOON = dt.datetime(2024, 5, 1, 12)
@@ -44,6 +46,18 @@ def test_ties_repeats_and_nothing(spark):
     assert run(spark, [], new) == {}
 
 
+def test_games_that_share_channels_need_not_all_meet(spark):
+    """A slot of many games: each old one finds its nearest and smallest, and few pairs leave the join."""
+    n = 300
+    old = spark.createDataFrame([(i, None, at(0), ["c", f"o{i}"], None) for i in range(n)] + [(n, None, at(0), None, None)], "old_id long, pair string, start timestamp_ntz, channels array<string>, ref_start timestamp_ntz")
+    new = spark.createDataFrame([(1000 + i, None, at(i % 3), ["c", f"o{i}", None]) for i in range(n)], "new_id long, pair string, start timestamp_ntz, channels array<string>")
+    half = B._by_channels(old, new, 10, F.floor(F.col("_n") / 2) + 1)
+    assert {(r.old_id, r.new_id) for r in half.collect()} == {(i, 1000 + i) for i in range(n)}
+    one = B._by_channels(old, new, 10, F.lit(1))
+    assert one.count() < n * n / 10  # 90,000 pairs share a channel
+    assert {(r.old_id, r.new_id) for r in B._mutual(one).collect()} == {(0, 1000)}
+
+
 def test_all_fields_of_records(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 1.5), (3, "z", 2.0)], "id int, name string, price double")
     b = spark.createDataFrame([(1, "x", None), (2, None, 2.5), (4, "w", 0.0)], "id int, name string, price double")
