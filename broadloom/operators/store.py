@@ -7,6 +7,8 @@ of a matching cascade sees only what earlier stages left.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,10 +145,16 @@ def alias_ladder(asked: DataFrame, aliases: DataFrame, ask_id: str) -> DataFrame
     that, several clubs -> disputed.
 
     asked: ask_id, alias, lang, sport, category. aliases: alias, lang, sport, category, team,
-    club, is_canonical."""
-    a = asked.select(ask_id, F.lower("alias").alias("alias"), F.col("lang").alias("_lang"), F.col("sport").alias("_sport"), F.col("category").alias("_category"))
-    cand = a.join(aliases.withColumn("alias", F.lower("alias")), "alias", "left")
-    w = Window.partitionBy(ask_id)
+    club, is_canonical. Each spelling is answered once, whoever asks for it, over one row for
+    each kind of alias, so neither many askers nor many teams of one name multiply; ask_id is
+    unique."""
+    key = ["alias", "_lang", "_sport", "_category"]
+    a = asked.select(ask_id, F.lower("alias").alias("alias"), F.col("lang").alias("_lang"), F.col("sport").alias("_sport"), F.col("category").alias("_category")).distinct()
+    told = aliases.withColumn("alias", F.lower("alias")).groupBy("alias", "lang", "sport", "category", "is_canonical")
+    # of rows that no rung tells apart the largest team and the extreme clubs say all
+    told = told.agg(F.max("team").alias("team"), F.min("club").alias("_least"), F.max("club").alias("_most"))
+    cand = a.select(*key).distinct().join(told, "alias", "left")
+    w = Window.partitionBy(*key)
 
     def narrow(df: DataFrame, name: str, test: Column) -> DataFrame:
         hit = F.coalesce(test, F.lit(False))
@@ -154,9 +162,10 @@ def alias_ladder(asked: DataFrame, aliases: DataFrame, ask_id: str) -> DataFrame
 
     for name, test in (("canonical", F.col("is_canonical")), ("lang", F.col("lang") == F.col("_lang")), ("sport", F.col("sport") == F.col("_sport")), ("category", F.col("category").eqNullSafe(F.col("_category")))):
         cand = narrow(cand, name, test)
-    how = F.when(F.max("team").isNull(), "unknown").when(F.countDistinct("club") > 1, "disputed").when((F.countDistinct("sport") == 1) & (F.max("sport") != F.max("_sport")), "other sport").otherwise("found")
-    out = cand.groupBy(ask_id).agg(how.alias("how"), F.max("team").alias("team"))
-    return out.select(ask_id, F.when(F.col("how") == "found", F.col("team")).alias("team"), "how")
+    how = F.when(F.max("team").isNull(), "unknown").when(F.min("_least") < F.max("_most"), "disputed").when((F.min("sport") == F.max("sport")) & (F.max("sport") != F.col("_sport")), "other sport").otherwise("found")
+    out = cand.groupBy(*key).agg(how.alias("how"), F.max("team").alias("team")).withColumnsRenamed({c: f"_of{c}" for c in key})
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in key]
+    return a.join(out, reduce(and_, same), "left").select(ask_id, F.when(F.col("how") == "found", F.col("team")).alias("team"), "how")
 
 
 def marks_appended(old: Column, new: Column) -> Column:

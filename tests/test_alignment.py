@@ -149,3 +149,18 @@ def test_quarantine_and_its_end(spark):
     assert answers(held(("Ajax", 1), ("ajax", 2), (None, 3)))[1] == (None, "quarantine")
     fates = S.lifted(held(("Ajax", 1), ("ajax", 2), ("b", 1), ("b", 2), ("c", 1), (None, 1)), held(("AJAX", 2), ("b", 1), ("b", 2), ("c", 9)))
     assert {tuple(r) for r in fates.collect()} == {("ajax", 1, "dropped"), ("ajax", 2, "lifted"), ("b", 1, "held"), ("b", 2, "held"), ("c", 1, "held")}
+
+
+def test_a_spelling_is_answered_once_for_all_who_ask(spark):
+    """20,000 askers of one spelling that 20,000 teams bear: no product of both."""
+    from pyspark.sql import functions as F
+
+    from broadloom.operators import store as S
+
+    n = 20000
+    kind = lambda i: (F.lit("en").alias("lang"), F.when(i % 4 == 0, "F").otherwise("B").alias("sport"), F.lit("").alias("category"))
+    i = F.col("id")
+    aliases = spark.range(n).select(F.lit("Ajax").alias("alias"), *kind(i), i.alias("team"), F.when(i % 4 == 0, 7).otherwise(i).alias("club"), F.lit(False).alias("is_canonical"))
+    asked = spark.range(n).select(i.alias("ask"), F.when(i % 2 == 0, "AJAX").otherwise("ajax").alias("alias"), *kind(i))
+    out = S.alias_ladder(asked, aliases, "ask").groupBy("how", "team").count()
+    assert {tuple(r) for r in out.collect()} == {("found", n - 4, n // 4), ("disputed", None, n - n // 4)}
