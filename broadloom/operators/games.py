@@ -108,13 +108,20 @@ def retimed(games: DataFrame, reference: DataFrame, key: str, at: str) -> DataFr
 def title_twins(sessions: DataFrame, titles: DataFrame, marks: DataFrame, seen: DataFrame) -> DataFrame:
     """(twin, into): titles without players that are a merged session under an older title: they
     start in its minute, and every channel that they still have was confirmed for it. Titles
-    without a channel stay; of several sessions the smallest takes the twin.
+    without a channel stay; of several sessions the smallest takes the twin. Games of one minute
+    and the same channels are judged as one.
 
     sessions: into, start; titles: twin, start; marks: twin, channel (the live ones); seen:
     into, channel. Null starts meet nothing."""
-    minute = lambda df: df.withColumn("_m", F.date_trunc("minute", "start")).drop("start")
-    near = minute(titles).join(minute(sessions), "_m").filter("twin <> into").select("twin", "into").distinct()
-    own = marks.select("twin", "channel").distinct()
-    n = own.groupBy("twin").agg(F.count("*").alias("_n"))
-    shared = near.join(own, "twin").join(seen.select("into", "channel").distinct(), ["into", "channel"]).groupBy("twin", "into").agg(F.count("*").alias("_c"))
-    return shared.join(n, "twin").filter("_c = _n").groupBy("twin").agg(F.min("into").alias("into"))
+    def placed(games: DataFrame, held: DataFrame, key: str) -> DataFrame:
+        sets = held.groupBy(key).agg(F.array_sort(F.collect_set("channel")).alias("_set"))
+        return games.select(key, F.date_trunc("minute", "start").alias("_m")).filter("_m IS NOT NULL").distinct().join(sets, key)
+
+    # a title may be a session too, so of each class the two smallest count
+    two = lambda df, *by: df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("into"))).filter("_rn <= 2").drop("_rn")
+    twins = placed(titles, marks.join(marks.filter("channel IS NULL").select("twin"), "twin", "left_anti"), "twin")
+    given = two(placed(sessions, seen.filter("channel IS NOT NULL"), "into"), "_m", "_set").withColumnRenamed("_set", "_all")
+    asked = twins.select("_m", "_set").distinct().withColumn("_k", F.element_at("_set", 1))
+    met = asked.join(given.withColumn("_k", F.explode("_all")), ["_m", "_k"]).filter(F.size(F.array_except("_set", "_all")) == 0)
+    best = two(met.select("_m", "_set", "into").distinct(), "_m", "_set")
+    return twins.join(best, ["_m", "_set"]).filter("twin <> into").groupBy("twin").agg(F.min("into").alias("into"))

@@ -55,3 +55,18 @@ def test_title_twins(spark):
     marks = make([(10, "x"), (10, "y"), (10, "x"), (11, "x"), (11, "z"), (12, "x"), (1, "x")], "twin int, channel string")
     seen = make([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (2, "w")], "into int, channel string")
     assert {(r.twin, r["into"]) for r in title_twins(sessions, titles, marks, seen).collect()} == {(10, 1), (1, 2)}
+
+
+def test_title_twins_of_one_minute_do_not_all_meet(spark):
+    """4,000 titles and as many sessions of one minute, three sets of channels."""
+    from pyspark.sql import functions as F
+
+    from broadloom.operators.games import title_twins
+
+    n = 4000
+    games = lambda name, first: spark.range(first, first + n).select(F.col("id").alias(name), F.lit(NOON).alias("start"))
+    marks = lambda name, first: spark.range(first, first + n).select(F.col("id").alias(name), F.explode(F.slice(F.array(F.lit("x"), F.lit("y"), F.lit("z")), 1, (F.col("id") % 3 + 1).cast("int"))).alias("channel"))
+    seen = marks("into", 0).union(spark.createDataFrame([(0, None)], "into long, channel string"))
+    out = title_twins(games("into", 0), games("twin", 2000), marks("twin", 2000).union(spark.createDataFrame([(5000, None)], "twin long, channel string")), seen)
+    assert {r.twin: r["into"] for r in out.collect()} == {k: k % 3 for k in range(2000, 2000 + n) if k != 5000}
+    assert {r.twin: r["into"] for r in title_twins(games("into", 0), games("twin", 0), marks("twin", 0), seen).filter("twin < 6").collect()} == {0: 1, 1: 2, 2: 5, 3: 0, 4: 1, 5: 2}
