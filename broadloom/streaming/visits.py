@@ -61,22 +61,22 @@ def first_rows(events: DataFrame, key: list[str], ts: str, late: str = "1 hour")
 
 def rate_limit_stream(events: DataFrame, visitor: str, row_id: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """(visitor, row_id, is_rejected): state per visitor is the instants of its last accepted
-    hits, at most ``limit`` of them."""
+    hits, at most ``limit`` of them. A visitor's rows of a micro-batch come in frames cut
+    anywhere, so they are sorted together: 16 bytes a row of the visitor at hand."""
     rows = events.select(F.col(visitor).alias("visitor"), F.col(row_id).alias("row_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
 
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
         kept = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            pdf = pdf.sort_values(["at", "row_id"])
-            flags = []
-            for t in pdf["at"]:
-                kept = [x for x in kept if t - x <= seconds * 1_000_000]
-                flags.append(len(kept) >= limit)
-                if not flags[-1]:
-                    kept.append(int(t))
-            yield pd.DataFrame({"visitor": pdf["visitor"], "row_id": pdf["row_id"], "is_rejected": flags})
+        pdf = pd.concat([f[["at", "row_id"]] for f in frames]).sort_values(["at", "row_id"])
+        flags = []
+        for t in pdf["at"]:
+            kept = [x for x in kept if t - x <= seconds * 1_000_000]
+            flags.append(len(kept) >= limit)
+            if not flags[-1]:
+                kept.append(int(t))
+        yield pd.DataFrame({"visitor": key[0], "row_id": pdf["row_id"], "is_rejected": flags})
         state.update((kept,))
 
     return rows.groupBy("visitor").applyInPandasWithState(step, "visitor long, row_id long, is_rejected boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)

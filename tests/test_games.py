@@ -76,3 +76,18 @@ def test_rate_limit_stream_equals_batch(spark):
     got = {(r.row_id, r.is_rejected) for r in T.run_to_table(T.rate_limit_stream(stream, "user_id", "event_id", "ts", 2, 360000), "append").collect()}
     want = {(r.event_id, r.is_rejected) for r in M.rate_limited(e.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 360000).collect()}
     assert got == want and len({x for _, x in want}) == 2
+
+
+def test_rate_limit_stream_whatever_the_frames(spark, tmp_path):
+    """A visitor's rows come in several frames, not in order of time."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.select("event_id", "user_id", "ts").orderBy(F.desc("ts")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = T.file_stream(spark, str(tmp_path / "e"), "*.parquet", e.select("event_id", "user_id", "ts").schema)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = {(r.row_id, r.is_rejected) for r in T.run_to_table(T.rate_limit_stream(stream, "user_id", "event_id", "ts", 2, 360000), "append").collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {(r.event_id, r.is_rejected) for r in M.rate_limited(e.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 360000).collect()}
