@@ -17,7 +17,7 @@ from broadloom.functions.names import forms as similarity_forms
 from broadloom.functions.names import similarity, word_ratio
 from broadloom.functions.text import category
 from broadloom.operators.graph import components
-from broadloom.operators.intervals import within
+from broadloom.operators.intervals import seconds, within
 from broadloom.sources.shared import materialize
 
 ENTRY = "entry_id long, start timestamp_ntz, home string, away string, sport string"
@@ -29,24 +29,36 @@ def scored_pairs(entries: DataFrame, key: list[str], minutes: int = 150, same: i
     the worse side's similarity at least ``same``, in either orientation.
 
     entries: entry_id, start, home, away, sport ('' unknown), and ``key`` columns that must be
-    equal. Names are scored once per distinct quadruple, not once per pair of rows."""
-    side = lambda p: entries.select(*key, F.col("entry_id").alias(p), F.col("start").alias(f"{p}_at"), F.col("home").alias(f"{p}_home"), F.col("away").alias(f"{p}_away"), F.col("sport").alias(f"{p}_sport"))
-    near = within(side("a"), side("b"), key, "a_at", "b_at", -60 * minutes, 60 * minutes, extra=F.col("a") < F.col("b"))
-    names = ["a_home", "a_away", "b_home", "b_away"]
-    cat = {c: category(F.col(c)) for c in names}
-    fit = lambda x, y: cat[x] == cat[y]
-    distinct = near.select(*names).distinct()
-    scored = distinct.select(
-        *names,
-        F.when(fit("a_home", "b_home") & fit("a_away", "b_away"), F.least(similarity(F.col("a_home"), F.col("b_home")), similarity(F.col("a_away"), F.col("b_away")))).otherwise(0).alias("direct"),
-        F.when(fit("a_home", "b_away") & fit("a_away", "b_home"), F.least(similarity(F.col("a_home"), F.col("b_away")), similarity(F.col("a_away"), F.col("b_home")))).otherwise(0).alias("turned"),
-    )
-    found = near.join(scored, names).withColumn("score", F.greatest("direct", "turned")).withColumn("swapped", F.col("turned") > F.col("direct"))
+    equal. Names are scored once per distinct pair, and entries meet under names that are alike,
+    so pairs of other games of a busy hour are never formed."""
+    # names of one key in neighbouring spans; then only entries whose sides are alike meet
+    named = entries.filter("home IS NOT NULL AND away IS NOT NULL AND start IS NOT NULL")
+    spot = named.select(*key, F.explode(F.array("home", "away")).alias("name"), F.floor(seconds("start") / (60 * minutes)).alias("_s")).distinct()
+    beside = spot.select(*key, F.col("name").alias("x"), F.explode(F.array(*(F.col("_s") + i for i in (-1, 0, 1)))).alias("_s"))
+    met = beside.join(spot.withColumnRenamed("name", "y"), [*key, "_s"]).select("x", "y").distinct()
+    alike = met.filter(category(F.col("x")) == category(F.col("y"))).withColumn("s", similarity(F.col("x"), F.col("y"))).filter(F.col("s") >= same)
+    pairs = materialize(fitting_sides(named.select("home", "away").distinct(), materialize(alike)).withColumns({"score": F.greatest("direct", "turned"), "swapped": F.col("turned") > F.col("direct")}).drop("direct", "turned"))
+    side = lambda p: named.select(*key, F.col("entry_id").alias(p), F.col("start").alias(f"{p}_at"), F.col("home"), F.col("away"), F.col("sport").alias(f"{p}_sport"))
+    a = side("a").join(pairs, ["home", "away"]).drop("home", "away")
+    b = side("b").withColumnsRenamed({"home": "_home", "away": "_away"})
+    found = within(a, b, [*key, "_home", "_away"], "a_at", "b_at", -60 * minutes, 60 * minutes, extra=F.col("a") < F.col("b"))
     apart = F.abs(F.unix_seconds(F.col("a_at").cast("timestamp")) - F.unix_seconds(F.col("b_at").cast("timestamp")))
     sport = (F.col("a_sport") == "") | (F.col("b_sport") == "") | (F.col("a_sport") == F.col("b_sport")) | ((F.col("score") >= clash) & (apart <= 60 * clash_minutes))
     return found.filter((F.col("score") >= same) & sport).select("a", "b", "score", "swapped")
 
 
+def fitting_sides(games: DataFrame, alike: DataFrame) -> DataFrame:
+    """(home, away, _home, _away, direct, turned): the sides under which each pair of sides may
+    be met, with the worse side's score as written and turned (0: does not fit).
+
+    games: distinct (home, away); alike: x (a name of these), y, s (its score)."""
+    of = lambda p: alike.select(F.col("x").alias(p), F.col("y").alias(f"_{p}"), F.col("s").alias(f"_s_{p}"))
+    both = games.join(of("home"), "home").join(of("away"), "away").withColumn("_s", F.least("_s_home", "_s_away"))
+    rows = both.select("home", "away", "_home", "_away", F.col("_s").alias("direct"), F.lit(0).alias("turned"))
+    rows = rows.union(both.select("home", "away", "_away", "_home", F.lit(0), "_s"))
+    return rows.groupBy("home", "away", "_home", "_away").agg(F.max("direct").alias("direct"), F.max("turned").alias("turned"))
+
+
 def alike_names(names: DataFrame, least: int = 85) -> DataFrame:
     """(a, b, score), a < b: distinct names whose similarity is ``least`` (85 or more) or higher.
 
@@ -76,6 +88,7 @@ def merged_games(entries: DataFrame, pairs: DataFrame, minutes: int = 150) -> Da
     conflict. game_id is the game's smallest entry; ``swapped`` says whether the sides are
     turned against the game's first entry. ``minutes``: how far apart the entries of a pair
     are at most; a game none of whose entries is so near is closed and leaves memory."""
+    pairs = materialize(pairs.select("a", "b", "swapped"))
     classes = components(pairs.select("a", "b")).select(F.col("node").alias("entry_id"), F.col("component").alias("block"))
     placed = materialize(entries.join(classes, "entry_id").select("block", "entry_id", "start", "sport"))
     links = pairs.select("a", "b", "swapped").union(pairs.select("b", "a", "swapped")).groupBy("a").agg(F.collect_list(F.struct("b", "swapped")).alias("near"))

@@ -181,6 +181,13 @@ def test_merge_bridges_only_one_kind(spark):
     assert got == {1: (1, False), 2: (1, True), 3: (3, False), 4: (4, False), 5: (5, False)}
 
 
+def test_entries_meet_under_alike_sides_alone(spark):
+    alike = spark.createDataFrame([("a", "a", 100), ("a", "A", 90), ("b", "b", 100), ("a", "b", 86), ("b", "a", 86)], "x string, y string, s int")
+    games = spark.createDataFrame([("a", "b"), ("a", "c")], "home string, away string")
+    got = {tuple(r) for r in M.fitting_sides(games, alike).collect()}
+    assert got == {("a", "b", "a", "b", 100, 86), ("a", "b", "b", "a", 86, 100), ("a", "b", "A", "b", 90, 0), ("a", "b", "b", "A", 0, 90), ("a", "b", "a", "a", 86, 86), ("a", "b", "A", "a", 86, 0), ("a", "b", "a", "A", 0, 86), ("a", "b", "b", "b", 86, 86)}
+
+
 def test_late_repeats_follow_the_kept_list(spark):
     rows = [(1, at(0), 1, False), (1, at(4 * 3600), 2, True), (1, at(31 * 3600), 3, True), (1, at(33 * 3600), 4, False), (1, at(40 * 3600), 5, True)]
     df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, id int, g boolean")
