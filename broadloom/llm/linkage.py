@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.shared import materialize, shuffle_width
@@ -389,6 +389,25 @@ def _piece_links(chunk, node, comp, sets, num: int, den: int) -> list[tuple[int,
     return found
 
 
+def chunk_pairs(rest: DataFrame, piece: int) -> DataFrame:
+    """(block, i, j, chunk, node, c): the members of each piece, so that any two members of
+    different components meet in one of their block. rest: block, node, c, k (chunks).
+
+    The members of a large block's largest component have chunks of their own, which meet
+    the other members' chunks only: a block of one large component and few others makes few
+    more rows than it has members, however large the component is."""
+    large = rest.filter("k > 1").groupBy("block", "c").agg(F.count("*").alias("_m"))
+    large = large.groupBy("block").agg(F.max_by("c", F.struct("_m", "c")).alias("_top"), F.max("_m").alias("_m"), F.sum("_m").alias("_n"))
+    chunks = lambda n: F.ceil(n / piece).cast("long")
+    large = large.select("block", "_top", chunks(F.col("_m")).alias("_t"), chunks(F.col("_n") - F.col("_m")).alias("_r"))
+    dealt = rest.select("block", "node", "c").join(large, "block", "left")
+    top, hashed, zero = F.col("c") == F.col("_top"), F.xxhash64("node"), F.lit(0).cast("long")
+    chunk = F.when(F.col("_top").isNull(), zero).when(top, F.pmod(hashed, F.col("_t"))).otherwise(F.col("_t") + F.pmod(hashed, F.col("_r")))
+    first, last = F.when(top, F.col("_t")).otherwise(zero), F.coalesce(F.col("_t") + F.col("_r") - 1, zero)
+    dealt = dealt.withColumn("chunk", chunk).withColumn("o", F.explode(F.sequence(first, last)))
+    return dealt.select("block", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "c")
+
+
 def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, overlaps=hash_overlaps, points: DataFrame | None = None, piece: int = 256) -> DataFrame:
     """(node, component) for every node with a link.
 
@@ -449,22 +468,18 @@ def linked_classes(blocks: DataFrame, fetch, num: int, den: int, decode=None, ov
         left = left.filter("lo <> hi AND (n > 2 OR mixed)").select("block", F.ceil(F.col("n") / piece).cast("long").alias("k"))
         return materialize(members.drop("pivot").join(left, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k"))))
 
-    def pieces(rest: DataFrame, payload: DataFrame, other: Column) -> DataFrame:
-        """The members of each piece: of every two chunks, or of what ``other`` names."""
-        dealt = rest.withColumn("o", other)
-        dealt = dealt.select("block", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "c")
+    def pieces(dealt: DataFrame, payload: DataFrame) -> DataFrame:
         full = dealt.hint("merge").join(payload, "node").select("block", "i", "j", "chunk", "node", "c", payload.columns[1])
         return full.repartition(shuffle_width(blocks.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j")
 
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     if points is None:
         links = links.union(verified(materialize(apart_stars(classes, False)), sets))
         classes = components(links)
-        across = pieces(open_members(classes), sets, every).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")
+        across = pieces(chunk_pairs(open_members(classes), piece), sets).mapInArrow(lambda it: _links_across(it, num, den, decode), "u long, v long")
         return components(links.union(across))
     rest = open_members(classes)
     for likeliest in (True, False):
-        shared = pieces(rest, points, F.col("chunk") if likeliest else every)
+        shared = pieces(rest.withColumns({"i": F.col("chunk"), "j": F.col("chunk")}) if likeliest else chunk_pairs(rest, piece), points)
         found = shared.mapInArrow(lambda it, first=likeliest: _tree_pairs(it, num, den, first), "pivot long, node long")
         known = tested.union(tested.select("node", "pivot"))
         pairs = apart_stars(classes, likeliest).union(found).distinct().join(known, ["pivot", "node"], "left_anti")

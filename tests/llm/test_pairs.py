@@ -24,6 +24,24 @@ def test_jaccard_join_matches_brute_force(spark):
     assert as_set(jaccard_components(frame(spark, rows))) == want
 
 
+def test_a_blocks_large_component_is_not_paired_with_itself(spark):
+    """600 members of one component, 20 others, a small block: all pairs across components
+    meet in a piece, and rows grow with the members, not with their square."""
+    of = {n: 1 if n <= 600 else n for n in range(1, 621)}
+    rows = [(7, n, c, 39) for n, c in of.items()] + [(8, 1, 1, 1), (8, 605, 605, 1)]
+    made = linkage.chunk_pairs(spark.createDataFrame(rows, "block long, node long, c long, k long"), 16).collect()
+    assert len(made) <= 2 * 600 + 20 * 41 + 2
+    pieces = {}
+    for r in made:
+        pieces.setdefault((r.block, r.i, r.j), []).append(r)
+    met = set()
+    for (block, i, j), members in pieces.items():
+        for x in members:
+            met |= {(block, x.node, y.node) for y in members if x.c != y.c and (i == j or x.chunk != y.chunk)}
+    want = {(7, a, b) for a in of for b in of if of[a] != of[b]} | {(8, 1, 605), (8, 605, 1)}
+    assert met == want
+
+
 def test_jaccard_join_with_streamed_blocks(spark, monkeypatch):
     monkeypatch.setattr(linkage, "LARGE", 3)
     monkeypatch.setattr(linkage, "HELD", 50)
