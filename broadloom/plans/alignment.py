@@ -76,7 +76,7 @@ def aligned_games(spark: SparkSession, d: str) -> DataFrame:
 def learnt_spellings(spark: SparkSession, d: str) -> DataFrame:
     """What alignment learns, from names, times and some ids."""
     games, reference, known = _sides(spark, d)
-    return A.judged_facts(A.materialize(A.candidates(games, reference)), reference, known).drop("score")
+    return A.judged_facts(games, reference, known).drop("score")
 
 
 @query("late_marks", """

@@ -164,3 +164,28 @@ def test_a_spelling_is_answered_once_for_all_who_ask(spark):
     asked = spark.range(n).select(i.alias("ask"), F.when(i % 2 == 0, "AJAX").otherwise("ajax").alias("alias"), *kind(i))
     out = S.alias_ladder(asked, aliases, "ask").groupBy("how", "team").count()
     assert {tuple(r) for r in out.collect()} == {("found", n - 4, n // 4), ("disputed", None, n - n // 4)}
+
+
+def test_pairs_of_a_busy_hour_are_not_written(spark, monkeypatch):
+    """40 games and 40 matches of one league and hour make 1,600 pairs; what is written grows
+    with games, names and facts."""
+    import datetime as dt
+
+    at = dt.datetime(2026, 1, 5, 18)
+    names = ["Karlova", "Brodek", "Stanimir", "Ostrava"]
+    two = [(names[i % 4], names[(i + 1 + i // 4 % 2) % 4]) for i in range(40)]
+    games = [(i, "f", "L", at, *two[i], None) for i in range(40)]
+    matches = [(100 + i, "f", "L", at, *two[i]) for i in range(40)]
+    written, write = [], A.materialize
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "materialize", counted)
+    g = spark.createDataFrame(games, "game long, sport string, league string, start timestamp_ntz, home string, away string, match_id long")
+    r = spark.createDataFrame(matches, "ref long, sport string, league string, start timestamp_ntz, home string, away string")
+    rungs, facts = A.align(g, r, spark.createDataFrame([], "sport string, alias string, team string"))
+    assert {x.rung for x in rungs.collect()} == {"disputed"} and facts.count() == 16
+    assert max(written) < 1600
