@@ -50,6 +50,11 @@ def _forest(batches, most: int):
     yield contracted(held)
 
 
+def _tasks(links: DataFrame, n: int) -> int:
+    """Shuffle tasks of which none holds much more than ``EDGES`` of ``n`` links."""
+    return max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // EDGES))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node.
 
@@ -63,15 +68,17 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     links = materialize(links.mapInArrow(lambda it: _forest(it, EDGES // 4), "u long, v long"))
-    pieces = links.coalesce(max(1, -(-links.count() // EDGES)))
-    links = materialize(pieces.mapInArrow(lambda it: _forest(it, 2 * EDGES), "u long, v long").distinct())
+    n = links.count()
+    pieces = links.coalesce(max(1, -(-n // EDGES)))
+    # nodes that follow one another take few bytes, so tasks sized by bytes would hold too many
+    links = materialize(pieces.mapInArrow(lambda it: _forest(it, 2 * EDGES), "u long, v long").repartition(_tasks(links, n), "u", "v").distinct())
     # every component is a star once no parent has a parent
     while not _stars(links):
         both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # below a node lie few others, so here both uses of a node's rows share one shuffle
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition("u")
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(_tasks(links, links.count()), "u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = materialize(hung.filter("u <> v").distinct())

@@ -273,3 +273,13 @@ def test_readings_and_scores():
             for j, y in enumerate(b, 1):
                 row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
         assert N.indel_ratio(a, b) == 200 * row[-1] // (len(a) + len(b))
+
+
+def test_components_share_many_links_out_to_more_tasks(spark, monkeypatch):
+    """No task holds much more than ``EDGES`` links, however few bytes they take."""
+    from broadloom.operators import graph
+
+    monkeypatch.setattr(graph, "EDGES", 64)
+    edges = spark.range(2000).selectExpr("id AS a", "id + 1 AS b").repartition(3)
+    assert graph._tasks(edges, 2000) == 32
+    assert {r.component for r in graph.components(edges).collect()} == {0}
