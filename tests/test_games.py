@@ -91,3 +91,10 @@ def test_rate_limit_stream_whatever_the_frames(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert got == {(r.event_id, r.is_rejected) for r in M.rate_limited(e.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2, 360000).collect()}
+
+
+def test_bridge_pick_sorts_once(spark):
+    """One sort serves all windows, and no join brings the games back."""
+    df = spark.range(100).selectExpr("id % 7 AS g", "id AS cand", "true AS same", "int(id) AS score", "int(id) AS side")
+    plan = G.bridge_pick(df, "g", F.col("same"), F.col("score"), F.col("side"), "cand")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count(" Sort [") == 1, plan
