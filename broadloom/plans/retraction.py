@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from broadloom.operators import retraction as R
 from broadloom.plans.catalog import query
 from broadloom.sources import pages as P
+from broadloom.sources.shared import materialize
 from broadloom.sources.tables import table
 
 #: Marks from shipped lines, on sites of five kinds of pages; the file lacks a sixth of them.
@@ -31,18 +32,20 @@ def retraction_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Dated pages, lists, channel pages, undated day grids and one grid for all days."""
     s, c = (F.col("l_suppkey") % 20).cast("int"), (F.col("l_partkey") % 3).cast("int")
     start = F.expr("l_shipdate + make_dt_interval(0, cast(l_partkey % 24 as int))")
-    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game"), s.alias("s"), c.alias("c"), start.alias("start")).distinct()
-    m = m.withColumns({"mark_id": F.concat_ws("/", "game", "s", "c", F.date_format("start", "yyyy-MM-dd HH")), "day": F.date_format("start", "yyyy-MM-dd"), "site": F.concat(F.lit("s"), F.col("s").cast("string"), F.lit(".tv")), "channel": F.concat(F.lit("c"), F.col("c").cast("string"))})
+    lines = materialize(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game"), s.alias("s"), c.alias("c"), start.alias("start")).distinct())
+    named = {"site": F.concat(F.lit("s"), F.col("s").cast("string"), F.lit(".tv")), "channel": F.concat(F.lit("c"), F.col("c").cast("string"))}
+    m = lines.withColumns({"mark_id": F.concat_ws("/", "game", "s", "c", F.date_format("start", "yyyy-MM-dd HH")), **named})
     k, host = F.col("s") % 5, F.concat(F.lit("https://www."), "site")
     # the page of a day has another number in every crawl; only its kind is the same
-    url = F.when(k == 0, F.concat(host, F.lit("/on/"), F.date_format("day", "dd.MM.yyyy"))).when(k == 1, F.concat(host, F.lit("/list/?page="), F.col("c").cast("string"))).when(k == 2, F.concat(host, F.lit("/ch/7?id="), "channel")).when(k == 3, F.concat(host, F.lit("/day/3/"))).otherwise(F.concat(host, F.lit("/grid")))
+    url = F.when(k == 0, F.concat(host, F.lit("/on/"), F.date_format("start", "dd.MM.yyyy"))).when(k == 1, F.concat(host, F.lit("/list/?page="), F.col("c").cast("string"))).when(k == 2, F.concat(host, F.lit("/ch/7?id="), "channel")).when(k == 3, F.concat(host, F.lit("/day/3/"))).otherwise(F.concat(host, F.lit("/grid")))
     m = m.withColumn("url", url)
     seen = m.filter("game % 6 <> 0 OR c = 1 AND s % 2 = 0")
     dom = F.substring("day", 9, 2).cast("int")
-    rows = m.filter((F.col("s") + dom) % 11 != 0).select("site", "s", "c", "day", "channel", "url").distinct()
+    days = lines.select("s", "c", F.to_date("start").alias("start")).distinct().withColumns({"day": F.date_format("start", "yyyy-MM-dd"), **named}).withColumn("url", url)
+    rows = days.filter((F.col("s") + dom) % 11 != 0)
     verdict = F.when(F.col("s") == 13, "no reply").when((F.col("s") + F.col("c") + F.when(k.isin(1, 4), 0).otherwise(dom)) % 7 != 0, "schedule").otherwise("empty")
     report = rows.select("site", F.when(k == 2, F.concat(F.lit("The "), "channel")).otherwise("").alias("channel"), "url", F.when(k == 4, "").otherwise(F.col("day")).alias("day"), verdict.alias("verdict"), (k == 1).alias("paged"))
-    names = m.select(F.lit(None).cast("string").alias("site"), "channel", F.concat(F.lit("The "), "channel").alias("spelling")).distinct()
+    names = lines.select("c").distinct().withColumn("channel", named["channel"]).select(F.lit(None).cast("string").alias("site"), "channel", F.concat(F.lit("The "), "channel").alias("spelling"))
     coverage = R.page_coverage(report, "schedule", ["no reply"])
     return R.retraction_verdicts(m.select("mark_id", "game", "site", "channel", "url", "start"), seen.select("game", "site", "channel", "start"), names, coverage, F.lit("1996-06-01").cast("timestamp_ntz"))
 
