@@ -4,7 +4,7 @@ The search goes by an index of neighbouring words. Each name is looked up by its
 neighbouring words (rarity is counted over all texts), a name of one word by that word; a pair
 that no text holds settles its names at once. A text then goes once to its hits, where the
 other words are compared in place. Nothing is multiplied: rows are occurrences of the names'
-rarest pairs.
+rarest pairs. Texts are cut into words once; the steps read the stored words.
 """
 
 from __future__ import annotations
@@ -29,21 +29,24 @@ def _grams(of: Column) -> Column:
     return F.when(F.size(of) >= 2, pairs).when(F.size(of) == 1, F.array(F.struct(F.element_at(of, 1).alias("gram"), F.lit(0).alias("pos"))))
 
 
+def _occurrences(body: DataFrame) -> DataFrame:
+    """(_id, pos, gram) of every word and every pair of neighbouring words, in one pass."""
+    after = F.slice("_words", F.lit(2), F.size("_words"))
+    placed = body.select("_id", F.posexplode(F.arrays_zip(F.col("_words").alias("w"), after.alias("x"))).alias("pos", "_p")).select("_id", "pos", "_p.w", "_p.x")
+    both = F.array(F.col("w"), F.when(F.col("x").isNotNull(), F.concat(F.col("w"), F.lit(SPACE), F.col("x"))))
+    return placed.select("_id", "pos", F.explode(both).alias("gram"))
+
+
 def contained(texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str) -> DataFrame:
     """(text_id, name, places): every distinct name that a text holds, with the word numbers at
     which it starts. Names are compared as ``words``; null and wordless ones are found nowhere,
     and names of equal words are told apart by their spelling. Rows that repeat a text_id are
     one text with all their places."""
     wanted = names.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct().withColumn("_own", words(F.col("_name"))).filter(F.size("_own") > 0)
-    body = texts.select(F.col(text_id).alias("_id"), words(F.col(text)).alias("_words")).filter("_id IS NOT NULL AND size(_words) > 0")
+    body = materialize(texts.select(F.col(text_id).alias("_id"), words(F.col(text)).alias("_words")).filter("_id IS NOT NULL")).filter("size(_words) > 0")
     asked = materialize(wanted.select("_name", "_own", F.explode(_grams(F.col("_own"))).alias("_g")).select("_name", "_own", "_g.gram", F.col("_g.pos").alias("_k")))
     keys = asked.select("gram").distinct()
-    single = F.transform(F.sequence(F.lit(1), F.size("_words")), lambda i: F.struct(F.element_at("_words", i).alias("gram"), (i - 1).alias("pos")))
-    pairs = F.when(F.size("_words") >= 2, _grams(F.col("_words"))).otherwise(F.array().cast("array<struct<gram:string,pos:int>>"))
-    ones = keys.filter(~F.col("gram").contains(SPACE))
-    in_pairs = body.select("_id", F.inline(pairs)).join(keys.filter(F.col("gram").contains(SPACE)), "gram", "left_semi")
-    in_ones = body.select("_id", F.inline(single)).join(ones, "gram", "left_semi")
-    seen = materialize(in_pairs.union(in_ones))
+    seen = materialize(_occurrences(body).join(keys, "gram", "left_semi"))
     often = seen.groupBy("gram").agg(F.count("*").alias("_n"))
     counted = asked.join(often, "gram", "left").groupBy("_name", "_own").agg(F.min_by(F.struct("gram", "_k"), F.struct(F.coalesce("_n", F.lit(0)), "_k")).alias("_p"), F.min(F.coalesce("_n", F.lit(0))).alias("_least"))
     pivots = counted.filter("_least > 0").select("_name", "_own", "_p.gram", "_p._k")

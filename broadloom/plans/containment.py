@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadloom.functions import text as X
 from broadloom.operators import containment as C
 from broadloom.plans.catalog import query
+from broadloom.sources.shared import materialize
 from broadloom.sources.tables import table
 
 #: Pages as words, and names of one to four words: the link labels, part names, and runs of words of pages.
@@ -18,12 +19,18 @@ m AS (SELECT name, string_split(name, ' ') AS own FROM n)"""
 
 
 def _texts(spark, d):
-    part = lambda pattern: C.words(F.regexp_extract("html", pattern, 1))
-    body, title = part(r"(?s)<article>(.*?)</article>"), part(r"<title>([^<]*)</title>")
-    pages = table(spark, d, "pages").select("page_id", "url", F.array_join(body, " ").alias("text"), title.alias("title"), body.alias("words"))
+    """Pages with their visible text, and the first words of each: title, words, more (than twelve)."""
+    part = lambda pattern: F.regexp_extract("html", pattern, 1)
+    text, title = part(r"(?s)<article>(.*?)</article>"), part(r"<title>([^<]*)</title>")
+    pages = table(spark, d, "pages").select("page_id", "url", text.alias("text"), title.alias("title"))
+    cut = pages.select("page_id", C.words(F.col("title")).alias("title"), C.words(F.col("text")).alias("words"))
+    heads = materialize(cut.select("page_id", F.slice("title", 1, 4).alias("title"), F.slice("words", 1, 12).alias("words"), (F.size("words") > 12).alias("more")))
+    return pages.drop("title"), heads
+
+
+def _names(spark, d, heads):
     some = lambda c, at: F.array_join(F.slice(c, at, (F.col("page_id") % 4 + 1).cast("int")), " ").alias("name")
-    names = pages.select(some("title", 1)).union(table(spark, d, "part").select("p_name")).union(pages.select(some("words", 5)))
-    return pages, names
+    return heads.select(some("title", 1)).union(table(spark, d, "part").select("p_name")).union(heads.select(some("words", 5)))
 
 
 @query("names_in_pages", TEXT_SQL + """,
@@ -31,8 +38,8 @@ u AS (SELECT page_id, w, unnest(range(len(w))) AS i FROM t),
 h AS (SELECT page_id, name, i FROM u JOIN m ON own[1] = w[i + 1] AND w[i + 1:i + len(own)] = own)
 SELECT page_id, name, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS places FROM h GROUP BY 1, 2""")
 def names_in_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages, names = _texts(spark, d)
-    found = C.contained(pages, names, "page_id", "text", "name")
+    pages, heads = _texts(spark, d)
+    found = C.contained(pages, _names(spark, d, heads), "page_id", "text", "name")
     return found.select("page_id", "name", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
 
 
@@ -45,10 +52,10 @@ l AS (SELECT *, row_number() OVER (PARTITION BY site, ref ORDER BY abs(gap), pag
 SELECT site, ref, page_id FROM l WHERE rn = 1""")
 def seen_not_shown(spark: SparkSession, d: str) -> DataFrame:
     """A page every ten minutes; matches are named by words of some page, every third is shown."""
-    pages, _ = _texts(spark, d)
+    pages, heads = _texts(spark, d)
     k = F.col("page_id")
-    shows = pages.select("page_id", X.domain(F.col("url")).alias("site"), F.timestamp_seconds(600 * k).alias("at"), "text", "words")
-    named = shows.filter(F.size("words") > 12)
+    shows = pages.select("page_id", X.domain(F.col("url")).alias("site"), F.timestamp_seconds(600 * k).alias("at"), "text")
+    named = heads.filter("more")
     some = lambda at, n: F.array_join(F.slice("words", at, n), " ")
     matches = named.select(k.alias("ref"), F.timestamp_seconds(600 * k + k % 7 * 1200 - 1800).alias("start"), some(3, (k % 2 + 1).cast("int")).alias("home"), some(11, F.lit(2)).alias("away"))
     return C.seen_not_shown(shows, matches, _shown(matches, shows)).drop("places")

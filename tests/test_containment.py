@@ -39,3 +39,15 @@ def test_containment_equals_looking_everywhere(spark):
 def test_a_common_word_and_a_long_text(spark):
     text = "a " * 50_000 + "a b c d"
     assert found(spark, [(1, text)], ["a b c", "b c d", "d a", "c d"]) == {(1, "a b c"): [50_000], (1, "b c d"): [50_001], (1, "c d"): [50_002]}
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """The steps read stored words, and all words and pairs come out of one pass."""
+    stored = []
+    kept = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: (stored.append(df.columns), kept(df))[1])
+    assert found(spark, [(1, "Red, star of the RED star"), (2, "star"), (3, ""), (4, None)], ["red star of", "star", "the red"]) == {(1, "red star of"): [0], (1, "star"): [1, 5], (1, "the red"): [3], (2, "star"): [0]}
+    assert ["_id", "_words"] in stored
+    body = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"])], "_id long, _words array<string>")
+    got = sorted((r._id, r.pos, r.gram) for r in C._occurrences(body).collect() if r.gram is not None)
+    assert got == [(1, 0, "a"), (1, 0, "a b"), (1, 1, "b"), (1, 1, "b a"), (1, 2, "a"), (2, 0, "c")]
