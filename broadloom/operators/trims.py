@@ -43,22 +43,35 @@ def trim_by_book(rows: DataFrame, rules: DataFrame, row_id: str, home: str, away
     phrase at the start of the home side, the longest at the end of the away side, at most
     ``most`` words and never the whole side; nothing if a side would be no name. A phrase holds
     for rows of its languages; rows without languages take any."""
-    base = rows.select(F.col(row_id).alias("_id"), _words(F.lower(home)).alias("_hl"), _words(F.lower(away)).alias("_al"), F.col(langs).alias("_langs"), _words(F.col(home)).alias("_h"), _words(F.col(away)).alias("_a"))
-    sizes = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - 1))).otherwise(F.array().cast("array<int>"))
-    pieces = lambda side, w, cut: F.transform(sizes(w), lambda k: F.struct(F.lit(side).alias("side"), F.array_join(cut(w, k), " ").alias("phrase"), k.alias("k")))
-    tried = F.concat(pieces("home", F.col("_hl"), lambda w, k: F.slice(w, F.lit(1), k)), pieces("away", F.col("_al"), lambda w, k: F.slice(w, -k, k)))
-    known = rules.withColumnRenamed("langs", "_own")
-    hit = base.select("_id", "_langs", F.inline(tried)).join(known, ["side", "phrase"])
-    fits = F.col("_own").isNull() | F.col("_langs").isNull() | (F.size("_own") == 0) | F.arrays_overlap("_own", "_langs")
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("k")))
-    cuts = hit.filter(fits).groupBy("_id").agg(side("home").alias("_k"), side("away").alias("_m")).fillna(0, ["_k", "_m"])
-    left = base.join(cuts, "_id")
-    keep = lambda w, at, n: _name(F.slice(w, at, n))
-    out = left.select(
-        F.col("_id").alias(row_id), keep(F.col("_h"), F.col("_k") + 1, F.size("_h")).alias("home"), keep(F.col("_a"), F.lit(1), F.size("_a") - F.col("_m")).alias("away"),
-        F.concat_ws(" … ", F.nullif(F.array_join(F.slice("_h", F.lit(1), F.col("_k")), " "), F.lit("")), F.nullif(F.array_join(F.slice(F.col("_a"), F.size("_a") - F.col("_m") + 1, F.col("_m")), " "), F.lit(""))).alias("cut"),
-    )
-    return out.filter(_still_name(F.col("home")) & _still_name(F.col("away")))
+    base = rows.select(F.col(row_id).alias("_id"), F.col(home).alias("_home"), F.col(away).alias("_away"), F.col(langs).alias("_langs")).filter("_id IS NOT NULL AND _home IS NOT NULL AND _away IS NOT NULL")
+    both = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"_{s}").alias("text")) for s in ("home", "away")))
+    trims = _side_trims(base.select(F.inline(both)).distinct(), rules, most)
+    of = lambda s: trims.filter(F.col("side") == s).select(F.col("text").alias(f"_{s}"), F.col("trims").alias(f"_{s}_trims"))
+    fits = lambda t: t["own"].isNull() | F.col("_langs").isNull() | (F.size(t["own"]) == 0) | F.arrays_overlap(t["own"], F.col("_langs"))
+    longest = lambda s: F.get(F.filter(f"_{s}_trims", fits), F.lit(0)).alias(s)
+    out = base.join(of("home"), "_home").join(of("away"), "_away").select("_id", longest("home"), longest("away"))
+    out = out.filter("(home.k > 0 OR away.k > 0) AND home.named AND away.named")
+    part = lambda s: F.nullif(F.col(f"{s}.cut"), F.lit(""))
+    return out.select(F.col("_id").alias(row_id), F.col("home.name").alias("home"), F.col("away.name").alias("away"), F.concat_ws(" … ", part("home"), part("away")).alias("cut"))
+
+
+def _side_trims(sides: DataFrame, rules: DataFrame, most: int) -> DataFrame:
+    """(side, text, trims) of distinct sides: what each known phrase of a side would cut and
+    leave, the longest first and the side as it stands last. Rows repeat few sides, so phrases
+    are looked up and words cut once a side, not once a row."""
+    cut = sides.withColumns({"_w": _words(F.col("text")), "_l": _words(F.lower("text"))})
+    sizes = F.when(F.size("_l") > 1, F.sequence(F.lit(1), F.least(F.lit(most), F.size("_l") - 1))).otherwise(F.array().cast("array<int>"))
+    piece = lambda k: F.array_join(F.when(F.col("side") == "home", F.slice("_l", F.lit(1), k)).otherwise(F.slice("_l", -k, k)), " ")
+    tried = cut.select("side", "text", F.inline(F.transform(sizes, lambda k: F.struct(piece(k).alias("phrase"), k.alias("k")))))
+    hits = tried.join(rules.withColumnRenamed("langs", "own"), ["side", "phrase"]).groupBy("side", "text").agg(F.sort_array(F.collect_list(F.struct("k", "own")), asc=False).alias("_hits"))
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.lit(None).cast("array<string>").alias("own")))
+    n = F.size("_w")
+    at_home = F.col("side") == "home"
+    name = lambda k: _name(F.when(at_home, F.slice("_w", k + 1, n)).otherwise(F.slice("_w", F.lit(1), n - k)))
+    gone = lambda k: F.array_join(F.when(at_home, F.slice("_w", F.lit(1), k)).otherwise(F.slice("_w", n - k + 1, k)), " ")
+    trim = lambda h: F.struct(h["k"].alias("k"), h["own"].alias("own"), name(h["k"]).alias("name"), _still_name(name(h["k"])).alias("named"), gone(h["k"]).alias("cut"))
+    found = cut.join(hits, ["side", "text"], "left")
+    return found.select("side", "text", F.transform(F.concat(F.coalesce("_hits", F.array().cast("array<struct<k:int,own:array<string>>>")), whole), trim).alias("trims"))
 
 
 def trim_over_pair(rows: DataFrame, pairs: DataFrame, row_id: str, home: str, away: str, at: str, minutes: int = 180, most: int = 3) -> DataFrame:

@@ -38,8 +38,9 @@ def trim_by_book(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     home = F.when(o % 4 == 0, F.concat(F.lit("LIVE "), "p_name")).when(o % 4 == 1, F.concat("p_type", F.lit(" "), n, F.lit(" "), "p_name")).when(o % 4 == 2, F.concat(F.lit("Brand"), n, F.lit(" cup"))).otherwise(F.col("p_name"))
     away = F.when(s % 3 == 0, F.concat("p_name", F.lit(" Cup final"))).when(s % 3 == 1, F.concat("p_name", F.lit(" brand"), n)).otherwise("x")
-    langs = F.when(ln % 3 > 0, F.array(F.concat(F.lit("l"), (ln % 4).cast("string"))))
-    rows = rows.select(F.struct(o.alias("o"), s.alias("s"), ln.alias("l"), home.alias("home"), away.alias("away")).alias("id"), home.alias("home"), away.alias("away"), langs.alias("langs")).distinct()
+    line = F.col("id.l")
+    langs = F.when(line % 3 > 0, F.array(F.concat(F.lit("l"), (line % 4).cast("string"))))
+    rows = rows.select(F.struct(o.alias("o"), s.alias("s"), ln.alias("l"), home.alias("home"), away.alias("away")).alias("id")).distinct().select("id", "id.home", "id.away", langs.alias("langs"))
     out = T.trim_by_book(rows, _rules(spark, d), "id", "home", "away", "langs")
     return out.select("id.o", "id.s", "id.l", "home", "away", "cut")
 

@@ -70,3 +70,23 @@ def test_title_twins_of_one_minute_do_not_all_meet(spark):
     out = title_twins(games("into", 0), games("twin", 2000), marks("twin", 2000).union(spark.createDataFrame([(5000, None)], "twin long, channel string")), seen)
     assert {r.twin: r["into"] for r in out.collect()} == {k: k % 3 for k in range(2000, 2000 + n) if k != 5000}
     assert {r.twin: r["into"] for r in title_twins(games("into", 0), games("twin", 0), marks("twin", 0), seen).filter("twin < 6").collect()} == {0: 1, 1: 2, 2: 5, 3: 0, 4: 1, 5: 2}
+
+
+def test_sides_are_trimmed_once_whatever_their_rows(spark, monkeypatch):
+    """2,000 rows of three home sides and two away sides, in two languages and none."""
+    from pyspark.sql import functions as F
+
+    asked = []
+    trims = T._side_trims
+    monkeypatch.setattr(T, "_side_trims", lambda sides, *more: (asked.append(sides.count()), trims(sides, *more))[1])
+    k = F.col("id")
+    homes = F.array(F.lit("Live from Ajax"), F.lit("Ajax"), F.lit(None))
+    rows = spark.range(2000).select("id", F.get(homes, (k % 3).cast("int")).alias("h"), F.when(k % 2 == 0, "PSV Cup Final").otherwise("PSV").alias("a"), F.when(k % 5 == 0, F.array(F.lit("en"))).when(k % 5 == 1, F.array(F.lit("de"))).alias("langs"))
+    got = {r.id: (r.home, r.away, r.cut) for r in T.trim_by_book(rows, spark.createDataFrame(RULES, "side string, phrase string, langs array<string>"), "id", "h", "a", "langs").collect()}
+    want = {}
+    for i in range(2000):
+        home = None if i % 3 == 2 else ("Ajax", "") if i % 3 else ("from Ajax", "Live") if i % 5 == 1 else ("Ajax", "Live from")
+        away = ("PSV", "") if i % 2 else ("PSV Cup", "Final") if i % 5 == 0 else ("PSV", "Cup Final")
+        if home and (home[1] or away[1]):
+            want[i] = (home[0], away[0], " … ".join(c for c in (home[1], away[1]) if c))
+    assert got == want and asked == [4]
