@@ -79,13 +79,25 @@ def trim_over_pair(rows: DataFrame, pairs: DataFrame, row_id: str, home: str, aw
     the start of the home side and at the end of the away side, are a reference pair at most so
     many minutes away word for word: the smallest cut, and none if the cuts name several
     matches or the sides are such a pair as they stand. pairs: ref, home, away, start."""
-    base = rows.select(F.col(row_id).alias("_id"), _words(F.col(home)).alias("_h"), _words(F.col(away)).alias("_a"), F.col(at).alias("_at")).filter("_at IS NOT NULL")
-    upto = lambda w: F.sequence(F.lit(0), F.least(F.lit(most), F.size(w) - 1))
-    both = F.flatten(F.transform(upto(F.col("_h")), lambda k: F.transform(upto(F.col("_a")), lambda m: F.struct(k.alias("k"), m.alias("m")))))
-    tried = base.filter("size(_h) > 0 AND size(_a) > 0").select("_id", "_at", "_h", "_a", F.inline(both))
-    tried = tried.select("_id", "_at", "k", "m", _name(F.slice("_h", F.col("k") + 1, F.size("_h"))).alias("_th"), _name(F.slice("_a", F.lit(1), F.size("_a") - F.col("m"))).alias("_ta"))
-    names = pairs.filter("start IS NOT NULL").select("ref", F.col("start").alias("_start"), F.lower(F.array_join(_words(F.col("home")), " ")).alias("_rh"), F.lower(F.array_join(_words(F.col("away")), " ")).alias("_ra"))
-    met = within(tried.withColumns({"_x": F.lower("_th"), "_y": F.lower("_ta")}), names.withColumnsRenamed({"_rh": "_x", "_ra": "_y"}), ["_x", "_y"], "_at", "_start", -60 * minutes, 60 * minutes)
+    base = rows.select(F.col(row_id).alias("_id"), F.col(home).alias("_home"), F.col(away).alias("_away"), F.col(at).alias("_at")).filter("_at IS NOT NULL AND _home IS NOT NULL AND _away IS NOT NULL")
+    names = pairs.filter("start IS NOT NULL").select("ref", F.col("start").alias("_start"), F.lower(F.array_join(_words(F.col("home")), " ")).alias("_x"), F.lower(F.array_join(_words(F.col("away")), " ")).alias("_y"))
+    sided = lambda df, h, a: df.select(F.inline(F.array(F.struct(F.lit("home").alias("side"), F.col(h).alias("text")), F.struct(F.lit("away").alias("side"), F.col(a).alias("text"))))).distinct()
+    cuts = _side_names(sided(base, "_home", "_away"), sided(names, "_x", "_y"), most)
+    of = lambda s: cuts.filter(F.col("side") == s).select(F.col("text").alias(f"_{s}"), F.col("cuts").alias(f"_{s}_cuts"))
+    tried = base.join(of("home"), "_home").join(of("away"), "_away").select("_id", "_at", "_away_cuts", F.inline("_home_cuts").alias("k", "_th", "_x"))
+    tried = tried.select("_id", "_at", "k", "_th", "_x", F.inline("_away_cuts").alias("m", "_ta", "_y"))
+    met = within(tried, names, ["_x", "_y"], "_at", "_start", -60 * minutes, 60 * minutes)
     best = F.min(F.struct((F.col("k") + F.col("m")).alias("cut"), F.col("k"), F.col("_th").alias("home"), F.col("_ta").alias("away")))
     found = met.groupBy("_id").agg(F.countDistinct("ref").alias("_n"), F.min("ref").alias("ref"), best.alias("_b")).filter((F.col("_n") == 1) & (F.col("_b.cut") > 0))
     return found.select(F.col("_id").alias(row_id), "ref", "_b.home", "_b.away", "_b.cut")
+
+
+def _side_names(sides: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(side, text, cuts): of distinct sides the cuts of up to ``most`` words that leave a name
+    known on that side, with the name and how it is known. Cuts that leave none meet no pair."""
+    w = sides.withColumn("_w", _words(F.col("text"))).filter("size(_w) > 0")
+    tried = w.select("side", "text", "_w", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.size("_w") - 1))).alias("k"))
+    name = _name(F.when(F.col("side") == "home", F.slice("_w", F.col("k") + 1, F.size("_w"))).otherwise(F.slice("_w", F.lit(1), F.size("_w") - F.col("k"))))
+    named = tried.select("side", "text", "k", name.alias("name")).withColumn("known", F.lower("name"))
+    met = named.join(known.withColumnRenamed("text", "known"), ["side", "known"], "left_semi")
+    return met.groupBy("side", "text").agg(F.collect_list(F.struct("k", "name", "known")).alias("cuts"))

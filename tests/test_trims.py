@@ -90,3 +90,14 @@ def test_sides_are_trimmed_once_whatever_their_rows(spark, monkeypatch):
         if home and (home[1] or away[1]):
             want[i] = (home[0], away[0], " … ".join(c for c in (home[1], away[1]) if c))
     assert got == want and asked == [4]
+
+
+def test_only_cuts_that_leave_known_names_are_tried(spark, monkeypatch):
+    """1,000 rows of four words a side: sixteen cuts each, of which one leaves a known pair."""
+    met = []
+    meet = T.within
+    monkeypatch.setattr(T, "within", lambda left, *more: (met.append(left.count()), meet(left, *more))[1])
+    rows = spark.createDataFrame([(i, "The big cup Ajax" if i % 2 else "The big cup Nowhere", "PSV live on tv", NOON) for i in range(1000)] + [(1000, "", "PSV", NOON), (1001, None, "PSV", NOON)], "id int, h string, a string, at timestamp_ntz")
+    pairs = spark.createDataFrame([(10, "Ajax", "PSV", NOON), (11, None, "Real", NOON)], "ref int, home string, away string, start timestamp_ntz")
+    got = {r.id: (r.ref, r.home, r.away, r.cut) for r in T.trim_over_pair(rows, pairs, "id", "h", "a", "at").collect()}
+    assert got == {i: (10, "Ajax", "PSV", 6) for i in range(1, 1000, 2)} and met == [500]
