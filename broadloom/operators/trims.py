@@ -86,9 +86,11 @@ def trim_over_pair(rows: DataFrame, pairs: DataFrame, row_id: str, home: str, aw
     of = lambda s: cuts.filter(F.col("side") == s).select(F.col("text").alias(f"_{s}"), F.col("cuts").alias(f"_{s}_cuts"))
     tried = base.join(of("home"), "_home").join(of("away"), "_away").select("_id", "_at", "_away_cuts", F.inline("_home_cuts").alias("k", "_th", "_x"))
     tried = tried.select("_id", "_at", "k", "_th", "_x", F.inline("_away_cuts").alias("m", "_ta", "_y"))
+    # matches of one name and time count as their first and last, so copies of a match do not multiply
+    names = names.groupBy("_x", "_y", "_start").agg(F.min("ref").alias("ref"), F.max("ref").alias("_last"))
     met = within(tried, names, ["_x", "_y"], "_at", "_start", -60 * minutes, 60 * minutes)
     best = F.min(F.struct((F.col("k") + F.col("m")).alias("cut"), F.col("k"), F.col("_th").alias("home"), F.col("_ta").alias("away")))
-    found = met.groupBy("_id").agg(F.countDistinct("ref").alias("_n"), F.min("ref").alias("ref"), best.alias("_b")).filter((F.col("_n") == 1) & (F.col("_b.cut") > 0))
+    found = met.groupBy("_id").agg(F.min("ref").alias("ref"), F.max("_last").alias("_last"), best.alias("_b")).filter((F.col("ref") == F.col("_last")) & (F.col("_b.cut") > 0))
     return found.select(F.col("_id").alias(row_id), "ref", "_b.home", "_b.away", "_b.cut")
 
 

@@ -101,3 +101,5 @@ def test_only_cuts_that_leave_known_names_are_tried(spark, monkeypatch):
     pairs = spark.createDataFrame([(10, "Ajax", "PSV", NOON), (11, None, "Real", NOON)], "ref int, home string, away string, start timestamp_ntz")
     got = {r.id: (r.ref, r.home, r.away, r.cut) for r in T.trim_over_pair(rows, pairs, "id", "h", "a", "at").collect()}
     assert got == {i: (10, "Ajax", "PSV", 6) for i in range(1, 1000, 2)} and met == [500]
+    copies = pairs.union(spark.createDataFrame([(12, "Ajax", "PSV", NOON)], pairs.schema))
+    assert T.trim_over_pair(rows, copies, "id", "h", "a", "at").count() == 0 and T.trim_over_pair(rows, pairs.union(pairs), "id", "h", "a", "at").count() == 500
