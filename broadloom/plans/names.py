@@ -24,8 +24,7 @@ def _entries(spark, d):
 
 @query("merged_games")
 def merged_games(spark: SparkSession, d: str) -> DataFrame:
-    entries = _entries(spark, d)
-    return M.merged_games(entries, M.scored_pairs(entries, ["site"]))
+    return M.merged_entries(_entries(spark, d), ["site"])
 
 
 @query("majority_sport", """

@@ -250,6 +250,41 @@ def test_merge_of_long_chains_matches_brute_force(spark):
     assert got == merged_plainly(entries, pairs)
 
 
+def test_merge_without_pairs_equals_merge_of_pairs(spark):
+    """Spellings alike one way only, turned sides, unknown and clashing sports, nulls, edges of reach."""
+    rng = random.Random(5)
+    names = ["Dynamo Kyiv", "Dinamo Kiev", "Ajax", "Ajaks", "Real Madrid", "Real Reall", "Reall Madrd", "FC Porto", "!!", "a b", "", "Dynamo Kyiv U19"]
+    sides = [*[rng.sample(names, 2) for _ in range(14)], ["Ajax", "Ajax"], ["Dynamo Kyiv", "Ajax"], ["Ajaks", "Dinamo Kiev"], ["Real Reall", "Reall Madrd"], ["Reall Madrd", "Real Madrid"]]
+    when = lambda: at(rng.choice([rng.randrange(60000), 9000 * rng.randrange(6), 1800 * rng.randrange(9)])) + dt.timedelta(microseconds=rng.choice([0, 0, 1]))
+    rows = [(i, when(), *rng.choice(sides), rng.choice(["", "F", "B", None, "F"]), rng.choice([1, 1, 2])) for i in rng.sample(range(5000), 700)]
+    rows += [(9001, None, "Ajax", "Porto", "F", 1), (9002, at(0), None, "Ajax", "F", 1), (9003, at(0), "Ajax", "FC Porto", "F", None), (9004, at(99999), "!!", "!!", "F", 1)]
+    e = spark.createDataFrame(rows, M.ENTRY + ", site int")
+    for clash in (95, 86, 101):
+        pairs = M.scored_pairs(e, ["site"], clash=clash)
+        want = {tuple(r) for r in M.merged_games(e, pairs).collect()}
+        got = [tuple(r) for r in M.merged_entries(e, ["site"], clash=clash).collect()]
+        assert len(got) == len(rows) and set(got) == want
+        assert 20 < len({g for _, g, _ in want}) < 600 and {s for _, _, s in want} == {False, True}
+
+
+def test_merged_games_writes_no_pairs_of_entries(spark, monkeypatch):
+    """300 entries of one game and hour make 44,850 pairs; what is written grows with the entries."""
+    from broadloom.plans import names as Q
+
+    rows = [(i, at(i), "Ajax", "FC Porto", "F") for i in range(300)]
+    monkeypatch.setattr(Q, "_entries", lambda s, d: s.createDataFrame(rows, M.ENTRY).withColumn("site", F.lit(1)))
+    written, write = [], M.materialize
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "materialize", counted)
+    assert {(r.game_id, r.swapped) for r in Q.merged_games(spark, "").collect()} == {(0, False)}
+    assert max(written) <= 301
+
+
 def test_alike_names_match_brute_force(spark):
     rng = random.Random(12)
     words = ["dynamo", "dinamo", "kyiv", "kiev", "real", "madrid", "madrit", "wisla", "visla", "krakow", "krakov", "j", "jose", "club", "atletico", "atletiko", "moscow", "moskva", "ab", "abc", "abcd"]
