@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from broadloom.operators import builds as B
 from broadloom.plans.catalog import query
+from broadloom.sources.shared import materialize
 from broadloom.sources.tables import table
 
 BUILD_SQL = """
@@ -15,15 +16,15 @@ new AS (SELECT k + 1000000 AS new_id, CASE WHEN k % 13 = 3 THEN 'other' || k ELS
   CASE WHEN k % 13 = 7 THEN 'X' ELSE status END AS status, CASE WHEN k % 13 IN (7, 8) THEN NULL ELSE priority END AS priority, price FROM o WHERE k % 13 NOT IN (9, 10, 11))"""
 
 
-def _builds(spark, d):
+def _builds(spark, d, kept=lambda df: df):
     t = lambda n: table(spark, d, n)
     channels = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.concat(F.lit("ch"), (F.col("l_suppkey") % 15).cast("string"))).alias("ch"))
     none = F.array().cast("array<string>")
     k = F.col("k")
-    o = t("orders").withColumn("k", F.col("o_orderkey")).join(channels, "k", "left").select(
+    o = kept(t("orders").withColumn("k", F.col("o_orderkey")).join(channels, "k", "left").select(
         "k", F.concat(F.lit("pair"), (F.col("o_custkey") % 700).cast("string")).alias("pair"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + k % 12 * 7200).alias("t"),
         F.coalesce("ch", none).alias("channels"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"),
-    )
+    ))
     at = F.timestamp_seconds
     m = k % 13
     old = o.select(k.alias("old_id"), "pair", at("t").alias("start"), "channels", F.when(m != 2, at(F.col("t") + 5400)).alias("ref_start"), "status", "priority", "price")
@@ -56,7 +57,7 @@ f AS (SELECT old_id, CASE WHEN len(fields) = 0 THEN 'same' ELSE 'changed' END AS
 
 @query("build_fates", FATES_SQL + " SELECT f.old_id, fate, f.new_id, fields, array_to_string(list_sort(list_filter(old.ch, lambda x: NOT list_contains(coalesce(new.ch, []), x))), ',') AS missing FROM f JOIN old ON f.old_id = old.old_id LEFT JOIN new ON f.new_id = new.new_id")
 def build_fates(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _builds(spark, d)
+    old, new = _builds(spark, d, materialize)  # both are read several times
     cases = spark.range(1, 8).select(F.concat(F.lit("ch"), F.col("id").cast("string")).alias("channel"))
     out = B.fates(old, new, cases, ["status", "priority", "price"])
     return out.select("old_id", "fate", "new_id", F.array_join("fields", ",").alias("fields"), F.array_join("missing", ",").alias("missing"))
