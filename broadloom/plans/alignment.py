@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from broadloom.operators import alignment as A
 from broadloom.plans.catalog import query
+from broadloom.sources.shared import materialize
 from broadloom.sources.tables import table
 
 LETTERS = ("0123456789abcdef", "aeioubdfgklmnprt")
@@ -59,7 +60,8 @@ def _sides(spark, d):
     away = F.when(k % 7 == 0, h).when(k % 97 == 0, 300 + (a + 1) % 300).otherwise(a)
     start = F.timestamp_seconds(F.col("t") + (k % 5 - 2) * 1800)
     games = o.select(k.alias("game"), "sport", F.when(k % 11 != 0, F.col("league")).alias("league"), start.alias("start"), written(home).alias("home"), written(away).alias("away"), F.when(k % 40 == 0, k).alias("match_id"))
-    return games, reference, spark.createDataFrame([], "sport string, alias string, team string")
+    # both are read several times
+    return materialize(games), materialize(reference), spark.createDataFrame([], "sport string, alias string, team string")
 
 
 @query("aligned_games", SIDES_SQL + """,

@@ -189,3 +189,28 @@ def test_pairs_of_a_busy_hour_are_not_written(spark, monkeypatch):
     rungs, facts = A.align(g, r, spark.createDataFrame([], "sport string, alias string, team string"))
     assert {x.rung for x in rungs.collect()} == {"disputed"} and facts.count() == 16
     assert max(written) < 1600
+
+
+def test_copies_of_games_and_matches_meet_as_one(spark, monkeypatch):
+    """Copies are decided as every pair would be, and no kind of game is met by copies of a match."""
+    rng = random.Random(7)
+    games, matches = season(rng, 25)
+    games = [(1000 * c + g[0], *g[1:6], g[6] if c == 0 else None) for g in games for c in range(3)]
+    matches = [(1000 * c + r[0], *r[1:]) for i, r in enumerate(matches) for c in range(1 + 2 * (i % 2))]
+    games += [(8000 + i, "F", None, DAY, "Brodano", "Kuziev", None) for i in range(40)]
+    matches += [(8000 + i, "F", "L", DAY + dt.timedelta(minutes=180), "Brodano", "Kuziev") for i in range(40)]
+    written, write = [], A.materialize
+
+    def counted(df):
+        out = write(df)
+        if {"low", "n"} <= set(df.columns) or {"ref", "n"} <= set(df.columns):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "materialize", counted)
+    rungs, facts = A.align(spark.createDataFrame(games, GAMES), spark.createDataFrame(matches, MATCHES), spark.createDataFrame([], KNOWN))
+    want_facts, want = plain(games, matches, [])
+    assert {tuple(r) for r in facts.collect()} == want_facts
+    got = [tuple(r) for r in rungs.collect()]
+    assert len(got) == len(games) and {g: x for g, *x in got} == {g: list(x) for g, x in want.items()}
+    assert {x[1] for x in want.values()} >= {"disputed", "id", "missed"} and max(written) < 400
